@@ -18,7 +18,7 @@ def _ntz(c="timestamp"):
 # --- flagship: latest state -> violations -> alert level --------------------
 @register("machine_status", fixture_sql("""
 SELECT m.machine_id, t.timestamp,
-       round(CASE WHEN t.timestamp IS NULL THEN 0.0E0 ELSE coalesce(r.p, 0.0E0) END, 6) AS ml_risk_probability,
+       round(CASE WHEN t.timestamp IS NULL THEN 0.0E0 ELSE coalesce(r.p, 0.0E0) END, 9) AS ml_risk_probability,
        CAST(coalesce(v.n_violations, 0) AS BIGINT) AS n_violations,
        coalesce(v.violated, '') AS violated,
        CASE WHEN t.timestamp IS NULL THEN 'LOW' WHEN coalesce(v.n_violations, 0) > 0 THEN 'HIGH'
@@ -48,11 +48,11 @@ def q_machine_status(spark, sf):
 
 # --- P1-P3, P11: cleaned long telemetry ---------------------------------------
 @register("telemetry_clean", fixture_sql("""
-SELECT event_id, machine_id, timestamp, variable_name, round(value, 6) AS value FROM clean"""))
+SELECT event_id, machine_id, timestamp, variable_name, round(value, 9) AS value FROM clean"""))
 def q_telemetry_clean(spark, sf):
     c = fx.clean(spark, sf)
     return c.select("event_id", "machine_id", _ntz(), "variable_name",
-                    F.round("value", 6).alias("value"))
+                    F.round("value", 9).alias("value"))
 
 
 # --- P4, P9, P10, P22: production log -> scrap events -------------------------

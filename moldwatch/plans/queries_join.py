@@ -17,7 +17,7 @@ def _ntz(c="timestamp"):
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
-def _wide_sql(round_to=6):
+def _wide_sql(round_to=9):
     cols = ",\n       ".join(
         f"round(avg(value) FILTER (WHERE variable_name = '{s}'), {round_to}) AS {s}" for s in SENSORS)
     return f"SELECT machine_id, timestamp,\n       {cols}\nFROM clean GROUP BY machine_id, timestamp"
@@ -25,7 +25,7 @@ def _wide_sql(round_to=6):
 
 def wide(spark, sf):
     w = pivot_wide(fx.clean(spark, sf), SENSORS)
-    return w.select("machine_id", "timestamp", *[F.round(s, 6).alias(s) for s in SENSORS])
+    return w.select("machine_id", "timestamp", *[F.round(s, 9).alias(s) for s in SENSORS])
 
 
 _EXISTS_5 = ("EXISTS (SELECT 1 FROM prod_events e WHERE e.machine_id = c.machine_id AND "
@@ -107,11 +107,11 @@ def q_wide(spark, sf):
 
 # --- A3: per-variable dedup mean per timestamp ---------------------------------
 @register("dedup_mean", fixture_sql("""
-SELECT machine_id, variable_name, timestamp, round(avg(value), 6) AS value
+SELECT machine_id, variable_name, timestamp, round(avg(value), 9) AS value
 FROM clean GROUP BY machine_id, variable_name, timestamp"""))
 def q_dedup(spark, sf):
     d = dedup_mean(fx.clean(spark, sf))
-    return d.select("machine_id", "variable_name", _ntz(), F.round("value", 6).alias("value"))
+    return d.select("machine_id", "variable_name", _ntz(), F.round("value", 9).alias("value"))
 
 
 # --- A4 + J5: max label per (machine, ts) attached to the wide rows ----------
@@ -137,7 +137,7 @@ FROM hist w LEFT JOIN (SELECT * FROM res WHERE rn = 1) r
 hist AS ({_wide_sql()})""", """
 res AS (
   SELECT s.timestamp, round_even(h.Injection_pressure, 4) AS ip, round_even(h.Cycle_time, 4) AS ct,
-         round(s.scrap_probability, 6) AS scrap_probability,
+         round(s.scrap_probability, 9) AS scrap_probability,
          row_number() OVER (PARTITION BY s.timestamp, round_even(h.Injection_pressure, 4),
                                          round_even(h.Cycle_time, 4) ORDER BY s.event_id) AS rn
   FROM scored s JOIN clean c ON c.event_id = s.event_id
@@ -151,7 +151,7 @@ def q_history_scored(spark, sf):
            .select("event_id", "timestamp",
                    F.bround("Injection_pressure", 4).alias("ip"),
                    F.bround("Cycle_time", 4).alias("ct"),
-                   F.round("scrap_probability", 6).alias("scrap_probability")))
+                   F.round("scrap_probability", 9).alias("scrap_probability")))
     res = dedup_keep(res, ["timestamp", "ip", "ct"], order=["event_id"])
     h = hist.withColumn("_ip", F.bround("Injection_pressure", 4)) \
         .withColumn("_ct", F.bround("Cycle_time", 4))

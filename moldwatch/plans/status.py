@@ -41,7 +41,7 @@ def machine_status(clean: DataFrame, scored: DataFrame, limits: DataFrame,
     return m.select(
         "machine_id",
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
-        F.round(p, 6).alias("ml_risk_probability"),
+        F.round(p, 9).alias("ml_risk_probability"),
         n.cast("long").alias("n_violations"),
         F.coalesce(F.col("violated"), F.lit("")).alias("violated"),
         lvl["alert_level"].alias("alert_level"),
