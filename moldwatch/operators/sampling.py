@@ -17,3 +17,40 @@ def dedup_keep(df: DataFrame, keys, order, keep: str = "first") -> DataFrame:
     packed = F.struct(*[F.col(c) for c in rest])
     agg = F.min_by(packed, ordv) if keep == "first" else F.max_by(packed, ordv)
     return df.groupBy(*keys).agg(agg.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
+def _indexed(df: DataFrame, keys, ts: str, tie: str | None):
+    from moldwatch.operators.order import keyed_row_index
+    keys = list(keys)
+    x = keyed_row_index(df, keys, ts, tie=tie, index_col="_idx")
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return x.join(n, keys)
+
+
+def downsample_stride(df: DataFrame, max_points: int, keys=("machine_id",), ts: str = "timestamp",
+                      tie: str | None = None) -> DataFrame:
+    """Every ceil(n / max)-th row per key plus always the last row.
+
+    Positions come from the two-level per-key index and the per-key count
+    is an aggregate joined back, so a long series is never one task.
+    Timestamps are unique per key here, so the 'dedup on timestamp keep
+    last' of the definition is a no-op.
+    """
+    x = _indexed(df, keys, ts, tie)
+    step = F.ceil(F.col("_n") / F.lit(float(max_points))).cast("long")
+    keep = (F.col("_n") <= max_points) | (F.col("_idx") % step == 0) | (F.col("_idx") == F.col("_n") - 1)
+    return x.where(keep).drop("_idx", "_n")
+
+
+def stride_every(df: DataFrame, step: int, min_rows: int = 1000, keys=("machine_id",),
+                 ts: str = "timestamp", tie: str | None = None) -> DataFrame:
+    """Every ``step``-th row per key when the key has more than ``min_rows``."""
+    x = _indexed(df, keys, ts, tie)
+    return x.where((F.col("_n") <= min_rows) | (F.col("_idx") % step == 0)).drop("_idx", "_n")
+
+
+def recent_tail(df: DataFrame, n: int, keys=("machine_id",), ts: str = "timestamp",
+                tie: str | None = None) -> DataFrame:
+    """The last ``n`` rows per key, ``tail_rank`` 1 = newest."""
+    from moldwatch.operators.order import last_n_per_key
+    return last_n_per_key(df, keys, ts, n, tie=tie, rank_col="tail_rank")

@@ -30,3 +30,23 @@ def tolerances(spark: SparkSession) -> DataFrame:
 
 def machines(spark: SparkSession) -> DataFrame:
     return config.machines_df(spark, config.FIXTURE_MACHINES)
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored wide history per machine (the dashboard's input): wide cycles
+    + score of the same event, probability clipped (P17), idle rows masked
+    (P16: probability and label 0)."""
+    from pyspark.sql import functions as F
+
+    from moldwatch.functions import clip_probability, is_idle
+    from moldwatch.operators.latest import pivot_wide
+    w = pivot_wide(clean(spark, sf), config.FIXTURE_SENSORS)
+    s = scored(spark, sf).select("machine_id", "timestamp", "scrap_probability", "is_scrap_actual")
+    h = w.join(s, ["machine_id", "timestamp"], "left")
+    idle = is_idle("Cycle_time")
+    return h.select(
+        "machine_id", "timestamp", *config.FIXTURE_SENSORS,
+        F.when(idle, F.lit(0.0)).otherwise(clip_probability("scrap_probability"))
+        .alias("scrap_probability"),
+        F.when(idle, F.lit(0)).otherwise(F.coalesce(F.col("is_scrap_actual"), F.lit(0)))
+        .alias("is_scrap_actual"))
