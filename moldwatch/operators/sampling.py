@@ -54,3 +54,139 @@ def recent_tail(df: DataFrame, n: int, keys=("machine_id",), ts: str = "timestam
     """The last ``n`` rows per key, ``tail_rank`` 1 = newest."""
     from moldwatch.operators.order import last_n_per_key
     return last_n_per_key(df, keys, ts, n, tie=tie, rank_col="tail_rank")
+
+
+def temporal_split(df: DataFrame, order_cols, train_fraction: float = 0.8, ts: str | None = None,
+                   out: str = "split") -> DataFrame:
+    """Chronological split by row position: the first int(n * f) rows in
+    ``order_cols`` order are TRAIN, the rest TEST (F4).
+
+    Exact and distributed: a global position from the two-level index
+    (rows numbered per day, offset by earlier days' counts), compared with
+    the one-row total count.
+    """
+    from moldwatch.operators.order import global_row_index
+    ts = ts or order_cols[0]
+    x = df.withColumn("_day", F.to_date(F.col(ts)))
+    x = global_row_index(x, [F.col(c) for c in order_cols], "_day", "_pos")
+    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    # one-row scalar attached by a hash join on a constant key
+    x = x.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")
+    cut = F.floor(F.col("_n") * F.lit(train_fraction))
+    return x.withColumn(out, F.when(F.col("_pos") < cut, "TRAIN").otherwise("TEST")) \
+        .drop("_k", "_n", "_day", "_pos")
+
+
+def _hash_u(key_cols, seed: int):
+    return F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+
+
+def hash_rank_take(df: DataFrame, class_cols, quota: DataFrame, key_cols, seed: int = 42,
+                   out: str | None = None) -> DataFrame:
+    """Per class, the ``n`` rows with the smallest seeded hash of their key
+    (a deterministic uniform sample of exact size).
+
+    ``quota``: class_cols + ``n``.  Two levels: rows are counted per (class,
+    top 20 hash bits) -- a small table -- so whole buckets are kept or
+    dropped by their running offset, and only the one boundary bucket per
+    class is ranked row by row.  With ``out`` all rows are returned and
+    ``out`` flags the chosen ones instead of filtering.
+    """
+    class_cols = list(class_cols)
+    x = df.withColumn("_u", _hash_u(key_cols, seed)) \
+        .withColumn("_hb", F.shiftright(F.col("_u"), 44))
+    counts = x.groupBy(*class_cols, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*class_cols).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))) \
+        .join(quota.select(*class_cols, F.col("n").alias("_q")), class_cols)
+    y = x.join(offs, [*class_cols, "_hb"], "left")
+    full = F.col("_off") + F.col("_c") <= F.col("_q")
+    boundary = (F.col("_off") < F.col("_q")) & ~full
+    wr = Window.partitionBy(*class_cols, "_hb").orderBy("_u", *[F.col(c) for c in key_cols])
+    ranked = y.withColumn("_rk", F.when(boundary, F.row_number().over(wr)))
+    keep = F.coalesce(full | (boundary & (F.col("_off") + F.col("_rk") <= F.col("_q"))), F.lit(False))
+    drop = ["_u", "_hb", "_c", "_off", "_q", "_rk"]
+    if out:
+        return ranked.withColumn(out, keep).drop(*drop)
+    return ranked.where(keep).drop(*drop)
+
+
+def stratified_split(df: DataFrame, label: str, key_cols, test_fraction: float = 0.2,
+                     seed: int = 42, out: str = "split") -> DataFrame:
+    """Seeded stratified split: round(f * n_class) TEST rows per class."""
+    quota = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_fraction).cast("long").alias("n"))
+    x = hash_rank_take(df, [label], quota, key_cols, seed, out="_test")
+    return x.withColumn(out, F.when(F.col("_test"), "TEST").otherwise("TRAIN")).drop("_test")
+
+
+def stratified_downsample(df: DataFrame, label: str, key_cols, max_rows: int,
+                          min_pos: int = 1000, keys=(), seed: int = 42, cap_pos: bool = False
+                          ) -> DataFrame:
+    """Stratified downsample to ``max_rows`` per key set (F7; F8 with
+    ``keys=('machine_id',)``, ``min_pos=2000``, ``cap_pos=True``).
+
+    n_pos = max(int(P * r), min(P, min_pos)) with r = max_rows / n (capped at P
+    for F8), n_neg = max_rows - n_pos; key sets with n <= max_rows are kept
+    whole.  Rows are chosen by seeded hash rank (exact counts).
+    """
+    keys = list(keys)
+    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                F.sum((F.col(label) == 1).cast("long")).alias("_P"))
+    r = F.lit(float(max_rows)) / F.col("_n")
+    n_pos = F.greatest(F.floor(F.col("_P") * r), F.least(F.col("_P"), F.lit(min_pos)))
+    if cap_pos:
+        n_pos = F.least(F.col("_P"), n_pos)
+    n_pos = F.when(F.col("_n") <= max_rows, F.col("_P")).otherwise(n_pos)
+    n_neg = F.when(F.col("_n") <= max_rows, F.col("_n") - F.col("_P")).otherwise(F.lit(max_rows) - n_pos)
+    q = cnt.select(*keys, n_pos.cast("long").alias("_pos_n"), n_neg.cast("long").alias("_neg_n"))
+    quota = q.select(*keys, F.lit(1).alias(label), F.col("_pos_n").alias("n")).unionByName(
+        q.select(*keys, F.lit(0).alias(label), F.col("_neg_n").alias("n")))
+    x = df.withColumn(label, F.col(label).cast("int"))
+    quota = quota.withColumn(label, F.col(label).cast("int"))
+    return hash_rank_take(x, [*keys, label], quota, key_cols, seed)
+
+
+def structured_sample(long_feats: DataFrame, label: str = "early_scrap_risk",
+                      keys=("machine_id", "variable_name"), ts: str = "timestamp",
+                      radius_us: int = 30 * 60_000_000, bucket_s: int = 90,
+                      group=("machine_id", "variable_name", "window")) -> DataFrame:
+    """risky rows U context rows (+-radius, same machine and variable, any
+    window) U the first row of every stable (machine, variable, window,
+    90 s bucket) group -- first non-NULL value per column, in time order --
+    then a full-row distinct (F6, J3, U2)."""
+    from moldwatch.operators.asof import context_rows
+    cols = long_feats.columns
+    ctx = context_rows(long_feats, label, by=keys, ts=ts, radius_us=radius_us)
+    risky_or_ctx = ctx.where((F.col(label) == 1) | F.col("in_context")).select(*cols)
+    stable = long_feats.where(F.col(label) == 0).withColumn(
+        "_bk", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_s * 1_000_000)))
+    others = [c for c in cols if c not in group]
+    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in others]
+    stable_first = stable.groupBy(*group, "_bk").agg(*firsts).select(*cols)
+    return risky_or_ctx.unionByName(stable_first).distinct()
+
+
+def union_all(frames) -> DataFrame:
+    """UNION ALL by column name, missing columns NULL."""
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def conform(df: DataFrame, columns, fill=None) -> DataFrame:
+    """Select ``columns`` in order; missing ones as NULL (U4) or ``fill`` (P20)."""
+    have = set(df.columns)
+    out = []
+    for c in columns:
+        if c in have:
+            out.append(F.coalesce(F.col(c), F.lit(fill)).alias(c) if fill is not None else F.col(c))
+        else:
+            out.append(F.lit(fill).cast("double").alias(c))
+    return df.select(*out)
+
+
+def append_future(history: DataFrame, future: DataFrame) -> DataFrame:
+    """History rows + future rows with an ``is_future`` flag."""
+    return union_all([history.withColumn("is_future", F.lit(False)),
+                      future.withColumn("is_future", F.lit(True))])

@@ -4,10 +4,9 @@
 a grouped quantile the values are first counted per (group, value) -- a
 partial aggregate -- and the weighted percentile only sees distinct values.
 For a global quantile over a column with mostly distinct values the rows
-are range-partitioned (a distributed sort), numbered per partition with
-offsets from the small per-partition count table, and the rows at the two
-ranks around p * (n - 1) are interpolated -- no task holds more than one
-range partition.
+are counted per deterministic monotone bucket, the bucket(s) holding the two
+ranks around p * (n - 1) are located on that small table, and only their
+rows are ranked and interpolated -- no task sorts the whole column.
 """
 from __future__ import annotations
 
@@ -24,27 +23,37 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, out: str = "q") ->
     return hist.groupBy(*keys).agg(F.expr(f"percentile({value}, array({arr}), _n)").alias(out))
 
 
-def global_quantile(df: DataFrame, value: str, p: float, keys=(), out: str = "q",
-                    partitions: int | None = None) -> DataFrame:
+def mono_bucket(v, per_unit: int = 1024):
+    """Deterministic, monotone (non-decreasing) bucket of a double:
+    floor(sign(v) * log1p(|v|) * per_unit).  Equal values share a bucket and
+    the bucket domain is bounded (about 1.5 M for all finite doubles)."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_unit)).cast("long")
+
+
+def global_quantile(df: DataFrame, value: str, p: float, keys=(), out: str = "q") -> DataFrame:
     """Exact quantile (linear interpolation, like numpy/pandas) of ``value``
-    per ``keys`` (may be empty) via a range-partitioned rank."""
+    per ``keys`` (may be empty).
+
+    Rows are counted per (keys, monotone bucket) -- a small table -- whose
+    running offsets locate the bucket(s) holding ranks floor/ceil of
+    p * (n - 1); only rows of those buckets are ranked.
+    """
     keys = list(keys)
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = v.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    w = Window.partitionBy("_p", *keys).orderBy("_v")
-    ranked = ranged.join(offsets, ["_p", *keys]).withColumn(
-        "_r", F.col("_off") + F.row_number().over(w) - 1)
+    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
+        .withColumn("_b", mono_bucket(F.col("_v")))
+    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    kw = Window.partitionBy(*keys)
+    offs = (counts.withColumn("_off", F.coalesce(F.sum("_c").over(
+        kw.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_n", F.sum("_c").over(kw)))
     pos = F.lit(p) * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    sel = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
-    agg = sel.groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_r") == F.ceil(F.lit(p) * (F.col("_n") - 1)), F.col("_v"))).alias("_hi"),
+    need = offs.where((F.col("_off") <= F.ceil(pos)) & (F.col("_off") + F.col("_c") > F.floor(pos)))
+    sel = v.join(need, [*keys, "_b"])
+    w = Window.partitionBy(*keys, "_b").orderBy("_v")
+    ranked = sel.withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
+    ranked = ranked.where((F.col("_r") == F.floor(pos)) | (F.col("_r") == F.ceil(pos)))
+    agg = ranked.groupBy(*keys).agg(
+        F.max(F.when(F.col("_r") == F.floor(pos), F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_v"))).alias("_hi"),
         F.max(pos - F.floor(pos)).alias("_frac"))
     return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
