@@ -61,17 +61,15 @@ def max_label(df: DataFrame, keys=("machine_id", "timestamp"), label: str = "lab
     return df.groupBy(*keys).agg(F.max(label).alias(label))
 
 
-def idle_by_last_values(long_df: DataFrame, sensor: str = "Cycle_time", n: int = 5,
-                        threshold: float = 0.5, keys=("machine_id",),
-                        ts: str = "timestamp", value: str = "value") -> DataFrame:
-    """Idle test over the last ``n`` readings of a sensor (W14): all null or
-    mean < threshold.  ``row_number`` is taken per machine over that sensor's
-    rows only, through the two-level ``last_n_per_key`` (no window over a
-    machine's whole history).
-    """
-    s = long_df.where(F.col("variable_name") == sensor)
-    last = last_n_per_key(s, keys, ts, n)
+def idle_by_last_rows(wide: DataFrame, column: str = "Cycle_time", n: int = 5,
+                      threshold: float = 0.5, keys=("machine_id",), ts: str = "timestamp"
+                      ) -> DataFrame:
+    """Idle test over the last ``n`` rows of the wide history (W14): the
+    column's values in those rows are all NULL, or their mean < threshold.
+    Rows come from the two-level ``last_n_per_key`` (no window over a
+    machine's whole history)."""
+    last = last_n_per_key(wide.select(*keys, ts, column), keys, ts, n)
     return (last.groupBy(*keys)
-            .agg(F.avg(value).alias("last_mean"), F.count(value).alias("n_values"))
+            .agg(F.avg(column).alias("last_mean"), F.count(column).alias("n_values"))
             .withColumn("is_idle", (F.col("n_values") == 0) |
                         (F.coalesce(F.col("last_mean"), F.lit(0.0)) < threshold)))

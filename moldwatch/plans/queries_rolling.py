@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moldwatch import config
 from moldwatch.operators.encode import apply_encoding, fit_label_encoding, machine_context
-from moldwatch.operators.latest import idle_by_last_values, latest_row, latest_values
+from moldwatch.operators.latest import idle_by_last_rows, latest_row, latest_values
 from moldwatch.operators.pattern import pattern_features
 from moldwatch.operators.rolling import (STATS, fill_forward_backward, lag_features,
                                          rolling_live, rolling_rows_wide, rolling_serving,
@@ -238,15 +238,14 @@ def q_latest_values(spark, sf):
     return lv.select("machine_id", "variable_name", F.round("value", 9).alias("value"), _ntz())
 
 
-# --- W14: idleness from the last 5 Cycle_time values --------------------------
+# --- W14: idleness from Cycle_time in the last 5 rows of the wide history ---
 @register("idle_check", fixture_sql("""
-SELECT machine_id, round(avg(value), 9) AS last_mean, count(value) AS n_values,
-       (count(value) = 0 OR coalesce(avg(value), 0) < 0.5) AS is_idle
-FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY timestamp DESC) AS rn
-      FROM clean WHERE variable_name = 'Cycle_time') t
-WHERE rn <= 5 GROUP BY machine_id"""))
+SELECT machine_id, round(avg(Cycle_time), 9) AS last_mean, count(Cycle_time) AS n_values,
+       (count(Cycle_time) = 0 OR coalesce(avg(Cycle_time), 0) < 0.5) AS is_idle
+FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY timestamp DESC) AS rn FROM w) t
+WHERE rn <= 5 GROUP BY machine_id""", f"\nw AS ({_wide_sql()})"))
 def q_idle(spark, sf):
-    i = idle_by_last_values(fx.clean(spark, sf))
+    i = idle_by_last_rows(wide(spark, sf))
     return i.select("machine_id", F.round("last_mean", 9).alias("last_mean"), "n_values", "is_idle")
 
 
