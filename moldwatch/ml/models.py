@@ -141,3 +141,11 @@ def metrics_record(spark: SparkSession, version: str, metrics: DataFrame, extra:
         row = row.withColumn(k, F.lit(v))
     return row.withColumn("model_version", F.lit(version)).withColumn(
         "created_at", F.current_timestamp())
+
+
+def class_weight_value(train: DataFrame, label: str, cap: float | None = None) -> float:
+    """The class weight as a number for the learner (A8); one aggregate row."""
+    r = train.agg(F.sum((F.col(label) == 1).cast("long")).alias("p"),
+                  F.sum((F.col(label) != 1).cast("long")).alias("n")).first()
+    w = (r["n"] or 0) / max(r["p"] or 0, 1)
+    return min(w, cap) if cap is not None else w
