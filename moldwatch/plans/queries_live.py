@@ -6,9 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moldwatch import config
-from moldwatch.ml import models as ML
-from moldwatch.operators.asof import asof_label
-from moldwatch.operators.rolling import fill_forward_backward
 from moldwatch.plans import fixtures as fx
 from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql
@@ -54,20 +51,9 @@ def q_buffer_status(spark, sf):
 
 
 # --- L3: live scoring with the raw-sensor model ----------------------------------
-_MODEL_CACHE: dict = {}
-
-
 def raw_sensor_model(spark, sf):
-    """The served model: boosted trees on filled raw sensor rows, labelled by
-    the nearest as-of join (the raw-sensor training path)."""
-    key = (sf, id(spark))
-    if key not in _MODEL_CACHE:
-        w = fill_forward_backward(wide(spark, sf), SENSORS)
-        lab = asof_label(w, fx.events(spark, sf), label="label")
-        cw = ML.class_weight_value(lab, "label", cap=50.0)
-        _MODEL_CACHE[key] = ML.train_gbt(ML.with_class_weight(lab, "label", cw), SENSORS, "label",
-                                         preset="retrain_v2", maxIter=50)
-    return _MODEL_CACHE[key]
+    from moldwatch.plans.training import raw_sensor_model as m
+    return m(spark, sf)
 
 
 @register("live_scores")

@@ -80,3 +80,21 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     scored = ML.score(model, test, threshold=config.ML_THRESHOLDS["MEDIUM"])
     _MODEL_CACHE[key] = (model, scored, feats, cw)
     return _MODEL_CACHE[key]
+
+
+_RAW_MODEL_CACHE: dict = {}
+
+
+def raw_sensor_model(spark: SparkSession, sf: str):
+    """The served model: boosted trees on filled raw sensor rows labelled by
+    the nearest as-of join (the raw-sensor training path)."""
+    from moldwatch.operators.rolling import fill_forward_backward
+    from moldwatch.plans.queries_join import wide
+    key = (sf, id(spark))
+    if key not in _RAW_MODEL_CACHE:
+        w = fill_forward_backward(wide(spark, sf), SENSORS)
+        lab = asof_label(w, fx.events(spark, sf), label="label")
+        cw = ML.class_weight_value(lab, "label", cap=50.0)
+        _RAW_MODEL_CACHE[key] = ML.train_gbt(ML.with_class_weight(lab, "label", cw), SENSORS, "label",
+                                             preset="retrain_v2", maxIter=50)
+    return _RAW_MODEL_CACHE[key]
