@@ -217,3 +217,18 @@ def lag_features(wide: DataFrame, sensors, k: int, keys=("machine_id",), ts: str
             cols.append(F.lead(s, 1).over(w).alias(f"{s}_next"))
     out = x.select(*keys, ts, "_own", *cols).where("_own").drop("_own")
     return out.dropna() if drop_nulls else out
+
+
+def master_schema(long_df: DataFrame, windows, stats=STATS, var: str = "variable_name") -> DataFrame:
+    """Feature names ``{variable}__{stat}_{window}`` for every distinct
+    variable in all rows, sorted by variable, window order, stat order (A27).
+    The distinct variable list is an aggregate (one row per variable); the
+    window x stat grid is a fixed literal array, exploded per variable."""
+    grid = F.array(*[F.struct(F.lit(i * len(stats) + j).alias("k"),
+                              F.lit(f"__{st}_{w[0]}").alias("suffix"))
+                     for i, w in enumerate(windows) for j, st in enumerate(stats)])
+    v = long_df.select(var).distinct()
+    x = v.select(var, F.explode(grid).alias("g"))
+    w = Window.orderBy(var, "g.k")  # one row per feature name: bounded by the schema size
+    return x.select(F.concat(F.col(var), F.col("g.suffix")).alias("feature"),
+                    (F.row_number().over(w) - 1).cast("int").alias("position"))
