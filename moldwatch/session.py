@@ -35,10 +35,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+# Window partitions are bounded by halo chunking (see operators.chunking), so
+# a chunk's rows can stay in memory instead of the spillable external array.
+WINDOW_BUFFER_ROWS = 1 << 20
+
+
 def ensure_utc(spark: SparkSession) -> None:
-    """Every time bucket and day boundary in the library is defined in UTC."""
+    """Session settings every operator assumes: time buckets and day
+    boundaries in UTC; window buffers sized for bounded chunk partitions."""
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    key = "spark.sql.windowExec.buffer.in.memory.threshold"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(WINDOW_BUFFER_ROWS))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -7,8 +7,9 @@ restored after executor loss.  Each micro-batch hands a machine only the
 readings of that batch.
 
 Rules (L2), in reading order (timestamp, then arrival ``seq``):
-  * update the buffer with the reading (a ``__clear__`` reading empties the
-    buffer but keeps the snapshot history -- L5);
+  * update the buffer with the reading (a ``__clear__`` control message
+    empties the buffer, keeps the snapshot history and is answered with
+    status "cleared" -- L5);
   * offline if Cycle_time <= 0.1 (snapshot not recorded);
   * else offline ("frozen") if a snapshot was recorded and every sensor in
     both the buffer and that snapshot has the same value (not recorded);
@@ -79,8 +80,12 @@ def _fold(machine_id: str, pdf: pd.DataFrame, state: dict) -> tuple[list, dict]:
     for r in pdf.itertuples(index=False):
         var, val = r.variable_name, r.value
         if var == CLEAR:
+            # control message: empty the buffer, keep the snapshot history,
+            # no status evaluation
             buf = {}
-        elif var is not None and val is not None and not pd.isna(val):
+            out.append((machine_id, int(r.seq), r.timestamp, var, 0, "cleared", [], []))
+            continue
+        if var is not None and val is not None and not pd.isna(val):
             buf[var] = float(val)
         ct = buf.get("Cycle_time")
         if ct is not None and ct <= OFFLINE_CYCLE:
