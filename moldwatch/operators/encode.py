@@ -8,23 +8,32 @@ from moldwatch.functions import tool_from_definition
 from moldwatch.operators.limits import config_dim
 
 
+def first_non_null(df: DataFrame, keys, ts: str, column: str, out: str) -> DataFrame:
+    """Per key, the value of ``column`` at its earliest non-NULL timestamp.
+
+    The earliest timestamp is a hash partial aggregate (one row per key);
+    the values at that timestamp come from a join with it (broadcast by AQE
+    when small) and ties are resolved by ``min`` on that tiny result -- no
+    sort-based aggregate over the raw rows."""
+    keys = list(keys)
+    nn = df.where(F.col(column).isNotNull()).select(*keys, ts, F.col(column).alias(out))
+    first_ts = nn.groupBy(*keys).agg(F.min(ts).alias(ts))
+    return nn.join(first_ts, keys + [ts]).groupBy(*keys).agg(F.min(out).alias(out))
+
+
 def machine_context(df: DataFrame, keys=("machine_id",), ts: str = "timestamp",
                     definition: str = "machine_definition", variant: str = "A") -> DataFrame:
     """Per machine: first non-NULL definition in time order (E2), tool id
     parsed from it (P6/P7/P8), part number from a 'part' column if any else
     UNKNOWN; an explicit 'tool' column overrides the parsed tool."""
     keys = list(keys)
-    first_def = F.min_by(F.col(definition), F.when(F.col(definition).isNotNull(), F.col(ts)))
-    aggs = [first_def.alias("machine_definition")]
     part_cols = [c for c in df.columns if "part" in c.lower() and c not in keys]
     tool_cols = [c for c in df.columns if "tool" in c.lower() and c not in keys]
+    ctx = first_non_null(df, keys, ts, definition, "machine_definition")
     if part_cols:
-        aggs.append(F.min_by(F.col(part_cols[0]), F.when(F.col(part_cols[0]).isNotNull(), F.col(ts)))
-                    .alias("_part"))
+        ctx = ctx.join(first_non_null(df, keys, ts, part_cols[0], "_part"), keys, "full")
     if tool_cols:
-        aggs.append(F.min_by(F.col(tool_cols[0]), F.when(F.col(tool_cols[0]).isNotNull(), F.col(ts)))
-                    .alias("_tool"))
-    ctx = df.groupBy(*keys).agg(*aggs)
+        ctx = ctx.join(first_non_null(df, keys, ts, tool_cols[0], "_tool"), keys, "full")
     tool = tool_from_definition("machine_definition", variant)
     if tool_cols:
         tool = F.coalesce(F.col("_tool").cast("string"), tool)
@@ -54,3 +63,13 @@ def apply_encoding(df: DataFrame, encodings: DataFrame, column: str, out: str |
     j = df.join(enc, F.col(column).cast("string") == F.col("_v"), "left")
     return j.withColumn(out or f"{column}_encoded",
                         F.coalesce(F.col("_code"), F.lit(default))).drop("_v", "_code")
+
+
+def encode_with_map(df: DataFrame, column: str, mapping, out: str | None = None,
+                    default: int = 0) -> DataFrame:
+    """Serving-time encoding from a fixed configuration map (E3): a literal
+    map lookup inside the projection -- no join; unseen / NULL -> default."""
+    pairs = [x for v, code in mapping for x in (F.lit(str(v)), F.lit(int(code)))]
+    m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
+    return df.withColumn(out or f"{column}_encoded",
+                         F.coalesce(m[F.col(column).cast("string")], F.lit(default)))

@@ -70,13 +70,12 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataF
     usual precision_recall_curve; adds f1."""
     sc = score_counts(df, score, label)
     r = running(sc, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, descending=True)
-    tot = sc.agg(F.sum("pos").alias("P"))
-    # scalar (one-row) aggregates are attached by a hash join on a constant key
-    x = r.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    # the lowest kept threshold is the highest one already at full recall
-    full = x.where(F.col("tp") == F.col("P")).agg(F.max("score").alias("_tfull"))
-    x = x.withColumn("_k", F.lit(0)).join(F.broadcast(full.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    x = x.where(F.col("score") >= F.col("_tfull"))
+    # scalars (total positives; the highest threshold at full recall) are
+    # scalar subqueries: one aggregate row each, no join
+    P = sc.agg(F.sum("pos")).scalar()
+    x = r.withColumn("P", P)
+    t_full = x.where(F.col("tp") == F.col("P")).agg(F.max("score")).scalar()
+    x = x.where(F.col("score") >= t_full)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
@@ -89,11 +88,14 @@ def best_threshold(pr: DataFrame, stop_precision: float = 0.85, factors=(0.4, 0.
     """Best-F1 threshold scanning thresholds upwards and stopping after the
     first one with precision >= ``stop_precision`` (that one included);
     first maximum wins.  Recommended LOW / MEDIUM / HIGH = factors x best."""
-    stop = pr.where(F.col("precision") >= stop_precision).agg(F.min("threshold").alias("_stop"))
-    x = pr.withColumn("_k", F.lit(0)).join(F.broadcast(stop.withColumn("_k", F.lit(0))), "_k")
-    x = x.where(F.col("_stop").isNull() | (F.col("threshold") <= F.col("_stop")))
-    best = x.agg(F.max("f1").alias("best_f1"),
-                 F.min_by("threshold", F.struct(-F.col("f1"), F.col("threshold"))).alias("best_threshold"))
+    stop = pr.where(F.col("precision") >= stop_precision).agg(F.min("threshold")).scalar()
+    x = pr.where(stop.isNull() | (F.col("threshold") <= stop))
+    best_f1 = x.agg(F.max("f1")).scalar()
+    # first maximum in ascending threshold order; no F1 above 0 -> 0.5
+    best_t = x.where(F.col("f1") == best_f1).agg(F.min("threshold")).scalar()
+    best = x.agg(F.max("f1").alias("best_f1")).select(
+        F.coalesce("best_f1", F.lit(0.0)).alias("best_f1"),
+        F.when(F.coalesce("best_f1", F.lit(0.0)) > 0, best_t).otherwise(F.lit(0.5)).alias("best_threshold"))
     lo, mid, hi = factors
     return best.select(
         "best_f1", "best_threshold",
@@ -105,9 +107,8 @@ def best_threshold(pr: DataFrame, stop_precision: float = 0.85, factors=(0.4, 0.
 def precision_buckets(pr: DataFrame, stop_precision: float = 0.85) -> DataFrame:
     """Rows where the 5 %-precision bucket int(p*20)*5 (>= 10) first exceeds
     every earlier printed bucket, up to the stop threshold (A21)."""
-    stop = pr.where(F.col("precision") >= stop_precision).agg(F.min("threshold").alias("_stop"))
-    x = pr.withColumn("_k", F.lit(0)).join(F.broadcast(stop.withColumn("_k", F.lit(0))), "_k") \
-        .where(F.col("_stop").isNull() | (F.col("threshold") <= F.col("_stop"))).drop("_k", "_stop")
+    stop = pr.where(F.col("precision") >= stop_precision).agg(F.min("threshold")).scalar()
+    x = pr.where(stop.isNull() | (F.col("threshold") <= stop))
     b = (F.floor(F.col("precision") * 20) * 5).cast("int")
     x = x.withColumn("bucket", b).withColumn("_b10", F.when(b >= 10, b).otherwise(F.lit(0)))
     r = running(x, "threshold", {"_prev_max": ("max", "_b10")}, inclusive=False)

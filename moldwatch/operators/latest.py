@@ -1,20 +1,22 @@
 """Latest-state operators (W12, W13, W14, A1-A4 pivots)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moldwatch.operators.order import last_n_per_key
 
 
 def latest_values(long_df: DataFrame, keys=("machine_id",), var: str = "variable_name",
-                  ts: str = "timestamp", value: str = "value", tie: str | None = "event_id"
+                  ts: str = "timestamp", value: str = "value", tie: str | None = None
                   ) -> DataFrame:
     """Latest value per (keys, variable) (W13, batch twin of the live state).
 
-    A grouped ``max_by`` is a partial aggregate: every map task reduces its
-    rows to one per group before the shuffle, so a hot machine costs one row
-    per task, not its row count.  ``tie`` breaks equal timestamps.
+    ``max_by(value, ts)`` keeps a fixed-width buffer, so it runs as a hash
+    partial aggregate: every map task reduces its rows to one per group
+    before the shuffle, and a hot machine costs one row per task.  Equal
+    timestamps within a group should be averaged first (``dedup_mean``);
+    ``tie`` orders them instead, at the price of a sort-based aggregate.
     """
     order = F.struct(F.col(ts), F.col(tie)) if tie and tie in long_df.columns else F.col(ts)
     return (long_df.groupBy(*keys, var)
@@ -23,11 +25,21 @@ def latest_values(long_df: DataFrame, keys=("machine_id",), var: str = "variable
 
 def latest_row(df: DataFrame, keys=("machine_id",), ts: str = "timestamp",
                tie: str | None = None) -> DataFrame:
-    """The latest full row per key (W12) as a partial aggregate over a struct."""
-    cols = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
-    packed = F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r")
-    return df.groupBy(*keys).agg(packed).select(*keys, "_r.*")
+    """The latest full row per key.
+
+    The latest timestamp per key is a hash partial aggregate (one row per
+    key); joining it back on (key, ts) is a broadcast hash join when AQE
+    sees that the per-key table is small, so the wide side is filtered in
+    place, never shuffled or sorted.  Rows sharing the latest timestamp are
+    reduced by ``tie`` (largest wins) on that already tiny result.
+    """
+    keys = list(keys)
+    mx = df.groupBy(*keys).agg(F.max(ts).alias(ts))
+    at = df.join(mx, keys + [ts])
+    if tie:
+        w = Window.partitionBy(*keys).orderBy(F.col(tie).desc())
+        at = at.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
+    return at.select(*df.columns)
 
 
 def pivot_wide(long_df: DataFrame, variables, keys=("machine_id", "timestamp"),

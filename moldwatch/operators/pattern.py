@@ -46,14 +46,9 @@ def pattern_features(wide: DataFrame, sensors, keys=("machine_id",), ts: str = "
             F.struct(F.lit(s).alias("sensor"), F.col(f"{s}__pstd_{n}").alias("v"))
             for s in sensors])).alias("_x")).select("_x.*")
         thr = global_quantile(long, "v", 0.75, keys=["sensor"], out="q")
-        row = thr.groupBy().pivot("sensor", list(sensors)).agg(F.first("q"))
-        row = row.select(*[F.col(s).alias(f"_thr_{s}") for s in sensors], F.lit(0).alias("_scalar"))
-        # A global aggregate has exactly one row: a scalar, so the broadcast
-        # is size-bounded by construction (hash join on a constant key).
-        out = (out.withColumn("_scalar", F.lit(0))
-               .join(F.broadcast(row), "_scalar", "left").drop("_scalar"))
+        # all thresholds as one map-valued scalar subquery (one row)
+        thr_map = thr.agg(F.map_from_entries(F.collect_list(F.struct("sensor", "q")))).scalar()
         for s in sensors:
             out = out.withColumn(f"{s}__is_stable", F.coalesce(
-                (F.col(f"{s}__pstd_{n}") < F.col(f"_thr_{s}")).cast("int"), F.lit(0))) \
-                .drop(f"_thr_{s}")
+                (F.col(f"{s}__pstd_{n}") < thr_map[F.lit(s)]).cast("int"), F.lit(0)))
     return out.fillna(0.0, subset=pcols)

@@ -69,12 +69,10 @@ def temporal_split(df: DataFrame, order_cols, train_fraction: float = 0.8, ts: s
     ts = ts or order_cols[0]
     x = df.withColumn("_day", F.to_date(F.col(ts)))
     x = global_row_index(x, [F.col(c) for c in order_cols], "_day", "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    # one-row scalar attached by a hash join on a constant key
-    x = x.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")
-    cut = F.floor(F.col("_n") * F.lit(train_fraction))
+    n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery: one aggregate row
+    cut = F.floor(n * F.lit(train_fraction))
     return x.withColumn(out, F.when(F.col("_pos") < cut, "TRAIN").otherwise("TEST")) \
-        .drop("_k", "_n", "_day", "_pos")
+        .drop("_day", "_pos")
 
 
 def _hash_u(key_cols, seed: int):

@@ -140,10 +140,10 @@ FROM (SELECT count(*) AS n, CAST(sum(CASE WHEN is_scrap_actual = 1 THEN 1 ELSE 0
 def q_label_balance(spark, sf):
     xy = _scored_xy(spark, sf)
     lb = label_balance(xy)
-    cw = class_weight(xy).select("class_weight")
-    cw50 = class_weight(xy, cap=50).select(F.col("class_weight").alias("class_weight_cap50"))
-    k = F.lit(0)
-    j = (lb.withColumn("_k", k).join(cw.withColumn("_k", k), "_k").join(cw50.withColumn("_k", k), "_k"))
+    # one-row aggregates attached as scalar subqueries
+    cw = class_weight(xy).select("class_weight").scalar()
+    cw50 = class_weight(xy, cap=50).select("class_weight").scalar()
+    j = lb.withColumn("class_weight", cw).withColumn("class_weight_cap50", cw50)
     return j.select("n", "n_pos", "n_neg", _r9("pos_pct"), _r9("imbalance_ratio"), _r9("class_weight"),
                     _r9("class_weight_cap50"))
 
@@ -181,9 +181,9 @@ SELECT machine_status_code, count(scrap_quantity) AS rows, CAST(sum(scrap_quanti
 FROM production_log GROUP BY machine_status_code"""))
 def q_status_breakdown(spark, sf):
     b = status_breakdown(production_log_raw(spark, sf))
-    k = kept_summary(fx.events(spark, sf)).select(F.col("events").alias("kept_events"),
-                                                  F.col("total_scrap").alias("kept_scrap"))
-    j = b.withColumn("_k", F.lit(0)).join(F.broadcast(k.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    k = kept_summary(fx.events(spark, sf))
+    j = b.withColumn("kept_events", k.select("events").scalar()) \
+        .withColumn("kept_scrap", k.select("total_scrap").scalar())
     return j.select("machine_status_code", "rows", F.col("total_scrap").cast("long"),
                     F.col("total_yield").cast("long"), "scrap_pct", "kept_events",
                     F.col("kept_scrap").cast("long"))

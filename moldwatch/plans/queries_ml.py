@@ -39,10 +39,13 @@ def _xy(scored):
 def q_model_metrics(spark, sf):
     _, scored, feats, cw = T.trained(spark, sf)
     xy = _xy(scored)
-    k = F.lit(0)
-    m = (confusion(xy, threshold=0.5).withColumn("_k", k)
-         .join(roc_auc(xy).withColumn("_k", k), "_k")
-         .join(best_threshold(pr_curve(xy)).withColumn("_k", k), "_k").drop("_k"))
+    m = confusion(xy, threshold=0.5)
+    auc = roc_auc(xy)
+    best = best_threshold(pr_curve(xy))
+    # one-row metric tables attached as scalar subqueries
+    m = m.withColumn("auc", auc.select("auc").scalar())
+    for c in ("best_f1", "best_threshold", "low_threshold", "medium_threshold", "high_threshold"):
+        m = m.withColumn(c, best.select(c).scalar())
     return ML.metrics_record(spark, "gbt-" + T.LABEL, m,
                              {"n_features": len(feats), "class_weight": float(cw)}).drop("created_at")
 
@@ -67,8 +70,7 @@ def q_explain(spark, sf):
     imp = ML.importances(spark, model, feats).where(F.col("rank") <= 10)
     top = imp.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))),
                                            lambda e: e["feature"]), ",").alias("top_features"))
-    return s.select("machine_id", _ntz(), "scrap_probability").withColumn("_k", F.lit(0)).join(
-        F.broadcast(top.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return s.select("machine_id", _ntz(), "scrap_probability").withColumn("top_features", top.scalar())
 
 
 @register("random_forest_scores")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moldwatch import config
-from moldwatch.operators.encode import apply_encoding, fit_label_encoding, machine_context
+from moldwatch.operators.encode import apply_encoding, encode_with_map, fit_label_encoding, machine_context
 from moldwatch.operators.latest import idle_by_last_rows, latest_row, latest_values
 from moldwatch.operators.pattern import pattern_features
 from moldwatch.operators.rolling import (STATS, fill_forward_backward, lag_features,
@@ -273,8 +273,7 @@ def q_machine_context(spark, sf):
     raw = telemetry_raw(spark, sf).withColumn("machine_id", normalize_machine_id("machine_id"))
     ctx = machine_context(raw)
     fitted = fit_label_encoding(ctx, "tool_id")
-    fixed = config.encodings_df(spark)
     out = apply_encoding(ctx, fitted, "tool_id", broadcast_dim=False)
-    out = apply_encoding(out, fixed, "tool_id", out="tool_id_fixed_code")
+    out = encode_with_map(out, "tool_id", config.ENCODINGS["tool_id"], out="tool_id_fixed_code")
     return out.select("machine_id", "machine_definition", "tool_id", "part_number",
                       "tool_id_encoded", "tool_id_fixed_code")

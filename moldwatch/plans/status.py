@@ -29,9 +29,8 @@ def machine_status(clean: DataFrame, scored: DataFrame, limits: DataFrame,
             F.struct("ordinal", "direction", "parameter"))), lambda e: e["parameter"]), ",")
         .alias("violated"))
     last_ts = src.groupBy("machine_id").agg(F.max("timestamp").alias("timestamp"))
-    tie = F.struct("timestamp", "event_id") if "event_id" in scored.columns else F.col("timestamp")
     risk = scored.groupBy("machine_id").agg(
-        F.max_by("scrap_probability", tie).alias("ml_risk_probability"))
+        F.max_by("scrap_probability", "timestamp").alias("ml_risk_probability"))
     m = (machines.join(last_ts, "machine_id", "left")
          .join(v_agg, "machine_id", "left").join(risk, "machine_id", "left"))
     has_data = F.col("timestamp").isNotNull()

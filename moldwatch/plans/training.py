@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moldwatch import config
 from moldwatch.ml import models as ML
 from moldwatch.operators.asof import MINUTE_US, asof_label
-from moldwatch.operators.encode import apply_encoding, fit_label_encoding, machine_context
+from moldwatch.operators.encode import apply_encoding, encode_with_map, fit_label_encoding, machine_context
 from moldwatch.operators.latest import max_label
 from moldwatch.operators.pattern import pattern_features
 from moldwatch.operators.rolling import long_to_wide_features, rolling_time_long
@@ -43,9 +43,8 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
     wide = pattern_features(wide, SENSORS, source="mean_1d")
     raw = telemetry_raw(spark, sf).withColumn("machine_id", normalize_machine_id("machine_id"))
     ctx = machine_context(raw)
-    enc = config.encodings_df(spark)
-    ctx = apply_encoding(ctx, enc, "tool_id")
-    ctx = apply_encoding(ctx, enc, "part_number")
+    ctx = encode_with_map(ctx, "tool_id", config.ENCODINGS["tool_id"])
+    ctx = encode_with_map(ctx, "part_number", config.ENCODINGS["part_number"])
     ctx = apply_encoding(ctx, fit_label_encoding(ctx, "machine_id"), "machine_id", broadcast_dim=False)
     wide = wide.join(ctx.select("machine_id", "tool_id_encoded", "part_number_encoded",
                                 "machine_id_encoded"), "machine_id", "left")
