@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moldwatch.operators.stats import mono_bucket
+from moldwatch.operators.stats import range_buckets
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -26,13 +26,14 @@ def running(df: DataFrame, order: str, aggs: dict, descending: bool = False,
     """Running aggregates over a global order in two levels.
 
     ``aggs``: out_name -> (fn, column) with fn in {"sum", "max"}.  Rows get a
-    deterministic monotone bucket of the order value (``mono_bucket``:
-    equal values share a bucket, at most ~1.5 M buckets for any double).
-    Per-bucket totals form a small table whose running carry-in is one
-    window over buckets; inside a bucket a running window finishes the job.
+    balanced range bucket of the order value (``range_buckets``: at most
+    4096 buckets, equal values share one).  Per-bucket totals form a small
+    table whose running carry-in is one window over buckets; inside a bucket
+    a running window finishes the job.  Inputs are per-distinct-value tables
+    (e.g. per score), so a bucket holds about 1/4096 of the distinct values.
     """
     sign = -1 if descending else 1
-    x = df.withColumn("_b", mono_bucket(F.col(order)) * F.lit(sign))
+    x = range_buckets(df, order).withColumn("_b", F.col("_b") * F.lit(sign))
     fns = {"sum": F.sum, "max": F.max}
     tot = x.groupBy("_b").agg(*[fns[fn](c).alias(f"_t_{k}") for k, (fn, c) in aggs.items()])
     pw = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +42,7 @@ def running(df: DataFrame, order: str, aggs: dict, descending: bool = False,
     hi = 0 if inclusive else -1
     o = F.col(order).desc() if descending else F.col(order).asc()
     w = Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, hi)
-    # bucket table: bounded by the bucket domain, not by the row count
+    # bucket table: at most 4096 rows, not growing with the data
     y = x.join(F.broadcast(carry), "_b")
     cols = []
     for k, (fn, c) in aggs.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moldwatch import config
+from moldwatch.operators.stats import global_quantile
 
 # Sensors whose lower limit may be negative (name contains one of these).
 SIGNED_KEYWORDS = ["deviation", "offset", "tmp"]
@@ -85,16 +86,14 @@ def percentile_limits(long_df: DataFrame, prob_col: str = "scrap_probability",
                       exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Safe limits from low-risk rows: 1st / 99th percentile per sensor, 2 dp.
 
-    exact: values are first counted per (sensor, value) -- a partial
-    aggregate that splits a hot sensor over many tasks -- and the weighted
-    ``percentile(value, p, count)`` then only sees distinct values.
+    exact: ``global_quantile`` (balanced range buckets; only the boundary
+    bucket's rows are ranked), so a hot sensor is never one task.
     ``exact=False`` uses the mergeable ``percentile_approx`` sketch.
     """
     rows = long_df.where(F.col(prob_col) < max_prob)
     if exact:
-        hist = rows.groupBy(var, value).agg(F.count(F.lit(1)).alias("_n"))
-        q = F.expr(f"percentile({value}, array({lo}, {hi}), _n)")
-        agg = hist.groupBy(var).agg(q.alias("_q"))
+        agg = global_quantile(rows, value, [lo, hi], keys=[var], out=["_qlo", "_qhi"]) \
+            .select(var, F.array("_qlo", "_qhi").alias("_q"))
     else:
         agg = rows.groupBy(var).agg(
             F.percentile_approx(value, [lo, hi], accuracy).alias("_q"))

@@ -4,9 +4,10 @@
 a grouped quantile the values are first counted per (group, value) -- a
 partial aggregate -- and the weighted percentile only sees distinct values.
 For a global quantile over a column with mostly distinct values the rows
-are counted per deterministic monotone bucket, the bucket(s) holding the two
-ranks around p * (n - 1) are located on that small table, and only their
-rows are ranked and interpolated -- no task sorts the whole column.
+are counted per balanced range bucket (approximate-quantile split points), the
+bucket(s) holding the two ranks around p * (n - 1) are located on that
+small table, and only their rows are ranked and interpolated -- no task
+sorts the whole column.
 """
 from __future__ import annotations
 
@@ -30,30 +31,70 @@ def mono_bucket(v, per_unit: int = 1024):
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_unit)).cast("long")
 
 
-def global_quantile(df: DataFrame, value: str, p: float, keys=(), out: str = "q") -> DataFrame:
-    """Exact quantile (linear interpolation, like numpy/pandas) of ``value``
-    per ``keys`` (may be empty).
+def range_buckets(df: DataFrame, value: str, out: str = "_b", buckets: int = 4096) -> DataFrame:
+    """Balanced, monotone range buckets of ``value``.
 
-    Rows are counted per (keys, monotone bucket) -- a small table -- whose
-    running offsets locate the bucket(s) holding ranks floor/ceil of
-    p * (n - 1); only rows of those buckets are ranked.
+    Split points are approximate quantiles (a bounded sketch: at most
+    ``buckets`` + 1 numbers reach the driver); each row is placed by binary
+    search in the JVM (``Bucketizer``).  Equal values always share a bucket,
+    so a value repeated in a third of all rows makes one bucket whose rows
+    are all equal -- callers short-cut such constant buckets instead of
+    ranking them.
     """
+    from pyspark.ml.feature import QuantileDiscretizer
+    x = df.withColumn("_qv", F.col(value).cast("double"))
+    qd = QuantileDiscretizer(numBuckets=buckets, inputCol="_qv", outputCol="_qb",
+                             relativeError=1.0 / (4 * buckets), handleInvalid="keep")
+    model = qd.fit(x)
+    return model.transform(x).withColumn(out, F.col("_qb").cast("long")).drop("_qv", "_qb")
+
+
+def global_quantile(df: DataFrame, value: str, p, keys=(), out="q") -> DataFrame:
+    """Exact quantile(s) (linear interpolation, like numpy/pandas) of
+    ``value`` per ``keys`` (may be empty); ``p`` a float (column ``out``) or
+    a list (columns ``out[i]``).
+
+    Rows are counted per (keys, balanced range bucket) -- a small table with
+    min / max per bucket -- whose running offsets locate the bucket(s)
+    holding ranks floor / ceil of p * (n - 1).  A constant bucket answers
+    directly; only rows of a mixed boundary bucket (about n / 4096 rows)
+    are ranked.  No task sorts a whole column or a whole hot key.
+    """
+    probs = [p] if isinstance(p, (int, float)) else list(p)
+    outs = [out] if isinstance(p, (int, float)) else list(out)
     keys = list(keys)
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
-        .withColumn("_b", mono_bucket(F.col("_v")))
-    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    v = range_buckets(v, "_v")
+    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
+                                        F.max("_v").alias("_mx"))
     kw = Window.partitionBy(*keys)
     offs = (counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         kw.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_n", F.sum("_c").over(kw)))
-    pos = F.lit(p) * (F.col("_n") - 1)
-    need = offs.where((F.col("_off") <= F.ceil(pos)) & (F.col("_off") + F.col("_c") > F.floor(pos)))
-    sel = v.join(need, [*keys, "_b"])
+    ranks = []
+    for q in probs:
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        ranks += [F.floor(pos), F.ceil(pos)]
+    # one row per (key, target rank): the bucket that holds the rank
+    tgt = offs.select(*keys, "_b", "_c", "_mn", "_mx", "_off", "_n",
+                      F.explode(F.array_distinct(F.array(*ranks))).alias("_r"))
+    tgt = tgt.where((F.col("_off") <= F.col("_r")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+    const = tgt.where(F.col("_mn") == F.col("_mx")).select(*keys, "_r", F.col("_mn").alias("_val"))
+    mixed = tgt.where(F.col("_mn") != F.col("_mx")).select(*keys, "_b", "_off", "_r")
+    rows = v.join(mixed.select(*keys, "_b").distinct(), [*keys, "_b"])
     w = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = sel.withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
-    ranked = ranked.where((F.col("_r") == F.floor(pos)) | (F.col("_r") == F.ceil(pos)))
-    agg = ranked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == F.floor(pos), F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_v"))).alias("_hi"),
-        F.max(pos - F.floor(pos)).alias("_frac"))
-    return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
+    ranked = rows.withColumn("_rn", F.row_number().over(w) - 1)
+    picked = ranked.join(mixed, [*keys, "_b"]).where(F.col("_off") + F.col("_rn") == F.col("_r")) \
+        .select(*keys, "_r", F.col("_v").alias("_val"))
+    vals = const.unionByName(picked)
+    n = offs.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    j = n.join(vals, keys, "left") if keys else vals.withColumn("_n", n.select("_n").scalar())
+    aggs = []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        aggs += [F.max(F.when(F.col("_r") == F.floor(pos), F.col("_val"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_val"))).alias(f"_hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_fr{i}")]
+    agg = j.groupBy(*keys).agg(*aggs)
+    return agg.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))
+                               .alias(o) for i, o in enumerate(outs)])
