@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE_US = 60_000_000
+HOUR_US = 3_600_000_000
 DAY_US = 86_400_000_000
 
 
@@ -28,9 +29,12 @@ def _chunk(us: Column, chunk_us: int) -> Column:
 
 
 def _chunked_union(left: DataFrame, right: DataFrame, by, left_ts: str, right_ts: str,
-                   lo_us: int, hi_us: int, chunk_us: int, payload=None) -> DataFrame:
+                   lo_us: int, hi_us: int, chunk_us: int | None, payload=None) -> DataFrame:
     """Union of left rows (own chunk) and right rows copied to every chunk
-    whose left rows t satisfy ``right - t`` in [lo_us, hi_us]."""
+    whose left rows t satisfy ``right - t`` in [lo_us, hi_us].  Default
+    chunk: 12 match intervals, at least one hour (halo <= 1/12 of the right
+    side), so a hot machine spreads over many (machine, chunk) tasks."""
+    chunk_us = chunk_us or max(12 * (hi_us - lo_us), HOUR_US)
     if chunk_us < hi_us - lo_us:
         raise ValueError("chunk must be at least as wide as the match interval")
     by = list(by)
@@ -55,7 +59,7 @@ def _chunked_union(left: DataFrame, right: DataFrame, by, left_ts: str, right_ts
 
 def asof_label(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="timestamp",
                right_ts="event_ts", tolerance_us: int = 5 * MINUTE_US, direction: str = "nearest",
-               label: str = "label", chunk_us: int = DAY_US) -> DataFrame:
+               label: str = "label", chunk_us: int | None = None) -> DataFrame:
     """1 if a right row of the same key lies in the match interval, else 0.
 
     nearest  (J1): right in [t - tol, t + tol] (inclusive both sides)
@@ -74,7 +78,7 @@ def asof_label(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="t
 
 def asof_nearest(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="timestamp",
                  right_ts="event_ts", tolerance_us: int = 5 * MINUTE_US, payload=None,
-                 chunk_us: int = DAY_US, prefer: str = "earlier") -> DataFrame:
+                 chunk_us: int | None = None, prefer: str = "earlier") -> DataFrame:
     """Nearest right row within the tolerance (J1 full row, merge_asof
     'nearest').  Adds ``payload`` columns of the matched right row plus
     ``match_ts`` and ``match_gap_us`` (right - left); NULL when none.  Equal
@@ -107,7 +111,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts=
 
 
 def context_rows(df: DataFrame, flag: str, by=("machine_id", "variable_name"), ts="timestamp",
-                 radius_us: int = 30 * MINUTE_US, chunk_us: int = DAY_US,
+                 radius_us: int = 30 * MINUTE_US, chunk_us: int | None = None,
                  out: str = "in_context") -> DataFrame:
     """Rows within +-radius of a flagged row of the same key, inclusive.
 

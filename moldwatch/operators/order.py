@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def _bucket(ts: str, bucket_us: int):
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_us)).cast("long")
 
 
-def last_n_per_key(df: DataFrame, keys, ts: str, n: int, bucket_us: int = DAY_US,
+def last_n_per_key(df: DataFrame, keys, ts: str, n: int, bucket_us: int = HOUR_US,
                    tie: str | None = None, rank_col: str = "_rn") -> DataFrame:
     """Rows ranked 1..n from the end of each key (``rank_col`` = 1 is latest).
 
@@ -60,7 +61,7 @@ def global_row_index(df: DataFrame, order_cols, bucket_col: str, index_col: str
             .drop("_off"))
 
 
-def keyed_row_index(df: DataFrame, keys, ts: str, bucket_us: int = DAY_US,
+def keyed_row_index(df: DataFrame, keys, ts: str, bucket_us: int = HOUR_US,
                     tie: str | None = None, index_col: str = "_idx") -> DataFrame:
     """0-based position of each row inside its key in (ts, tie) order.
 

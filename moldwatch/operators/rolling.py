@@ -46,7 +46,7 @@ def rolling_time_long(long_df: DataFrame, windows, keys=("machine_id", "variable
     """
     keys = list(keys)
     wmax = max(s for _, s in windows) * 1_000_000
-    chunk_us = chunk_us or max(4 * wmax, 86_400_000_000)
+    chunk_us = chunk_us or max(4 * wmax, 3_600_000_000)
     x = time_chunked(long_df.where(F.col(value).isNotNull()), ts, behind_us=wmax,
                      chunk_us=chunk_us)
     base = Window.partitionBy(*keys, "_chunk").orderBy("_t")
@@ -149,7 +149,7 @@ def rolling_serving(wide: DataFrame, sensors, windows, keys=("machine_id",),
     keys = list(keys)
     filled = fill_forward_backward(wide, sensors, keys, ts)
     wmax = max(s for _, s in windows) * 1_000_000
-    x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(4 * wmax, 86_400_000_000))
+    x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(4 * wmax, 3_600_000_000))
     base = Window.partitionBy(*keys, "_chunk").orderBy("_t")
     cols = []
     for s in sensors:
