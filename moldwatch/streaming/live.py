@@ -227,11 +227,14 @@ def live_scores(status_rows: DataFrame, model, features) -> DataFrame:
 
 
 def windowed_readings(stream: DataFrame, window: str = "6 hours", slide: str | None = None,
-                      watermark: str = "1 day") -> DataFrame:
+                      watermark: str | None = "1 day") -> DataFrame:
     """Event-time windows with a watermark (L7): count / mean / max per
-    machine and sensor; late rows beyond the watermark are dropped."""
+    machine and sensor; late rows beyond the watermark are dropped.
+    ``watermark=None`` keeps a watermark defined upstream (e.g. by
+    ``dedup_readings``)."""
     w = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
-    return (stream.withWatermark("timestamp", watermark)
+    src = stream.withWatermark("timestamp", watermark) if watermark else stream
+    return (src
             .groupBy("machine_id", "variable_name", w.alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
                  F.max("value").alias("max_value"))
