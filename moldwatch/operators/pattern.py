@@ -10,7 +10,7 @@ from moldwatch.operators.stats import global_quantile
 
 def pattern_features(wide: DataFrame, sensors, keys=("machine_id",), ts: str = "timestamp",
                      n: int = 10, min_periods: int = 3, source: str = "raw",
-                     stability: bool = False, chunk_rows: int = 200_000) -> DataFrame:
+                     stability: bool = False, chunk_rows: int = 4000) -> DataFrame:
     """Per sensor: rolling std/mean over ``n`` rows (min ``min_periods``
     non-NULL), slope of the non-NULL values against 0..k-1 (``regr_slope``
     against the running non-NULL count, which is shift-invariant), relative

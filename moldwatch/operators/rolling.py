@@ -80,7 +80,7 @@ def long_to_wide_features(long_feats: DataFrame, sensors, windows, keys=("machin
 
 
 def rolling_rows_wide(wide: DataFrame, sensors, windows, keys=("machine_id",),
-                      ts: str = "timestamp", stats=STATS, chunk_rows: int = 200_000
+                      ts: str = "timestamp", stats=STATS, chunk_rows: int | None = None
                       ) -> DataFrame:
     """Row-count rolling on a wide table per machine.
 
@@ -91,7 +91,8 @@ def rolling_rows_wide(wide: DataFrame, sensors, windows, keys=("machine_id",),
     """
     keys = list(keys)
     nmax = max(n for _, n in windows)
-    x = row_chunked(wide, keys, ts, behind_rows=nmax - 1, chunk_rows=chunk_rows)
+    x = row_chunked(wide, keys, ts, behind_rows=nmax - 1,
+                    chunk_rows=chunk_rows or max(20 * nmax, 4000))
     base = Window.partitionBy(*keys, "_chunk").orderBy("_idx")
     cols = []
     for s in sensors:
@@ -173,7 +174,7 @@ def rolling_live(wide: DataFrame, sensors, window_s: int, keys=("machine_id",),
     """
     keys = list(keys)
     w_us = window_s * 1_000_000
-    x = row_chunked(wide, keys, ts, behind_rows=cap - 1, chunk_rows=max(20 * cap, 100_000))
+    x = row_chunked(wide, keys, ts, behind_rows=cap - 1, chunk_rows=max(4 * cap, 4000))
     x = x.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     wt = Window.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(-w_us, 0)
     wr = Window.partitionBy(*keys, "_chunk").orderBy("_idx").rowsBetween(-(cap - 1), 0)
@@ -201,7 +202,7 @@ def rolling_live(wide: DataFrame, sensors, window_s: int, keys=("machine_id",),
 
 
 def lag_features(wide: DataFrame, sensors, k: int, keys=("machine_id",), ts: str = "timestamp",
-                 target_lead: bool = True, drop_nulls: bool = True, chunk_rows: int = 200_000
+                 target_lead: bool = True, drop_nulls: bool = True, chunk_rows: int = 4000
                  ) -> DataFrame:
     """Lags 1..k of every sensor and the lead(1) target, per machine
     (never across machines); rows with any NULL dropped.  Row-halo chunked."""
