@@ -9,7 +9,7 @@ from moldwatch import config
 from moldwatch.plans import fixtures as fx
 from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql
-from moldwatch.plans.queries_join import wide
+from moldwatch.plans.queries_join import _wide_sql, wide
 from moldwatch.streaming import live as L
 
 SENSORS = config.FIXTURE_SENSORS
@@ -119,7 +119,21 @@ def q_live_windows(spark, sf):
 
 
 # --- L6: history timeline + the latest live point -----------------------------
-@register("live_timeline")
+def _timeline_sql():
+    sens = ", ".join(f"round({x}, 9) AS {x}" for x in SENSORS)
+    live = ", ".join(f"round(max(v) FILTER (WHERE variable_name = '{x}'), 9) AS {x}" for x in SENSORS)
+    return f"""
+SELECT machine_id, timestamp, {sens}, false AS is_live FROM w
+UNION ALL
+SELECT l.machine_id, l.timestamp, {live.replace('max(v)', 'max(b.v)')}, true AS is_live
+FROM (SELECT machine_id, arg_max(timestamp, event_id) AS timestamp FROM clean GROUP BY 1) l
+JOIN (SELECT machine_id, variable_name, arg_max(value, timestamp) AS v FROM clean GROUP BY 1, 2) b
+  USING (machine_id)
+GROUP BY l.machine_id, l.timestamp"""
+
+
+@register("live_timeline", fixture_sql(_timeline_sql(), f"\nw AS ({_wide_sql()})"))
 def q_live_timeline(spark, sf):
     t = L.live_append_timeline(wide(spark, sf), live_status(spark, sf), SENSORS)
-    return t.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return t.select("machine_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                    *[F.round(x, 9).alias(x) for x in SENSORS], "is_live")
