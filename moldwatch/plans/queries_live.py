@@ -36,11 +36,50 @@ def live_status(spark, sf):
 
 
 # --- L1 + L2: per-reading live / offline status from the keyed state ---------
-@register("live_status")
+def _status_sql():
+    n = len(SENSORS)
+    idx = range(1, n + 1)
+    nb = ",\n           ".join(
+        f"CASE WHEN o.variable_name = '{x}' THEN o.value ELSE r.b{i} END AS nb{i}"
+        for i, x in zip(idx, SENSORS))
+    ct = SENSORS.index("Cycle_time") + 1
+    shared = " OR ".join(f"(nb{i} IS NOT NULL AND p{i} IS NOT NULL)" for i in idx)
+    equal = " AND ".join(f"(nb{i} IS NULL OR p{i} IS NULL OR nb{i} = p{i})" for i in idx)
+    offline = (f"((nb{ct} IS NOT NULL AND nb{ct} <= {L.OFFLINE_CYCLE}) OR "
+               f"(hp AND ({shared}) AND {equal}))")
+    bcols = ", ".join(f"nb{i}" for i in idx)
+    pnew = ", ".join(f"CASE WHEN {offline} THEN p{i} ELSE nb{i} END" for i in idx)
+    rcols = ", ".join(f"b{i}" for i in idx) + ", hp, " + ", ".join(f"p{i}" for i in idx)
+    step = f"""
+  SELECT machine_id, rn, seq, timestamp, variable_name, {bcols},
+         CASE WHEN {offline} THEN hp ELSE true END, {pnew},
+         CASE WHEN {offline} THEN 'offline' ELSE 'success' END
+  FROM (SELECT o.machine_id, o.rn, o.seq, o.timestamp, o.variable_name,
+           {nb},
+           r.hp, {", ".join(f"r.p{i}" for i in idx)}
+        FROM {{src}}) x"""
+    first = step.replace("{src}", "ord o LEFT JOIN (SELECT NULL::VARCHAR AS machine_id, "
+                         + ", ".join(f"NULL::DOUBLE AS b{i}" for i in idx) + ", false AS hp, "
+                         + ", ".join(f"NULL::DOUBLE AS p{i}" for i in idx)
+                         + ") r ON true WHERE o.rn = 1")
+    rec = step.replace("{src}", "rec r JOIN ord o ON o.machine_id = r.machine_id AND o.rn = r.rn + 1")
+    cnt = " + ".join(f"CAST(b{i} IS NOT NULL AS INT)" for i in idx)
+    outs = ", ".join(f"round(b{i}, 9) AS {x}" for i, x in zip(idx, SENSORS))
+    return f"""
+SELECT machine_id, seq, timestamp, variable_name, {cnt} AS sensors_buffered, status, {outs}
+FROM rec""", f"""
+ord AS (SELECT machine_id, event_id AS seq, timestamp, variable_name, value,
+               row_number() OVER (PARTITION BY machine_id ORDER BY timestamp, event_id) AS rn FROM clean),
+rec(machine_id, rn, seq, timestamp, variable_name, {rcols}, status) AS ({first}
+  UNION ALL{rec})"""
+
+
+@register("live_status", fixture_sql(_status_sql()[0], _status_sql()[1]).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_live_status(spark, sf):
     s = live_status(spark, sf)
+    m = F.map_from_arrays("sensor_keys", "sensor_vals")
     return s.select("machine_id", "seq", _ntz(), "variable_name", "sensors_buffered", "status",
-                    F.to_json(F.map_from_arrays("sensor_keys", "sensor_vals")).alias("sensors"))
+                    *[F.round(m[x], 9).alias(x) for x in SENSORS])
 
 
 # --- L5: buffer size per machine after the last reading -----------------------
