@@ -41,12 +41,16 @@ def range_buckets(df: DataFrame, value: str, out: str = "_b", buckets: int = 409
     are all equal -- callers short-cut such constant buckets instead of
     ranking them.
     """
-    from pyspark.ml.feature import QuantileDiscretizer
+    from pyspark.ml.feature import Bucketizer
     x = df.withColumn("_qv", F.col(value).cast("double"))
-    qd = QuantileDiscretizer(numBuckets=buckets, inputCol="_qv", outputCol="_qb",
-                             relativeError=1.0 / (4 * buckets), handleInvalid="keep")
-    model = qd.fit(x)
-    return model.transform(x).withColumn(out, F.col("_qb").cast("long")).drop("_qv", "_qb")
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = x.approxQuantile("_qv", probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+    inner = sorted({q for q in qs if q == q and q not in (float("inf"), float("-inf"))})
+    if not inner:  # empty input: one bucket
+        return df.withColumn(out, F.lit(0).cast("long"))
+    splits = [float("-inf")] + inner + [float("inf")]
+    bz = Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb", handleInvalid="keep")
+    return bz.transform(x).withColumn(out, F.col("_qb").cast("long")).drop("_qv", "_qb")
 
 
 def global_quantile(df: DataFrame, value: str, p, keys=(), out="q") -> DataFrame:
