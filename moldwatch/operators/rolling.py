@@ -152,13 +152,20 @@ def rolling_serving(wide: DataFrame, sensors, windows, keys=("machine_id",),
     wmax = max(s for _, s in windows) * 1_000_000
     x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(4 * wmax, 3_600_000_000))
     base = Window.partitionBy(*keys, "_chunk").orderBy("_t")
+    # After the fill a sensor column is NULL on every row of a machine or on
+    # none, and the frame always holds the current row; so "at least one
+    # value in the frame" is "the current value is not NULL" and no count
+    # aggregate is needed (one aggregate less per sensor and window).
     cols = []
     for s in sensors:
+        x_s = F.col(s)
+        has = x_s.isNotNull()
         for name, secs in windows:
-            st = _stat_cols(F.col(s), base.rangeBetween(-(secs * 1_000_000 - 1), 0), stats, 1)
-            st["std"] = F.coalesce(st["std"], F.when(F.count(F.col(s)).over(
-                base.rangeBetween(-(secs * 1_000_000 - 1), 0)) >= 1, F.lit(0.0)))
-            cols += [st[k].alias(f"{s}__{k}_{name}") for k in stats]
+            w = base.rangeBetween(-(secs * 1_000_000 - 1), 0)
+            vals = {"mean": F.avg(x_s).over(w),
+                    "std": F.coalesce(F.stddev_samp(x_s).over(w), F.lit(0.0)),
+                    "min": F.min(x_s).over(w), "max": F.max(x_s).over(w), "last": x_s}
+            cols += [F.when(has, vals[k]).alias(f"{s}__{k}_{name}") for k in stats]
     return x.select(*keys, ts, "_own", *cols).where("_own").drop("_own")
 
 
@@ -167,38 +174,56 @@ def rolling_live(wide: DataFrame, sensors, window_s: int, keys=("machine_id",),
                  ) -> DataFrame:
     """Closed frame [t - w, t] intersected with the last ``cap`` rows.
 
-    If the time frame holds more than ``cap`` rows, the intersection is the
-    row frame of the last ``cap`` rows (which then lies inside the time
-    frame); otherwise it is the time frame.  Both frames are computed on the
-    same (key, chunk) partitions; the halo covers both reaches.
+    Both frames end at the current row, so the intersection is whichever
+    holds fewer rows: the time frame while it has at most ``cap`` rows, else
+    the row frame of the last ``cap`` rows.  The time-frame statistics are
+    computed for every row; the wide row-frame statistics only for rows
+    whose time frame overflows the cap (plus the ``cap - 1`` rows before
+    each of them), so the 1000-row sliding frame is paid only where it is
+    the answer.  Row-halo chunking bounds every window partition.
     """
     keys = list(keys)
     w_us = window_s * 1_000_000
     x = row_chunked(wide, keys, ts, behind_rows=cap - 1, chunk_rows=max(4 * cap, 4000))
     x = x.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    wt = Window.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(-w_us, 0)
-    wr = Window.partitionBy(*keys, "_chunk").orderBy("_idx").rowsBetween(-(cap - 1), 0)
-    n_t = F.count(F.lit(1)).over(wt)
-    use_t = n_t <= cap
-    n_rows = F.least(n_t, F.lit(cap))
+    part = Window.partitionBy(*keys, "_chunk")
+    wt = part.orderBy("_t").rangeBetween(-w_us, 0)
+    wr = part.orderBy("_idx").rowsBetween(-(cap - 1), 0)
+    back = part.orderBy(F.col("_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_nt", F.count(F.lit(1)).over(wt))
+    x = x.withColumn("_big", F.col("_nt") > cap)
+    # index of the next overflowing row at or after this one (running min
+    # in reverse order: an incremental frame, not a sliding one)
+    x = x.withColumn("_next_big", F.min(F.when(F.col("_big"), F.col("_idx"))).over(back))
 
-    def pick(fn, c):
-        return F.when(use_t, fn(c).over(wt)).otherwise(fn(c).over(wr))
+    def stats(frame):
+        out = {}
+        for s in sensors:
+            c = F.col(s)
+            out[s] = {"mean": F.avg(c).over(frame),
+                      "std": F.coalesce(F.stddev_samp(c).over(frame),
+                                        F.when(F.count(c).over(frame) >= 1, F.lit(0.0))),
+                      "min": F.min(c).over(frame), "max": F.max(c).over(frame),
+                      "last": F.last(c, ignorenulls=True).over(frame)}
+        return out
 
-    cols = [n_rows.alias("frame_rows")]
-    for s in sensors:
-        c = F.col(s)
-        enough = n_rows >= min_rows
-        vals = {
-            "mean": pick(F.avg, c),
-            "std": F.coalesce(pick(F.stddev_samp, c), F.when(pick(F.count, c) >= 1, F.lit(0.0))),
-            "min": pick(F.min, c),
-            "max": pick(F.max, c),
-            "last": F.when(use_t, F.last(c, ignorenulls=True).over(wt))
-            .otherwise(F.last(c, ignorenulls=True).over(wr)),
-        }
-        cols += [F.when(enough, vals[k]).alias(f"{s}__{k}_{name}") for k in STATS]
-    return x.select(*keys, ts, "_own", *cols).where("_own").drop("_own")
+    cols_of = [f"{s}__{k}_{name}" for s in sensors for k in STATS]
+    st_t = stats(wt)
+    a = x.select(*keys, ts, "_chunk", "_idx", "_own", "_nt", "_big",
+                 *[st_t[s][k].alias(f"{s}__{k}_{name}") for s in sensors for k in STATS])
+    need = F.col("_next_big").isNotNull() & (F.col("_next_big") - F.col("_idx") <= cap - 1)
+    st_r = stats(wr)
+    b = (x.where(need)
+         .select(*keys, "_chunk", "_idx", "_big",
+                 *[st_r[s][k].alias(f"_r_{s}__{k}_{name}") for s in sensors for k in STATS])
+         .where(F.col("_big")).drop("_big"))
+    j = a.where("_own").join(b, [*keys, "_chunk", "_idx"], "left")
+    n_rows = F.least(F.col("_nt"), F.lit(cap))
+    enough = n_rows >= min_rows
+    out = [n_rows.alias("frame_rows")]
+    for c in cols_of:
+        out.append(F.when(enough, F.when(F.col("_big"), F.col(f"_r_{c}")).otherwise(F.col(c))).alias(c))
+    return j.select(*keys, ts, *out)
 
 
 def lag_features(wide: DataFrame, sensors, k: int, keys=("machine_id",), ts: str = "timestamp",

@@ -326,3 +326,23 @@ def test_empty_inputs(spark):
     assert asof.asof_label(long, ev, label="y").count() == 0
     xy = _xy(spark, [])
     assert evaluate.roc_auc(xy).collect()[0].auc == 0.0
+
+
+def test_live_rolling_cap_binds(spark):
+    """W4 with a small cap: frame = last `cap` rows when the time frame holds more."""
+    rng = np.random.default_rng(21)
+    n, cap, w = 60, 5, 600
+    ts = [T0 + dt.timedelta(seconds=int(x)) for x in np.sort(rng.choice(3000, n, replace=False))]
+    vals = [float(v) if i % 4 else None for i, v in enumerate(rng.normal(size=n))]
+    wide = _df(spark, [("M1", t, v) for t, v in zip(ts, vals)], "machine_id string, timestamp timestamp, s double")
+    got = rolling.rolling_live(wide, ["s"], w, cap=cap, min_rows=1, name="x").orderBy("timestamp").collect()
+    for i, r in enumerate(got):
+        in_t = [j for j in range(i + 1) if (ts[i] - ts[j]).total_seconds() <= w]
+        frame = [j for j in in_t if j > i - cap]
+        v = [vals[j] for j in frame if vals[j] is not None]
+        assert r.frame_rows == len(frame)
+        if v:
+            assert r["s__mean_x"] == pytest.approx(np.mean(v))
+            assert r["s__max_x"] == max(v) and r["s__last_x"] == v[-1]
+        else:
+            assert r["s__mean_x"] is None
