@@ -82,7 +82,7 @@ SELECT l.machine_id, l.sensor, s.step,
 FROM (SELECT machine_id, sensor, arg_max(value, timestamp) AS last, max(timestamp) AS last_ts
       FROM fl WHERE value IS NOT NULL GROUP BY 1, 2) l
 JOIN (SELECT machine_id, sensor, avg(value) AS mu FROM fl GROUP BY 1, 2) m USING (machine_id, sensor)
-CROSS JOIN (SELECT range AS step FROM range(1, {FUTURE_STEPS + 1})) s""", O.history_cte(),
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS step FROM range(1, {FUTURE_STEPS + 1})) s""", O.history_cte(),
     O.filled_window_cte(PAST_WINDOW_MIN), f"\nfl AS ({O.unpivot_sql('fw', var='sensor')})"))
 def q_fallback(spark, sf):
     f = filled_window(fx.history(spark, sf), SENSORS, PAST_WINDOW_MIN)

@@ -130,7 +130,7 @@ SELECT b.machine_id, b.sensor, round(b.severity, 9) AS severity, b.severity_rank
        round(least(1.0E0, c.base + least(0.35, 0.12 * c.nb)), 9) AS ui_risk,
        CASE WHEN least(1.0E0, c.base + least(0.35, 0.12 * c.nb)) >= 0.6 OR c.nb > 0 THEN 'HIGH'
             WHEN least(1.0E0, c.base + least(0.35, 0.12 * c.nb)) >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS ui_status
-FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY severity DESC, ordinal) AS severity_rank
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY machine_id ORDER BY severity DESC, ordinal) AS INTEGER) AS severity_rank
       FROM (SELECT c.machine_id, c.sensor, l.ordinal,
                    CASE WHEN c.value > l.max_limit THEN (c.value - l.max_limit) / sp
                         WHEN c.value < l.min_limit THEN (l.min_limit - c.value) / sp END AS severity
@@ -271,7 +271,7 @@ def q_stride(spark, sf):
 # --- F11: recent tail of <= 240 rows per machine ------------------------------
 @register("recent_tail", fixture_sql("""
 SELECT machine_id, timestamp, round(scrap_probability, 9) AS scrap_probability, tail_rank
-FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY timestamp DESC) AS tail_rank FROM hist) t
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY machine_id ORDER BY timestamp DESC) AS INTEGER) AS tail_rank FROM hist) t
 WHERE tail_rank <= 240""", O.history_cte()))
 def q_tail(spark, sf):
     t = recent_tail(fx.history(spark, sf), 240)

@@ -8,6 +8,10 @@ from tools.oracle_check import duck_connect, rows_of
 
 NAMES = sorted(E.queries())
 
+# Spark type name -> DuckDB type name of the same values
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -25,6 +29,9 @@ def test_query_matches_oracle(spark, duck, name):
         return
     rel = duck.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for c, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, t) == duck_types[c], (c, t, duck_types[c])
     assert rows_of(df.columns, rows) == rows_of(rel.columns, rel.fetchall())
 
 
