@@ -39,7 +39,7 @@ MEASURES = ["n_words", "word_chars", "n_upper", "n_symbols", "n_lines", "n_dup_l
 RULES = [
     Rule(0, "too_few_words", lambda: F.col("n_words") < 50),
     Rule(1, "repeated_words", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    Rule(2, "symbols", lambda: 100 * F.col("n_symbols") > 40 * F.col("n_words")),
+    Rule(2, "symbols", lambda: 100 * F.col("n_symbols") > 10 * F.col("n_words")),
     Rule(3, "short_words", lambda: F.col("word_chars") < 2 * F.col("n_words")),
     Rule(4, "long_words", lambda: F.col("word_chars") > 14 * F.col("n_words")),
     Rule(5, "shouting", lambda: 100 * F.col("n_upper") > 50 * F.col("word_chars")),
@@ -155,7 +155,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(li.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(li.n - li.u, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN li USING (doc_id) LEFT JOIN cov USING (doc_id)),
-f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 40 * n_words)::INT
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
     + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 14 * n_words)::INT + 32 * (100 * n_upper > 50 * word_chars)::INT
     + 64 * (100 * n_dup_lines > 60 * n_lines)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
