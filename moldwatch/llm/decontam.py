@@ -83,7 +83,7 @@ def _postings(windows: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: ``id_col``, n_words, spans (distinct [start, end) of the
+    """One row per document: ``id_col``, print (xxhash64 of its text), n_words, spans (distinct [start, end) of the
     occurring windows, sorted), n_hit (words inside them) and items (sorted)."""
     windows = written(item_windows(items, item_col, item_text_col, window), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
@@ -113,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         lambda a: a["words"])
     one_each = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
     return (per_doc.select("*", one_each.alias("copy"))
-            .select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), "spans",
+            .select(F.col("id").alias(id_col), "print", F.col("n").cast("bigint").alias("n_words"), "spans",
                     covered.cast("bigint").alias("n_hit"), "items"))
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARDS = 64
 PIECE = 2000
@@ -86,17 +87,17 @@ class Compressors:
         return self.langs[order[0]], score, margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text",
-            margin: float = MARGIN) -> DataFrame:
-    """One row per document: ``id_col``, lang_pred, score, margin, rejected."""
-    d = docs.select(F.col(id_col).alias("id"),
-                    F.when(F.col(text_col).rlike(r"\p{L}"), letters(F.col(text_col))).alias("text"))
-    return _classified(d, dictionaries, margin).withColumnRenamed("id", id_col)
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                      T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
-def _classified(d: DataFrame, dictionaries: dict[str, bytes], margin: float) -> DataFrame:
-    """Columns of ``d`` but text, with lang_pred, score, margin, rejected."""
-    kept = [f for f in d.schema.fields if f.name != "text"]
+def annotate(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", margin: float = MARGIN,
+             keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (its columns ``keep``, or all) as a struct ``row``, with a struct
+    ``found``: lang_pred, score, margin, rejected."""
+    text = F.col(text_col)
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"),
+                    F.when(text.rlike(r"\p{L}"), letters(text)).alias("text"))
 
     def classify(batches):
         tools = Compressors(dictionaries) if dictionaries else None
@@ -104,15 +105,19 @@ def _classified(d: DataFrame, dictionaries: dict[str, bytes], margin: float) ->
             found = [tools.decide(t) if tools and t is not None else ("und", 0.0, 0.0)
                      for t in (x.as_py() for x in b.column("text"))]
             langs, scores, margins = zip(*found) if found else ((), (), ())
-            own = [b.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()),
-                 pa.array([x == "und" or m < margin for x, m in zip(langs, margins)], pa.bool_())],
-                [*(f.name for f in kept), "lang_pred", "score", "margin", "rejected"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
-                        "lang_pred string, score double, margin double, rejected boolean"])
-    return d.mapInArrow(classify, schema)
+            own = pa.StructArray.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()),
+                 pa.array([x == "und" or m < margin for x, m in zip(langs, margins)], pa.bool_())], FOUND.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), own], ["row", "found"])
+
+    return d.mapInArrow(classify, T.StructType([d.schema["row"], T.StructField("found", FOUND)]))
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text",
+            margin: float = MARGIN) -> DataFrame:
+    """One row per document: ``id_col``, lang_pred, score, margin, rejected."""
+    whole = annotate(docs, dictionaries, text_col=text_col, margin=margin, keep=[id_col])
+    return whole.select(F.col("row")[id_col].alias(id_col), "found.*")
 
 
 def op4_language(spark, sf_dir):
