@@ -11,9 +11,9 @@ cost one draw.
 
 Signatures are banded.  Of each bucket the smallest document leads: all others are verified
 against it by exact multiset overlap.  Members that this does not put into one class are
-then verified against all members of the bucket's other classes, so every pair that shares a
-bucket is either verified or already in one class, and a bucket of thousands of copies costs
-as many pairs, not their square.  Classes are the connected components of verified
+then compared with all members of the bucket's other classes, inside a join that gives the links
+alone, so every pair that shares a bucket is either verified or already in one class, and a
+bucket of thousands of copies makes as many rows, not their square.  Classes are the connected components of verified
 pairs, found by alternating large-star and small-star steps.
 
 Equal multisets are one node from the start.  Only documents that share a bucket have their
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, elems: DataFrame, similarity: float) -> DataFrame
     two = elems.select(F.col("node").alias("b"), F.col("elems").alias("eb"))
     p = pairs.select("a", "b").join(one, "a").join(two, "b").select(
         "a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.size(F.array_intersect("ea", "eb")).alias("both"))
-    return p.filter(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+    return p.filter(_overlap(F.col("both"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,6 +191,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
+def _overlap(both, sizes, similarity: float):
+    """Whether an overlap reaches ``similarity`` given the sum of both sizes."""
+    return both >= similarity * (sizes - both) - 1e-9
+
+
 def _near(n: str, k: str, similarity: float):
     return F.least(n, k) >= similarity * F.greatest(n, k) - 1e-9
 
@@ -228,12 +233,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = m.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("classes")).filter(
         "classes > 1").select("band", F.col("most.root").alias("most"))
-    m = m.join(mixed, "band")
-    few = m.filter("root != most").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    rest = few.join(m, "band").filter((F.col("root") != F.col("rx")) & ((F.col("root") == F.col("most")) | (F.col("x") < F.col("node")))
-                                      & _near("n", "nx", similarity))
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(rest, elems, similarity)
+    m = m.join(mixed, "band").join(elems, "node")
+    few = m.filter("root != most").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("elems").alias("ex"))
+    # Verified inside the join: pairs that are too far apart never become rows.
+    more = few.join(m, "band").where(
+        (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("most")) | (F.col("x") < F.col("node"))) & _near("n", "nx", similarity)
+        & _overlap(F.size(F.array_intersect("ex", "elems")), F.col("nx") + F.col("n"), similarity))
+    more = more.select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
     roots = written(components(links.unionByName(more)), "roots")
 
     rooted = f.select("id", "print", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
