@@ -5,7 +5,10 @@ Here both sides are put into *time chunks* of one key: a left row lives in
 the chunk of its own timestamp; a right row is copied into every chunk that
 contains a left timestamp it can match (at most two when the chunk is at
 least as wide as the match interval).  The union is windowed per
-(key, chunk) ordered by time, and bounded RANGE frames find the neighbours.
+(key, chunk) in time order, forwards and backwards: the running last event seen is
+the nearest one on that side, and its gap is compared with the tolerance.  Such
+frames grow by one row at a time, so the work is linear however many
+readings lie in the interval.
 So the shuffle key is (key, chunk): a machine holding a third of all rows is
 spread over all of its chunks, and the only duplication is the thin halo of
 right rows near chunk borders.
@@ -69,13 +72,30 @@ def asof_label(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="t
     lo, hi = {"nearest": (-tolerance_us, tolerance_us), "forward": (1, tolerance_us),
               "backward": (-tolerance_us, 0)}[direction]
     u = _chunked_union(left, right, by, left_ts, right_ts, lo, hi, chunk_us)
-    w = Window.partitionBy(*by, "_chunk").orderBy("_t").rangeBetween(lo, hi)
-    hit = F.max(1 - F.col("_is_left")).over(w)
-    return (u.withColumn(label, F.coalesce(hit, F.lit(0)))
+    event = F.when(F.col("_is_left") == 0, F.col("_t"))
+    near = F.lit(False)
+    if lo <= 0:
+        near = near | (F.col("_t") - F.last(event, ignorenulls=True).over(_before(by)) <= -lo)
+    if hi > 0:
+        near = near | (F.last(event, ignorenulls=True).over(_after(by, strictly=lo > 0)) - F.col("_t") <= hi)
+    return (u.withColumn(label, F.when(near, 1).otherwise(0))
             .where(F.col("_is_left") == 1)
             .drop("_t", "_is_left", "_chunk", "_payload"))
 
 
+def _before(by, *ties) -> Window:
+    """From the first row up to this one: the last event in it is at or before it."""
+    return Window.partitionBy(*by, "_chunk").orderBy("_t", "_is_left", *ties).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _after(by, *ties, strictly: bool = False) -> Window:
+    """From the last row back to this one: the last event in it is the first at or after it
+    (``strictly``: after it)."""
+    same_time = F.desc("_is_left") if strictly else F.asc("_is_left")
+    return Window.partitionBy(*by, "_chunk").orderBy(F.desc("_t"), same_time, *ties).rowsBetween(
+        Window.unboundedPreceding, 0)
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="timestamp",
                  right_ts="event_ts", tolerance_us: int = 5 * MINUTE_US, payload=None,
                  chunk_us: int | None = None, prefer: str = "earlier") -> DataFrame:
@@ -90,13 +110,13 @@ def asof_nearest(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts=
     right2 = right.withColumn(rts, F.col(right_ts))
     u = _chunked_union(left, right2, by, left_ts, right_ts, -tol, tol, chunk_us,
                        payload=payload + [rts])
-    base = Window.partitionBy(*by, "_chunk").orderBy("_t")
-    ev_t = F.when(F.col("_is_left") == 0, F.col("_t"))
     ev = F.when(F.col("_is_left") == 0, F.struct(F.col("_t").alias("t"), F.col("_payload").alias("p")))
-    prev = F.max_by(ev, ev_t).over(base.rangeBetween(-tol, 0))
-    nxt = F.min_by(ev, ev_t).over(base.rangeBetween(0, tol))
+    prev = F.last(ev, ignorenulls=True).over(_before(by, "_payload"))
+    nxt = F.last(ev, ignorenulls=True).over(_after(by, "_payload"))
     x = (u.withColumn("_prev", prev).withColumn("_next", nxt)
-         .where(F.col("_is_left") == 1))
+         .where(F.col("_is_left") == 1)
+         .withColumn("_prev", F.when(F.col("_t") - F.col("_prev.t") <= tol, F.col("_prev")))
+         .withColumn("_next", F.when(F.col("_next.t") - F.col("_t") <= tol, F.col("_next"))))
     gp = F.col("_t") - F.col("_prev.t")
     gn = F.col("_next.t") - F.col("_t")
     take_prev = F.col("_prev").isNotNull() & (

@@ -1,19 +1,20 @@
 """Pattern features over the last 10 rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moldwatch.operators.chunking import row_chunked
+from moldwatch.operators.frames import Frame, framed
 from moldwatch.operators.stats import global_quantile
+from moldwatch.session import materialize
 
 
 def pattern_features(wide: DataFrame, sensors, keys=("machine_id",), ts: str = "timestamp",
                      n: int = 10, min_periods: int = 3, source: str = "raw",
                      stability: bool = False, chunk_rows: int = 4000) -> DataFrame:
     """Per sensor: rolling std/mean over ``n`` rows (min ``min_periods``
-    non-NULL), slope of the non-NULL values against 0..k-1 (``regr_slope``
-    against the running non-NULL count, which is shift-invariant), relative
+    non-NULL), slope of the non-NULL values against 0..k-1, relative
     deviation ``(x - mean) / (|mean| + 1e-6)``; all NULL -> 0.  With
     ``stability`` also ``is_stable = std < global P75(std)`` (W8/A11).
     ``source='mean_15m'`` reads ``{sensor}__mean_15m`` (W9).
@@ -21,22 +22,18 @@ def pattern_features(wide: DataFrame, sensors, keys=("machine_id",), ts: str = "
     keys = list(keys)
     src = {s: (s if source == "raw" else f"{s}__{source}") for s in sensors}
     x = row_chunked(wide, keys, ts, behind_rows=n - 1, chunk_rows=chunk_rows)
-    run = Window.partitionBy(*keys, "_chunk").orderBy("_idx").rowsBetween(
-        Window.unboundedPreceding, 0)
-    for s in sensors:
-        x = x.withColumn(f"_k_{s}", F.count(F.col(src[s])).over(run).cast("double"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_idx").rowsBetween(-(n - 1), 0)
+    named = list(src.values())
+    x = framed(x, [*keys, "_chunk"], "_idx", named, [Frame("p", rows=n)], wide.columns, slope_rows=n)
     cols = []
     for s in sensors:
-        y = F.col(src[s])
-        ok = F.count(y).over(w) >= min_periods
-        std = F.when(ok, F.stddev_samp(y).over(w))
-        mean = F.when(ok, F.avg(y).over(w))
-        slope = F.when(ok, F.regr_slope(y, F.col(f"_k_{s}")).over(w))
-        cols += [std.alias(f"{s}__pstd_{n}"), mean.alias(f"{s}__pmean_{n}"),
-                 slope.alias(f"{s}__ptrend_{n}"),
+        y, ok = F.col(src[s]), F.col(f"{src[s]}__n_p") >= min_periods
+        mean = F.when(ok, F.col(f"{src[s]}__mean_p"))
+        cols += [F.when(ok, F.col(f"{src[s]}__std_p")).alias(f"{s}__pstd_{n}"), mean.alias(f"{s}__pmean_{n}"),
+                 F.when(ok, F.col(f"{src[s]}__slope")).alias(f"{s}__ptrend_{n}"),
                  ((y - mean) / (F.abs(mean) + F.lit(1e-6))).alias(f"{s}__pdev_{n}")]
-    out = x.select(*[F.col(c) for c in wide.columns], "_own", *cols).where("_own").drop("_own")
+    out = x.select(*[F.col(c) for c in wide.columns], *cols)
+    if stability:  # read twice: for the thresholds and for the rows
+        out = materialize(out)
     pcols = [f"{s}__{k}_{n}" for s in sensors for k in ("pstd", "pmean", "ptrend", "pdev")]
     if stability:
         # One exact quantile job for all sensors: the std columns are

@@ -9,7 +9,8 @@ Frames follow the four definitions in use:
                  std NULL -> 0.
   W4 live      : [t - w, t], at most the last ``cap`` rows, < 3 rows -> no
                  features, std NULL -> 0, last = last non-NULL in frame.
-All are native window aggregates over halo chunks (see ``chunking``).
+All run over halo chunks (see ``chunking``), with statistics that do not
+re-aggregate the frame for every row (see ``frames``).
 """
 from __future__ import annotations
 
@@ -17,21 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moldwatch.operators.chunking import row_chunked, time_chunked
+from moldwatch.operators.frames import Frame, framed
 
 STATS = ("mean", "std", "min", "max", "last")
 
 
-def _stat_cols(x: Column, w, stats, min_periods: int, last: Column | None = None):
-    cnt = F.count(x).over(w)
-    ok = cnt >= F.lit(min_periods)
-    exprs = {
-        "mean": F.avg(x).over(w),
-        "std": F.stddev_samp(x).over(w),
-        "min": F.min(x).over(w),
-        "max": F.max(x).over(w),
-        "last": last if last is not None else x,
-    }
-    return {s: F.when(ok, exprs[s]) for s in stats}
+def _picked(value: str, frame: str, stat: str, min_periods: int = 1) -> Column:
+    """A statistic where the frame holds at least ``min_periods`` values."""
+    return F.when(F.col(f"{value}__n_{frame}") >= min_periods, F.col(f"{value}__{stat}_{frame}"))
 
 
 def rolling_time_long(long_df: DataFrame, windows, keys=("machine_id", "variable_name"),
@@ -49,17 +43,13 @@ def rolling_time_long(long_df: DataFrame, windows, keys=("machine_id", "variable
     chunk_us = chunk_us or max(4 * wmax, 3_600_000_000)
     x = time_chunked(long_df.where(F.col(value).isNotNull()), ts, behind_us=wmax,
                      chunk_us=chunk_us)
-    base = Window.partitionBy(*keys, "_chunk").orderBy("_t")
-    per_window = []
-    for name, secs in windows:
-        w_us = secs * 1_000_000
-        lo = -(w_us - 1) if closed == "right" else -w_us
-        cols = _stat_cols(F.col(value), base.rangeBetween(lo, 0), stats, min_periods)
-        per_window.append(F.struct(F.lit(name).alias("window"),
-                                   *[cols[s].alias(s) for s in stats]))
-    out = (x.select(*keys, ts, "_own", F.array(*per_window).alias("_w"))
-           .where("_own")
-           .select(*keys, ts, F.explode("_w").alias("_s")))
+    frames = [Frame(name, us=secs * 1_000_000, closed=closed != "right") for name, secs in windows]
+    x = framed(x.withColumn("_v", F.col(value).cast("double")), [*keys, "_chunk"], "_t", ["_v"], frames, [*keys, ts, "_v"])
+    per_window = [F.struct(F.lit(f.name).alias("window"),
+                           *[F.when(F.col(f"_v__n_{f.name}") >= min_periods,
+                                    F.col("_v") if st == "last" else F.col(f"_v__{st}_{f.name}")).alias(st) for st in stats])
+                  for f in frames]
+    out = x.select(*keys, ts, F.explode(F.array(*per_window)).alias("_s"))
     return out.select(*keys, F.col("_s.window").alias("window"), ts,
                       *[F.col(f"_s.{s}").alias(s) for s in stats])
 
@@ -93,15 +83,11 @@ def rolling_rows_wide(wide: DataFrame, sensors, windows, keys=("machine_id",),
     nmax = max(n for _, n in windows)
     x = row_chunked(wide, keys, ts, behind_rows=nmax - 1,
                     chunk_rows=chunk_rows or max(20 * nmax, 4000))
-    base = Window.partitionBy(*keys, "_chunk").orderBy("_idx")
-    cols = []
-    for s in sensors:
-        for name, n in windows:
-            mp = max(3, n // 10)
-            st = _stat_cols(F.col(s), base.rowsBetween(-(n - 1), 0), stats, mp,
-                            last=F.col(s))
-            cols += [st[k].alias(f"{s}__{k}_{name}") for k in stats]
-    return x.select(*keys, ts, "_own", *cols).where("_own").drop("_own")
+    x = framed(x, [*keys, "_chunk"], "_idx", sensors, [Frame(name, rows=n) for name, n in windows], [*keys, ts, *sensors])
+    cols = [F.when(F.col(f"{s}__n_{name}") >= max(3, n // 10), F.col(s)).alias(f"{s}__last_{name}") if k == "last"
+            else _picked(s, name, k, max(3, n // 10)).alias(f"{s}__{k}_{name}")
+            for s in sensors for name, n in windows for k in stats]
+    return x.select(*keys, ts, *cols)
 
 
 def fill_forward_backward(wide: DataFrame, cols, keys=("machine_id",), ts: str = "timestamp",
@@ -151,79 +137,41 @@ def rolling_serving(wide: DataFrame, sensors, windows, keys=("machine_id",),
     filled = fill_forward_backward(wide, sensors, keys, ts)
     wmax = max(s for _, s in windows) * 1_000_000
     x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(4 * wmax, 3_600_000_000))
-    base = Window.partitionBy(*keys, "_chunk").orderBy("_t")
-    # After the fill a sensor column is NULL on every row of a machine or on
-    # none, and the frame always holds the current row; so "at least one
-    # value in the frame" is "the current value is not NULL" and no count
-    # aggregate is needed (one aggregate less per sensor and window).
+    frames = [Frame(name, us=secs * 1_000_000) for name, secs in windows]
+    x = framed(x, [*keys, "_chunk"], "_t", sensors, frames, [*keys, ts, *sensors])
     cols = []
     for s in sensors:
-        x_s = F.col(s)
-        has = x_s.isNotNull()
-        for name, secs in windows:
-            w = base.rangeBetween(-(secs * 1_000_000 - 1), 0)
-            vals = {"mean": F.avg(x_s).over(w),
-                    "std": F.coalesce(F.stddev_samp(x_s).over(w), F.lit(0.0)),
-                    "min": F.min(x_s).over(w), "max": F.max(x_s).over(w), "last": x_s}
-            cols += [F.when(has, vals[k]).alias(f"{s}__{k}_{name}") for k in stats]
-    return x.select(*keys, ts, "_own", *cols).where("_own").drop("_own")
+        for name, _ in windows:
+            vals = {"mean": _picked(s, name, "mean"), "min": _picked(s, name, "min"), "max": _picked(s, name, "max"),
+                    "std": F.when(F.col(f"{s}__n_{name}") >= 1, F.coalesce(F.col(f"{s}__std_{name}"), F.lit(0.0))),
+                    "last": F.when(F.col(f"{s}__n_{name}") >= 1, F.col(s))}
+            cols += [vals[k].alias(f"{s}__{k}_{name}") for k in stats]
+    return x.select(*keys, ts, *cols)
 
 
 def rolling_live(wide: DataFrame, sensors, window_s: int, keys=("machine_id",),
-                 ts: str = "timestamp", cap: int = 1000, min_rows: int = 3, name: str = "5m"
+                 ts: str = "timestamp", cap: int | None = None, min_rows: int = 3, name: str = "5m"
                  ) -> DataFrame:
-    """Closed frame [t - w, t] intersected with the last ``cap`` rows.
-
-    Both frames end at the current row, so the intersection is whichever
-    holds fewer rows: the time frame while it has at most ``cap`` rows, else
-    the row frame of the last ``cap`` rows.  The time-frame statistics are
-    computed for every row; the wide row-frame statistics only for rows
-    whose time frame overflows the cap (plus the ``cap - 1`` rows before
-    each of them), so the 1000-row sliding frame is paid only where it is
-    the answer.  Row-halo chunking bounds every window partition.
-    """
+    """Closed frame [t - w, t], intersected with the last ``cap`` rows if a
+    buffer length is given: both frames end at the current row, so that is
+    whichever holds fewer rows.  Time or row halo chunks bound every group."""
     keys = list(keys)
     w_us = window_s * 1_000_000
-    x = row_chunked(wide, keys, ts, behind_rows=cap - 1, chunk_rows=max(4 * cap, 4000))
-    x = x.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    part = Window.partitionBy(*keys, "_chunk")
-    wt = part.orderBy("_t").rangeBetween(-w_us, 0)
-    wr = part.orderBy("_idx").rowsBetween(-(cap - 1), 0)
-    back = part.orderBy(F.col("_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_nt", F.count(F.lit(1)).over(wt))
-    x = x.withColumn("_big", F.col("_nt") > cap)
-    # index of the next overflowing row at or after this one (running min
-    # in reverse order: an incremental frame, not a sliding one)
-    x = x.withColumn("_next_big", F.min(F.when(F.col("_big"), F.col("_idx"))).over(back))
-
-    def stats(frame):
-        out = {}
-        for s in sensors:
-            c = F.col(s)
-            out[s] = {"mean": F.avg(c).over(frame),
-                      "std": F.coalesce(F.stddev_samp(c).over(frame),
-                                        F.when(F.count(c).over(frame) >= 1, F.lit(0.0))),
-                      "min": F.min(c).over(frame), "max": F.max(c).over(frame),
-                      "last": F.last(c, ignorenulls=True).over(frame)}
-        return out
-
-    cols_of = [f"{s}__{k}_{name}" for s in sensors for k in STATS]
-    st_t = stats(wt)
-    a = x.select(*keys, ts, "_chunk", "_idx", "_own", "_nt", "_big",
-                 *[st_t[s][k].alias(f"{s}__{k}_{name}") for s in sensors for k in STATS])
-    need = F.col("_next_big").isNotNull() & (F.col("_next_big") - F.col("_idx") <= cap - 1)
-    st_r = stats(wr)
-    b = (x.where(need)
-         .select(*keys, "_chunk", "_idx", "_big",
-                 *[st_r[s][k].alias(f"_r_{s}__{k}_{name}") for s in sensors for k in STATS])
-         .where(F.col("_big")).drop("_big"))
-    j = a.where("_own").join(b, [*keys, "_chunk", "_idx"], "left")
-    n_rows = F.least(F.col("_nt"), F.lit(cap))
-    enough = n_rows >= min_rows
-    out = [n_rows.alias("frame_rows")]
-    for c in cols_of:
-        out.append(F.when(enough, F.when(F.col("_big"), F.col(f"_r_{c}")).otherwise(F.col(c))).alias(c))
-    return j.select(*keys, ts, *out)
+    if cap is None:
+        x = time_chunked(wide, ts, behind_us=w_us, chunk_us=max(4 * w_us, 3_600_000_000))
+    else:
+        x = row_chunked(wide, keys, ts, behind_rows=cap, chunk_rows=max(4 * cap, 4000))
+        x = x.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    x = framed(x, [*keys, "_chunk"], "_t", sensors, [Frame(name, us=w_us, rows=cap, closed=True)], [*keys, ts])
+    rows = F.col(f"frame_rows_{name}")
+    out = [rows.alias("frame_rows")]
+    for s in sensors:
+        for k in STATS:
+            c = F.col(f"{s}__{k}_{name}")
+            if k == "std":
+                c = F.coalesce(c, F.when(F.col(f"{s}__n_{name}") >= 1, F.lit(0.0)))
+            out.append(F.when(rows >= min_rows, c).alias(f"{s}__{k}_{name}"))
+    return x.select(*keys, ts, *out)
 
 
 def lag_features(wide: DataFrame, sensors, k: int, keys=("machine_id",), ts: str = "timestamp",

@@ -159,7 +159,7 @@ def _w4_sql(cap=1000):
 @register("rolling_live", fixture_sql(_w4_sql(), f"\nw AS ({_wide_sql()})"))
 def q_rolling_live(spark, sf):
     name, secs = LIVE_WINDOW
-    r = rolling_live(wide(spark, sf), SENSORS, secs, name=name)
+    r = rolling_live(wide(spark, sf), SENSORS, secs, name=name, cap=1000)
     cols = [f"{s}__{st}_{name}" for s in SENSORS for st in STATS]
     return r.select("machine_id", _ntz(), "frame_rows", *_r9(cols))
 
