@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,6 @@ CONTEXT = 4096
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
 
-@lru_cache(maxsize=4)
 def load_tokenizer(path: str) -> Callable[[str], int]:
     """Number of tokens of a text by the library for this kind of file."""
     if path.endswith(".model"):
