@@ -96,6 +96,23 @@ ROLLING_STATS = ["mean", "std", "min", "max", "last"]
 PRODUCTION_STATUS = [200]
 TRAIN_CUTOFF = "2026-01-11 23:59:59"
 
+# Sensors whose lower limit may be negative (name contains one of these).
+SIGNED_KEYWORDS = ["deviation", "offset", "tmp"]
+
+# Boosted-tree parameter sets: rounds, learning rate, leaves, smallest leaf, class-weight cap,
+# rounds without gain before stopping.  All: column and row share 0.8, L1 = L2 = 0.1.
+BOOSTING_PRESETS = {
+    "retrain_v2": (500, 0.05, 31, 20, 40, 50),
+    "retrain_v1_2e": (500, 0.05, 63, 10, 50, 50),
+    "retrain_v1_2d": (500, 0.05, 31, 10, 30, 50),
+    "build_v1_2b": (1000, 0.02, 64, 50, 50, 30),
+    "wide_v1_1": (500, 0.05, 64, 20, 100, 50),
+    "wide": (500, 0.05, 64, 20, None, 50),
+}
+BOOSTING_SHARE, BOOSTING_L1, BOOSTING_L2 = 0.8, 0.1, 0.1
+# Tree forecasters: trees, learning rate, depth, lags.
+FORECASTER_PRESETS = {"lagged": (100, 0.05, 7, 5), "simple": (100, 0.05, 5, 3)}
+
 # Alert presets: ordered (threshold, level, reason) checked with >=.
 ALERT_PRESETS = {
     "status": [(0.55, "HIGH", "AI RISK PREDICTION"), (0.32, "MEDIUM", "AI WARNING")],

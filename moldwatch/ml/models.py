@@ -12,21 +12,23 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Booster parameterisations in use (ML1): name -> GBT settings.
-GBT_PRESETS = {
-    "retrain_v2": dict(maxIter=500, stepSize=0.05, maxDepth=6, minInstancesPerNode=50,
-                       subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "retrain_v1_2e": dict(maxIter=1000, stepSize=0.02, maxDepth=6, minInstancesPerNode=20,
-                          subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "build_v1_2b": dict(maxIter=1000, stepSize=0.02, maxDepth=6, minInstancesPerNode=20,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "fast": dict(maxIter=50, stepSize=0.1, maxDepth=5, minInstancesPerNode=10,
-                 subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-}
+from moldwatch import config
+
+def gbt_params(preset: str) -> dict:
+    """Spark ML settings of a boosting preset (ML1).  Spark grows trees level by level: a
+    preset's leaf count becomes the depth that can hold it; L1 / L2 have no counterpart."""
+    rounds, rate, leaves, smallest, _, _ = config.BOOSTING_PRESETS[preset]
+    return dict(maxIter=rounds, stepSize=rate, maxDepth=(leaves - 1).bit_length(), minInstancesPerNode=smallest,
+                subsamplingRate=config.BOOSTING_SHARE, featureSubsetStrategy=str(config.BOOSTING_SHARE))
+
+
+def weight_cap(preset: str) -> float | None:
+    """Largest class weight of a boosting preset (None: no cap)."""
+    return config.BOOSTING_PRESETS[preset][4]
 
 
 def leakage_free(columns, prefixes, mode: str = "exact_or_block") -> list[str]:
@@ -49,16 +51,18 @@ def with_class_weight(df: DataFrame, label: str, weight: float, col: str = "weig
 
 
 def train_gbt(train: DataFrame, features, label: str = "label", weight_col: str | None = "weight",
-              validation_col: str | None = None, preset: str = "fast", seed: int = 42,
+              validation_col: str | None = None, preset: str = "retrain_v2", seed: int = 42,
               **overrides) -> PipelineModel:
-    """Class-weighted boosted trees (ML1); NULL features are kept as NaN."""
-    params = dict(GBT_PRESETS[preset])
-    params.update(overrides)
+    """Class-weighted boosted trees (ML1); NULL features are kept as NaN.  With a validation
+    column boosting stops at the first round that doesn't lower the validation loss (Spark
+    ML has no number of rounds to wait)."""
+    params = gbt_params(preset) | overrides
     gbt = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **params)
     if weight_col:
         gbt.setWeightCol(weight_col)
     if validation_col:
         gbt.setValidationIndicatorCol(validation_col)
+        gbt.setParams(validationTol=0.0)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     return Pipeline(stages=[asm, gbt]).fit(train.withColumn(label, F.col(label).cast("double")))
 
@@ -134,6 +138,25 @@ def fit_linear_forecaster(lagged: DataFrame, sensors, lags: int, extra=()) -> tu
     return coef, icpt
 
 
+def fit_tree_forecaster(lagged: DataFrame, sensors, preset: str, extra=(), seed: int = 42) -> dict[str, PipelineModel]:
+    """One-step multi-output forecaster of boosted trees (ML6): per target sensor a model on
+    [extra] + current + lags 1..k of every sensor (columns ``{s}_lag{i}``, target
+    ``{s}_next``; see ``lag_features``), trees, rate, depth and k from the preset."""
+    trees, rate, depth, lags = config.FORECASTER_PRESETS[preset]
+    feats = list(extra) + list(sensors) + [f"{s}_lag{i}" for i in range(1, lags + 1) for s in sensors]
+    asm = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="skip")
+    return {s: Pipeline(stages=[asm, GBTRegressor(featuresCol="_f", labelCol=f"{s}_next", predictionCol=f"{s}_forecast",
+                                                  maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed)]).fit(lagged)
+            for s in sensors}
+
+
+def forecast_one_step(models: dict[str, PipelineModel], lagged: DataFrame) -> DataFrame:
+    """``lagged`` with a ``{sensor}_forecast`` column for every model."""
+    for m in models.values():
+        lagged = m.transform(lagged).drop("_f")
+    return lagged
+
+
 def metrics_record(spark: SparkSession, version: str, metrics: DataFrame, extra: dict) -> DataFrame:
     """One-row model version record (ML7): metrics row + parameters."""
     row = metrics

@@ -52,7 +52,7 @@ def fit_label_encoding(df: DataFrame, column: str) -> DataFrame:
 
 
 def apply_encoding(df: DataFrame, encodings: DataFrame, column: str, out: str | None = None,
-                   default: int = 0, broadcast_dim: bool = True) -> DataFrame:
+                   default: int = 0, broadcast_dim: bool = False) -> DataFrame:
     """Left join the code of ``column``; unseen / NULL -> ``default``.
 
     Note: the default 0 collides with the first code (kept as specified).

@@ -95,7 +95,7 @@ def clamp_garbage(value, last_actual, bound: float = 1e6) -> Column:
 
 def recursive_linear_forecast(wide: DataFrame, sensors, coef: dict, intercept: dict, lags: int,
                               steps: int, keys=("machine_id",), ts: str = "timestamp",
-                              limits: dict | None = None, history_rows: int = 240,
+                              limits: dict | None = None,
                               step_seconds: int = 60, extra: dict | None = None) -> DataFrame:
     """Recursive multi-sensor forecast (M3) with a linear forecaster.
 
@@ -109,7 +109,7 @@ def recursive_linear_forecast(wide: DataFrame, sensors, coef: dict, intercept: d
     """
     keys = list(keys)
     n_state = lags + 1
-    tail = last_n_per_key(wide.select(*keys, ts, *sensors), keys, ts, min(history_rows, n_state))
+    tail = last_n_per_key(wide.select(*keys, ts, *sensors), keys, ts, n_state)
     packed = tail.groupBy(*keys).agg(
         F.max(ts).alias("_last_ts"),
         F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"),

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moldwatch import config
-from moldwatch.operators.stats import global_quantile
-
-# Sensors whose lower limit may be negative (name contains one of these).
-SIGNED_KEYWORDS = ["deviation", "offset", "tmp"]
+from moldwatch.operators.stats import global_quantile, grouped_quantiles
 
 
 def config_dim(df: DataFrame) -> DataFrame:
@@ -82,21 +79,15 @@ def merge_limits(base: DataFrame, override: DataFrame) -> DataFrame:
 
 def percentile_limits(long_df: DataFrame, prob_col: str = "scrap_probability",
                       max_prob: float = 0.30, lo: float = 0.01, hi: float = 0.99,
-                      var: str = "variable_name", value: str = "value",
-                      exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+                      var: str = "variable_name", value: str = "value") -> DataFrame:
     """Safe limits from low-risk rows: 1st / 99th percentile per sensor, 2 dp.
 
-    exact: ``global_quantile`` (balanced range buckets; only the boundary
+    Exact, by ``global_quantile`` (balanced range buckets; only the boundary
     bucket's rows are ranked), so a hot sensor is never one task.
-    ``exact=False`` uses the mergeable ``percentile_approx`` sketch.
     """
     rows = long_df.where(F.col(prob_col) < max_prob)
-    if exact:
-        agg = global_quantile(rows, value, [lo, hi], keys=[var], out=["_qlo", "_qhi"]) \
-            .select(var, F.array("_qlo", "_qhi").alias("_q"))
-    else:
-        agg = rows.groupBy(var).agg(
-            F.percentile_approx(value, [lo, hi], accuracy).alias("_q"))
+    agg = global_quantile(rows, value, [lo, hi], keys=[var], out=["_qlo", "_qhi"]) \
+        .select(var, F.array("_qlo", "_qhi").alias("_q"))
     return agg.select(F.col(var).alias("sensor"),
                       F.bround(F.col("_q")[0], 2).alias("min_limit"),
                       F.bround(F.col("_q")[1], 2).alias("max_limit"))
@@ -112,15 +103,15 @@ def dynamic_limits(window_long: DataFrame, tolerances: DataFrame, keys=("machine
     ``median +- max(3 sigma, floor_fraction * |median|)`` (sigma NULL -> 0).
     The lower limit is clamped at 0 unless the name contains deviation /
     offset / tmp.  Only sensors present in the tolerance rules, minus the
-    non-sensor columns.  Median: exact ``percentile`` over the window
-    (bounded by the window length), weighted by value counts.
+    non-sensor columns.  Median: exact, over values counted per (keys, sensor,
+    value) first, so a group's buffer holds its distinct values.
     """
     excluded = config.NON_SENSOR_COLUMNS if excluded is None else excluded
     rules = tolerances.where(~F.col("variable_name").isin(list(excluded)))
     w = window_long.where(F.col(value).isNotNull())
-    stats = w.groupBy(*keys, var).agg(
-        F.expr(f"percentile({value}, 0.5)").alias("median"),
-        F.stddev_samp(value).alias("std"))
+    stats = w.groupBy(*keys, var).agg(F.stddev_samp(value).alias("std"))
+    middle = grouped_quantiles(w, [*keys, var], value, [0.5]).select(*keys, var, F.col("q")[0].alias("median"))
+    stats = stats.join(middle, [*keys, var])
     j = stats.join(config_dim(rules), var)
     both = F.col("tolerance_plus").isNotNull() & F.col("tolerance_minus").isNotNull()
     sigma = F.coalesce(F.col("std"), F.lit(0.0))
@@ -128,7 +119,7 @@ def dynamic_limits(window_long: DataFrame, tolerances: DataFrame, keys=("machine
     lo = F.when(both, F.col("median") - F.abs("tolerance_minus")).otherwise(F.col("median") - margin)
     hi = F.when(both, F.col("median") + F.abs("tolerance_plus")).otherwise(F.col("median") + margin)
     signed = F.lit(False)
-    for kw in SIGNED_KEYWORDS:
+    for kw in config.SIGNED_KEYWORDS:
         signed = signed | F.lower(F.col(var)).contains(kw)
     lo = F.when(signed, lo).otherwise(F.greatest(F.lit(0.0), lo))
     return j.select(*keys, F.col(var).alias("sensor"), "median",

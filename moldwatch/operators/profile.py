@@ -88,13 +88,13 @@ def with_source_file(scan: DataFrame) -> DataFrame:
                        .alias("source_file"))
 
 
-def source_coverage(df: DataFrame, keys=("machine_id",), ts: str = "timestamp") -> DataFrame:
+def source_coverage(df: DataFrame, n_columns: int, keys=("machine_id",), ts: str = "timestamp") -> DataFrame:
     """Per source file (and key): first / last timestamp, rows, column count
-    (A17); ``df`` carries ``source_file`` (see ``with_source_file``)."""
-    n_cols = len([c for c in df.columns if c != "source_file"])
+    (A17); ``df`` carries ``source_file`` (see ``with_source_file``), ``n_columns`` is
+    the number of columns of the scanned files."""
     return df.groupBy("source_file", *keys).agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("rows")) \
-        .withColumn("n_columns", F.lit(n_cols))
+        .withColumn("n_columns", F.lit(n_columns))
 
 
 def scrap_rate_gate(df: DataFrame, label: str = "is_scrap", keys=()) -> DataFrame:

@@ -32,17 +32,16 @@ def downsample_stride(df: DataFrame, max_points: int, keys=("machine_id",), ts:
     """Every ceil(n / max)-th row per key plus always the last row.
 
     Positions come from the two-level per-key index and the per-key count
-    is an aggregate joined back, so a long series is never one task.
-    Timestamps are unique per key here, so the 'dedup on timestamp keep
-    last' of the definition is a no-op.
+    is an aggregate joined back, so a long series is never one task.  Of the
+    kept points with the same key and timestamp the last one stays.
     """
     x = _indexed(df, keys, ts, tie)
     step = F.ceil(F.col("_n") / F.lit(float(max_points))).cast("long")
     keep = (F.col("_n") <= max_points) | (F.col("_idx") % step == 0) | (F.col("_idx") == F.col("_n") - 1)
-    return x.where(keep).drop("_idx", "_n")
+    return dedup_keep(x.where(keep), [*keys, ts], order=["_idx"], keep="last").drop("_idx", "_n")
 
 
-def stride_every(df: DataFrame, step: int, min_rows: int = 1000, keys=("machine_id",),
+def stride_every(df: DataFrame, step: int, min_rows: int, keys=("machine_id",),
                  ts: str = "timestamp", tie: str | None = None) -> DataFrame:
     """Every ``step``-th row per key when the key has more than ``min_rows``."""
     x = _indexed(df, keys, ts, tie)
@@ -61,22 +60,27 @@ def temporal_split(df: DataFrame, order_cols, train_fraction: float = 0.8, ts: s
     """Chronological split by row position: the first int(n * f) rows in
     ``order_cols`` order are TRAIN, the rest TEST (F4).
 
-    Exact and distributed: a global position from the two-level index
-    (rows numbered per day, offset by earlier days' counts), compared with
-    the one-row total count.
+    Exact and distributed: rows are counted per hour, whole hours lie before or
+    after the cut, and only the rows of the hour that holds it are ranked.
     """
-    from moldwatch.operators.order import global_row_index
     ts = ts or order_cols[0]
-    x = df.withColumn("_day", F.to_date(F.col(ts)))
-    x = global_row_index(x, [F.col(c) for c in order_cols], "_day", "_pos")
-    n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery: one aggregate row
-    cut = F.floor(n * F.lit(train_fraction))
-    return x.withColumn(out, F.when(F.col("_pos") < cut, "TRAIN").otherwise("TEST")) \
-        .drop("_day", "_pos")
+    x = df.withColumn("_part", F.date_trunc("hour", F.col(ts).cast("timestamp")))
+    counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # one row per hour
+    cut = F.floor(counts.agg(F.sum("_c")).scalar() * F.lit(train_fraction))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.select("_part", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), cut.alias("_cut"))
+    x = x.join(parts, "_part")
+    edge = (F.col("_off") < F.col("_cut")) & (F.col("_cut") < F.col("_off") + F.col("_c"))
+    w = Window.partitionBy("_part").orderBy(*[F.col(c) for c in order_cols])
+    ranked = x.where(edge).withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
+    both = x.where(~edge).withColumn("_pos", F.col("_off")).unionByName(ranked)
+    return both.withColumn(out, F.when(F.col("_pos") < F.col("_cut"), "TRAIN").otherwise("TEST")) \
+        .drop("_part", "_c", "_off", "_cut", "_pos")
 
 
 def _hash_u(key_cols, seed: int):
-    return F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    """Seeded digest of the key as text: the same in any engine."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols], F.lit(str(seed))))
 
 
 def hash_rank_take(df: DataFrame, class_cols, quota: DataFrame, key_cols, seed: int = 42,
@@ -85,14 +89,14 @@ def hash_rank_take(df: DataFrame, class_cols, quota: DataFrame, key_cols, seed:
     (a deterministic uniform sample of exact size).
 
     ``quota``: class_cols + ``n``.  Two levels: rows are counted per (class,
-    top 20 hash bits) -- a small table -- so whole buckets are kept or
-    dropped by their running offset, and only the one boundary bucket per
-    class is ranked row by row.  With ``out`` all rows are returned and
+    first 5 digits of the digest) -- a small table -- so whole buckets are kept or
+    dropped by their running offset, and only the rows of the one boundary bucket
+    per class are sorted and ranked.  With ``out`` all rows are returned and
     ``out`` flags the chosen ones instead of filtering.
     """
     class_cols = list(class_cols)
     x = df.withColumn("_u", _hash_u(key_cols, seed)) \
-        .withColumn("_hb", F.shiftright(F.col("_u"), 44))
+        .withColumn("_hb", F.substring("_u", 1, 5))
     counts = x.groupBy(*class_cols, "_hb").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*class_cols).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))) \
@@ -101,12 +105,12 @@ def hash_rank_take(df: DataFrame, class_cols, quota: DataFrame, key_cols, seed:
     full = F.col("_off") + F.col("_c") <= F.col("_q")
     boundary = (F.col("_off") < F.col("_q")) & ~full
     wr = Window.partitionBy(*class_cols, "_hb").orderBy("_u", *[F.col(c) for c in key_cols])
-    ranked = y.withColumn("_rk", F.when(boundary, F.row_number().over(wr)))
-    keep = F.coalesce(full | (boundary & (F.col("_off") + F.col("_rk") <= F.col("_q"))), F.lit(False))
-    drop = ["_u", "_hb", "_c", "_off", "_q", "_rk"]
-    if out:
-        return ranked.withColumn(out, keep).drop(*drop)
-    return ranked.where(keep).drop(*drop)
+    edge = F.coalesce(boundary, F.lit(False))
+    ranked = y.where(edge).withColumn("_rk", F.row_number().over(wr))
+    ranked = ranked.withColumn("_keep", F.col("_off") + F.col("_rk") <= F.col("_q")).drop("_rk")
+    whole = y.where(~edge).withColumn("_keep", F.coalesce(full, F.lit(False)))
+    both = whole.unionByName(ranked).drop("_u", "_hb", "_c", "_off", "_q")
+    return both.withColumnRenamed("_keep", out) if out else both.where("_keep").drop("_keep")
 
 
 def stratified_split(df: DataFrame, label: str, key_cols, test_fraction: float = 0.2,
@@ -118,22 +122,23 @@ def stratified_split(df: DataFrame, label: str, key_cols, test_fraction: float =
 
 
 def stratified_downsample(df: DataFrame, label: str, key_cols, max_rows: int,
-                          min_pos: int = 1000, keys=(), seed: int = 42, cap_pos: bool = False
-                          ) -> DataFrame:
+                          min_pos: int = 1000, keys=(), seed: int = 42) -> DataFrame:
     """Stratified downsample to ``max_rows`` per key set (F7; F8 with
-    ``keys=('machine_id',)``, ``min_pos=2000``, ``cap_pos=True``).
+    ``keys=('machine_id',)``, 250,000 rows and ``min_pos=2000``).
 
-    n_pos = max(int(P * r), min(P, min_pos)) with r = max_rows / n (capped at P
-    for F8), n_neg = max_rows - n_pos; key sets with n <= max_rows are kept
-    whole.  Rows are chosen by seeded hash rank (exact counts).
+    n_pos = max(int(P * r), min(P, min_pos)) with r = max_rows / n, at most P and
+    ``max_rows``; n_neg = max_rows - n_pos, at most the negatives there are; key sets
+    with n <= max_rows are kept whole.  ``max_rows`` bounds the labelled rows that a
+    classifier is fitted on.  Rows are chosen by seeded hash rank (exact counts).
     """
+    if min_pos >= max_rows:
+        raise ValueError("min_pos must leave room for negatives")
     keys = list(keys)
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                 F.sum((F.col(label) == 1).cast("long")).alias("_P"))
     r = F.lit(float(max_rows)) / F.col("_n")
     n_pos = F.greatest(F.floor(F.col("_P") * r), F.least(F.col("_P"), F.lit(min_pos)))
-    if cap_pos:
-        n_pos = F.least(F.col("_P"), n_pos)
+    n_pos = F.least(F.col("_P"), n_pos, F.lit(max_rows))
     n_pos = F.when(F.col("_n") <= max_rows, F.col("_P")).otherwise(n_pos)
     n_neg = F.when(F.col("_n") <= max_rows, F.col("_n") - F.col("_P")).otherwise(F.lit(max_rows) - n_pos)
     q = cnt.select(*keys, n_pos.cast("long").alias("_pos_n"), n_neg.cast("long").alias("_neg_n"))

@@ -25,12 +25,14 @@ from moldwatch.plans.monitor import filled_window, machine_health, unpivot, wind
 
 
 def future_horizon(filled: DataFrame, sensors, model, forecaster=None, future_window: int = 35,
-                   limits: dict | None = None, threshold: float = 0.55, history_rows: int = 240
-                   ) -> DataFrame:
-    """Future rows per machine at 1-minute steps, scored (M3-M6)."""
-    minutes = max(5, min(60, future_window))
-    steps = max(6, minutes)
-    recent = last_n_per_key(filled, ("machine_id",), "timestamp", history_rows).drop("_rn")
+                   limits: dict | None = None, threshold: float = 0.55) -> DataFrame:
+    """Future rows per machine at 1-minute steps, scored (M3-M6): ``future_window`` of them, 5 to
+    60, and six at least.  Only the rows that the forecaster looks back on are read."""
+    if not 5 <= future_window <= 60:
+        raise ValueError("future_window must be 5 to 60 minutes")
+    steps = max(6, future_window)
+    look_back = forecaster[2] + 1 if forecaster is not None else 1
+    recent = last_n_per_key(filled, ("machine_id",), "timestamp", look_back).drop("_rn")
     last = latest_row(recent.select("machine_id", "timestamp", *sensors))
     if forecaster is not None:
         coef, icpt, lags = forecaster
@@ -52,10 +54,11 @@ def future_horizon(filled: DataFrame, sensors, model, forecaster=None, future_wi
 
 
 def control_room(hist: DataFrame, raw_telemetry: DataFrame, machines: DataFrame, sensors,
-                 tolerances: DataFrame, model, forecaster=None, time_window: int = 240,
-                 future_window: int = 35, max_past: int = 320, max_future: int = 210,
+                 tolerances: DataFrame, model, forecaster=None, *, time_window: int,
+                 future_window: int, max_past: int, max_future: int,
                  threshold: float = 0.55) -> tuple[DataFrame, DataFrame]:
-    """Returns (machines table, timeline table)."""
+    """Returns (machines table, timeline table): the last ``time_window`` minutes and the next
+    ``future_window``, the timeline downsampled to ``max_past`` and ``max_future`` points."""
     filled = filled_window(hist, sensors, time_window)
     health = machine_health(filled, sensors, tolerances)
     lim = window_limits(filled, sensors, tolerances)

@@ -13,8 +13,8 @@ _TELEMETRY = """
 telemetry AS (
   SELECT event_id, ts AS timestamp,
          'm-' || CAST(100 + user_id % 5 AS VARCHAR(10)) AS machine_id,
-         CASE event_type WHEN 'click' THEN 'Injection_pressure' WHEN 'view' THEN 'Cycle_time'
-                         WHEN 'purchase' THEN 'Cushion' ELSE 'Cyl_tmp_z1' END AS variable_name,
+         CASE WHEN event_id % 89 = 0 THEN 'Scrap_counter' ELSE CASE event_type WHEN 'click' THEN 'Injection_pressure' WHEN 'view' THEN 'Cycle_time'
+                         WHEN 'purchase' THEN 'Cushion' ELSE 'Cyl_tmp_z1' END END AS variable_name,
          CASE WHEN event_id % 97 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR(32)) END AS value,
          'LINE-' || CAST(100 + user_id % 5 AS VARCHAR(10)) || '-' ||
            CASE user_id % 5 WHEN 0 THEN '11' WHEN 1 THEN '23' WHEN 2 THEN '30' WHEN 3 THEN '33' ELSE '57' END

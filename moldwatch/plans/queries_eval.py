@@ -10,7 +10,7 @@ from moldwatch.operators.evaluate import (best_threshold, class_weight, confusio
                                           estimated_precision, label_balance, pr_curve,
                                           precision_buckets, roc_auc)
 from moldwatch.operators.profile import (drift_report, kept_summary, machine_overlap,
-                                         machine_summary, probability_distribution, sampling_step,
+                                         probability_distribution, sampling_step,
                                          scrap_rate_gate, source_coverage, status_breakdown,
                                          with_source_file)
 from moldwatch.operators.rolling import rolling_time_long
@@ -227,27 +227,53 @@ def q_overlap(spark, sf):
     return machine_overlap(s)
 
 
-# --- F5: seeded stratified split (rows-only check) ------------------------------
-@register("stratified_split")
+# --- F5 / F7 / F8: seeded stratified split and downsamples -----------------------
+def _ranked_sql(source, cols, label, key, part=()):
+    """Rows with their digest rank inside (part, label) and the counts that quotas use."""
+    p = "".join(f"{c}, " for c in part)
+    over = f"OVER (PARTITION BY {', '.join(part)})" if part else "OVER ()"
+    digest = "md5(concat_ws(':', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in key) + ", '42'))"
+    return f"""
+SELECT {cols}, {label} AS label, row_number() OVER (PARTITION BY {p}{label} ORDER BY {digest}, {', '.join(key)}) AS rk,
+       count(*) OVER (PARTITION BY {p}{label}) AS n_class, count(*) {over} AS n, sum(({label} = 1)::INT) {over} AS pos
+FROM {source}"""
+
+
+def _downsample_where(max_rows, min_pos):
+    n_pos = f"least(pos, greatest(floor(pos * ({max_rows}.0 / n)), least(pos, {min_pos})), {max_rows})"
+    return f"n <= {max_rows} OR (label = 1 AND rk <= {n_pos}) OR (label = 0 AND rk <= {max_rows} - {n_pos})"
+
+
+_LINES = "(SELECT *, CAST(l_returnflag = 'R' AS INT) AS lab FROM lineitem)"
+_LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
+@register("stratified_split", f"""
+SELECT l_orderkey, l_linenumber, label, CASE WHEN rk <= round(n_class * 0.2) THEN 'TEST' ELSE 'TRAIN' END AS split
+FROM ({_ranked_sql(_LINES, 'l_orderkey, l_linenumber', 'lab', _LINE_KEY)}) t""")
 def q_stratified_split(spark, sf):
     li = lineitem_events(spark, sf)
     s = stratified_split(li, "label", ["l_orderkey", "l_linenumber"])
     return s.select("l_orderkey", "l_linenumber", "label", "split")
 
 
-# --- F7: stratified downsample of the event-level table (rows-only) ------------
-@register("stratified_downsample")
+@register("stratified_downsample", f"""
+SELECT l_orderkey, l_linenumber, label FROM ({_ranked_sql(_LINES, 'l_orderkey, l_linenumber', 'lab', _LINE_KEY)}) t
+WHERE {_downsample_where(20000, 1000)}""")
 def q_strat_down(spark, sf):
     li = lineitem_events(spark, sf)
-    return stratified_downsample(li, "label", ["l_orderkey", "l_linenumber"], max_rows=20_000)
+    s = stratified_downsample(li, "label", ["l_orderkey", "l_linenumber"], max_rows=20_000)
+    return s.select("l_orderkey", "l_linenumber", "label")
 
 
-# --- F8: per-machine stratified downsample (rows-only) ---------------------------
-@register("stratified_downsample_machine")
+@register("stratified_downsample_machine", fixture_sql(f"""
+SELECT event_id, machine_id, label AS is_scrap_actual
+FROM ({_ranked_sql('scored', 'event_id, machine_id', 'is_scrap_actual', ['event_id'], ['machine_id'])}) t
+WHERE {_downsample_where(1000, 200)}"""))
 def q_strat_down_m(spark, sf):
-    s = fx.scored(spark, sf)
-    return stratified_downsample(s, "is_scrap_actual", ["event_id"], max_rows=1000, min_pos=2000,
-                                 keys=("machine_id",), cap_pos=True)
+    s = stratified_downsample(fx.scored(spark, sf), "is_scrap_actual", ["event_id"], max_rows=1000, min_pos=200,
+                              keys=("machine_id",))
+    return s.select("event_id", "machine_id", "is_scrap_actual")
 
 
 # --- F6 + J3 + U2: structured sampling of the long rolling table ---------------
@@ -321,14 +347,15 @@ def q_sampling_step(spark, sf):
 # --- A17: source coverage per file and machine ---------------------------------
 @register("source_coverage", fixture_sql("""
 SELECT 'events.parquet' AS source_file, 'M' || CAST(100 + user_id % 5 AS VARCHAR(10)) AS machine_id,
-       min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows, 5 AS n_columns
+       min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows,
+       CAST((SELECT count(*) FROM (DESCRIBE events)) AS INT) AS n_columns
 FROM events GROUP BY 2"""))
 def q_source_coverage(spark, sf):
-    scan = with_source_file(read_table(spark, sf, "events"))
-    x = scan.select("source_file", F.concat(F.lit("M"), (F.lit(100) + F.col("user_id") % 5)
-                                            .cast("string")).alias("machine_id"),
-                    F.col("ts").alias("timestamp"), "event_type", "value", "event_id")
-    c = source_coverage(x)
+    table = read_table(spark, sf, "events")
+    scan = with_source_file(table)
+    x = scan.withColumn("machine_id", F.concat(F.lit("M"), (F.lit(100) + F.col("user_id") % 5).cast("string"))) \
+        .withColumn("timestamp", F.col("ts"))
+    c = source_coverage(x, len(table.columns))
     return c.select("source_file", "machine_id", F.col("first_ts").cast("timestamp_ntz"),
                     F.col("last_ts").cast("timestamp_ntz"), "rows", F.col("n_columns").cast("int"))
 
@@ -361,5 +388,3 @@ def q_summary_stats(spark, sf):
         F.sum((F.col("scrap_probability") >= 0.55).cast("long")).alias("high_risk_points"),
         F.count(F.lit(1)).alias("total_rows"))
 
-
-_ = machine_summary  # re-exported for callers of the reports

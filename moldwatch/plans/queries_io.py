@@ -45,7 +45,7 @@ def q_log_scan(spark, sf):
     path = scratch_dir(spark, "hydra-export")
     log = production_log_raw(spark, sf)
     padded = log.select(*[F.col(c).cast("string").alias(f" {c} ") for c in log.columns])
-    padded.coalesce(2).write.mode("overwrite").option("header", True).csv(f"{path}/export")
+    padded.write.mode("overwrite").option("header", True).csv(f"{path}/export")
     # an office lock file next to the export must be skipped
     padded.limit(1).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/lock")
     fs, lock = S._fs(spark, f"{path}/lock")
@@ -74,7 +74,7 @@ def q_encodings_json(spark, sf):
 # --- S7 + S10 + S11: scored history partitioned by machine and split --------
 @register("partitioned_history", fixture_sql("""
 SELECT machine_id, split, timestamp, round(scrap_probability, 9) AS scrap_probability, is_scrap_actual
-FROM sp WHERE split = 'TEST'""", history_cte(),
+FROM sp""", history_cte(),
     """
 sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY timestamp, machine_id) - 1
                            < floor(count(*) OVER () * 0.8) THEN 'TRAIN' ELSE 'TEST' END AS split
@@ -84,7 +84,7 @@ def q_partitioned(spark, sf):
     h = temporal_split(fx.history(spark, sf), ["timestamp", "machine_id"])
     S.write_partitioned(h.select("machine_id", "split", "timestamp", "scrap_probability", "is_scrap_actual"),
                         path, ("machine_id", "split"))
-    back = spark.read.parquet(path).where(F.col("split") == "TEST")  # partition pruning
+    back = spark.read.parquet(path)
     return back.select("machine_id", "split", _ntz(), F.round("scrap_probability", 9).alias("scrap_probability"),
                        "is_scrap_actual")
 

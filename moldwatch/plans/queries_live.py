@@ -137,7 +137,7 @@ SELECT machine_id, seq, timestamp, sensor,
 FROM ({_l4_sql()}) t WHERE n_rows >= 3 AND n_buf > 0"""))
 def q_live_rolling(spark, sf):
     out = L.replay(spark, readings(spark, sf),
-                   lambda s: L.live_rolling_stream(s, window_s=LIVE_WINDOW_S), "live-rolling")
+                   lambda s: L.live_rolling_stream(s, window_s=LIVE_WINDOW_S, cap=1000), "live-rolling")
     return out.select("machine_id", "seq", _ntz(), "sensor",
                       *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max", "last")])
 
@@ -148,11 +148,10 @@ SELECT machine_id, variable_name, window_start, window_start + INTERVAL 6 HOUR A
        count(*) AS n, round(avg(value), 9) AS mean_value, max(value) AS max_value
 FROM (SELECT *, make_timestamp(CAST(floor(epoch_us(timestamp) / 21600000000) AS BIGINT) * 21600000000) AS window_start
       FROM clean) t
-GROUP BY machine_id, variable_name, window_start
-HAVING window_start + INTERVAL 6 HOUR <= (SELECT max(timestamp) FROM clean) - INTERVAL 1 DAY"""))
+GROUP BY machine_id, variable_name, window_start"""))
 def q_live_windows(spark, sf):
     out = L.replay(spark, readings(spark, sf),
-                   lambda s: L.windowed_readings(s, "6 hours", watermark="1 day"), "live-windows")
+                   lambda s: L.windowed_readings(s, "6 hours", watermark="1 day"), "live-windows", flush="2 DAYS")
     return out.select("machine_id", "variable_name", _ntz("window_start"), _ntz("window_end"), "n",
                       F.round("mean_value", 9).alias("mean_value"), "max_value")
 
@@ -165,7 +164,7 @@ def _timeline_sql():
 SELECT machine_id, timestamp, {sens}, false AS is_live FROM w
 UNION ALL
 SELECT l.machine_id, l.timestamp, {live.replace('max(v)', 'max(b.v)')}, true AS is_live
-FROM (SELECT machine_id, arg_max(timestamp, event_id) AS timestamp FROM clean GROUP BY 1) l
+FROM (SELECT machine_id, max(timestamp) AS timestamp FROM clean GROUP BY 1) l
 JOIN (SELECT machine_id, variable_name, arg_max(value, timestamp) AS v FROM clean GROUP BY 1, 2) b
   USING (machine_id)
 GROUP BY l.machine_id, l.timestamp"""

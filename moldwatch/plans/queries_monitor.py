@@ -201,11 +201,11 @@ SELECT coalesce(b.sensor, o.sensor) AS sensor, coalesce(o.min_limit, b.min_limit
 FROM limits b FULL JOIN (
   SELECT variable_name AS sensor, round_even(quantile_cont(value, 0.01), 2) AS min_limit,
          round_even(quantile_cont(value, 0.99), 2) AS max_limit
-  FROM clean c JOIN scored s USING (event_id) WHERE s.scrap_probability < 0.30 AND variable_name <> 'Cushion'
+  FROM clean c JOIN scored s USING (event_id) WHERE s.scrap_probability < 0.30
   GROUP BY variable_name) o ON o.sensor = b.sensor"""))
 def q_limits_override(spark, sf):
     c = fx.clean(spark, sf).join(fx.scored(spark, sf).select("event_id", "scrap_probability"),
-                                 "event_id").where(F.col("variable_name") != "Cushion")
+                                 "event_id")
     o = percentile_limits(c).withColumn("unit", F.lit(None).cast("string"))
     return merge_limits(fx.limits(spark), o)
 
@@ -238,12 +238,12 @@ def q_rca(spark, sf):
 # --- P18 + P19: garbage guard and half-even rounding of history values --------
 @register("garbage_guard", fixture_sql("""
 SELECT event_id, machine_id, timestamp, variable_name,
-       CASE WHEN abs(value) <= 300 AND NOT isnan(value) THEN round_even(value, 1) END AS value_2dp
+       CASE WHEN abs(value) <= 5000 AND NOT isnan(value) THEN round_even(value, 2) END AS value_2dp
 FROM clean"""))
 def q_garbage(spark, sf):
     c = fx.clean(spark, sf)
     return c.select("event_id", "machine_id", _ntz(), "variable_name",
-                    round_half_even(finite_or_null("value", 300.0), 1).alias("value_2dp"))
+                    round_half_even(finite_or_null("value", 5000.0), 2).alias("value_2dp"))
 
 
 # --- F3: strided downsample per machine (+ always the last), dedup on ts ------

@@ -16,6 +16,7 @@ from moldwatch.sources.tables import telemetry_raw
 SENSORS = config.FIXTURE_SENSORS
 TIME_WINDOW = 4320   # fixture scale of the 240-minute past window
 FUTURE_WINDOW = 35
+MAX_PAST, MAX_FUTURE = 320, 210  # points of a machine's timeline
 
 _CACHE: dict = {}
 
@@ -33,17 +34,19 @@ def room(spark, sf):
         _CACHE[key] = control_room(fx.history(spark, sf), raw, fx.machines(spark), SENSORS,
                                    fx.tolerances(spark), raw_sensor_model(spark, sf),
                                    _forecaster(spark, sf), time_window=TIME_WINDOW,
-                                   future_window=FUTURE_WINDOW)
+                                   future_window=FUTURE_WINDOW, max_past=MAX_PAST, max_future=MAX_FUTURE)
     return _CACHE[key]
 
 
 @register("control_room")
 def q_control_room(spark, sf):
+    """The machines of the control room: past window TIME_WINDOW minutes, FUTURE_WINDOW minutes ahead."""
     return room(spark, sf)[0]
 
 
 @register("control_room_timeline")
 def q_control_room_timeline(spark, sf):
+    """The control room's timeline, at most MAX_PAST + MAX_FUTURE points a machine."""
     return room(spark, sf)[1]
 
 

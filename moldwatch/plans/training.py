@@ -57,6 +57,13 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
 _MODEL_CACHE: dict = {}
 
 
+def clear_caches() -> None:
+    """Forget the models (and what other modules keep of them): the next query trains anew."""
+    from moldwatch.plans import queries_live, queries_room
+    for c in (_MODEL_CACHE, _RAW_MODEL_CACHE, queries_live._STATUS_CACHE, queries_room._CACHE):
+        c.clear()
+
+
 def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     """(model, scored test rows, features); the model is cached per input so
     the queries that share it train once."""
@@ -69,13 +76,13 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     feats = feature_columns()
     train = table.where(F.col("split") == "TRAIN")
     test = table.where(F.col("split") == "TEST")
-    cw = ML.class_weight_value(train, LABEL, cap=100.0)
+    cw = ML.class_weight_value(train, LABEL, cap=ML.weight_cap(preset))
     # validation = the last 20 % of the training period (chronological)
     tr = temporal_split(train.drop("split"), ["timestamp", "machine_id"], 0.8, out="_role") \
         .withColumn("_is_val", F.col("_role") == "TEST").drop("_role")
     tr = ML.with_class_weight(tr, LABEL, cw)
     model = ML.train_gbt(tr, feats, LABEL, weight_col="weight", validation_col="_is_val",
-                         preset=preset, validationTol=0.001)
+                         preset=preset)
     scored = ML.score(model, test, threshold=config.ML_THRESHOLDS["MEDIUM"])
     _MODEL_CACHE[key] = (model, scored, feats, cw)
     return _MODEL_CACHE[key]
@@ -93,7 +100,7 @@ def raw_sensor_model(spark: SparkSession, sf: str):
     if key not in _RAW_MODEL_CACHE:
         w = fill_forward_backward(wide(spark, sf), SENSORS)
         lab = asof_label(w, fx.events(spark, sf), label="label")
-        cw = ML.class_weight_value(lab, "label", cap=50.0)
+        cw = ML.class_weight_value(lab, "label", cap=ML.weight_cap("retrain_v2"))
         _RAW_MODEL_CACHE[key] = ML.train_gbt(ML.with_class_weight(lab, "label", cw), SENSORS, "label",
-                                             preset="retrain_v2", maxIter=50)
+                                             preset="retrain_v2")
     return _RAW_MODEL_CACHE[key]

@@ -35,26 +35,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-# Window partitions are bounded by halo chunking (see operators.chunking), so
-# a chunk's rows can stay in memory instead of the spillable external array.
-WINDOW_BUFFER_ROWS = 1 << 20
-
-
 def ensure_utc(spark: SparkSession) -> None:
-    """Session settings every operator assumes: time buckets and day
-    boundaries in UTC; window buffers sized for bounded chunk partitions."""
+    """The session setting every operator assumes: time buckets and day boundaries in UTC."""
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    key = "spark.sql.windowExec.buffer.in.memory.threshold"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(WINDOW_BUFFER_ROWS))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a private scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Only where the session names none and runs in local mode (tests) a private scratch
+    folder is created; executors of a cluster would not see it, so there a missing
+    setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -65,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="moldwatch-ckpt-")
     sc.setCheckpointDir(local)
     return local
@@ -73,8 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
-    Survives executor loss (unlike ``localCheckpoint``): the data lives in the
-    checkpoint directory, not in executor block managers.
+    Survives executor loss: the data lives in the checkpoint directory, not in
+    executor block managers.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)

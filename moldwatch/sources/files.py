@@ -73,10 +73,10 @@ def typed_production_log(df: DataFrame) -> DataFrame:
 def write_per_machine_csv(df: DataFrame, path: str, machine_col: str = "machine_id",
                           suffix: str = "telemetry") -> None:
     """CSV sink with one file set per machine named ``{machine}-{suffix}-N.csv``
-    (S8 + the naming S1 reads).  One write job (partitioned by machine), then
-    metadata renames through the Hadoop FS API."""
+    (S8 + the naming S1 reads).  One write job, the rows of a machine ranged by
+    their digest over several tasks, then metadata renames through the Hadoop FS API."""
     tmp = path.rstrip("/") + "/_staging"
-    df.repartition(machine_col).write.mode("overwrite").option("header", True) \
+    _spread(df, [machine_col]).write.mode("overwrite").option("header", True) \
         .partitionBy(machine_col).csv(tmp)
     fs, root = _fs(df.sparkSession, tmp)
     jvm = df.sparkSession.sparkContext._jvm
@@ -89,17 +89,28 @@ def write_per_machine_csv(df: DataFrame, path: str, machine_col: str = "machine_
     fs.delete(root, True)
 
 
+ROWS_PER_FILE = 5_000_000
+
+
+def _spread(df: DataFrame, cols) -> DataFrame:
+    """Rows ranged by ``cols`` and a row digest: the rows of one value stay together as far as
+    they fit, and a value with most of all rows is dealt over many tasks."""
+    digest = F.xxhash64(*[F.col(c) for c in df.columns])
+    return df.withColumn("_d", digest).repartitionByRange(*cols, "_d").drop("_d")
+
+
 def write_partitioned(df: DataFrame, path: str, partition_cols=("machine_id",), mode: str = "overwrite",
                       compression: str = "snappy") -> None:
     """Parquet sink partitioned by machine (and e.g. split) (S7, S10, S11):
-    readers prune partitions from ``machine_id = ...`` / ``split = ...``."""
-    (df.repartition(*partition_cols).write.mode(mode).option("compression", compression)
-     .partitionBy(*partition_cols).parquet(path))
+    readers prune partitions from ``machine_id = ...`` / ``split = ...``.  Hot values
+    are written by several tasks, ROWS_PER_FILE rows a file."""
+    (_spread(df, partition_cols).write.mode(mode).option("compression", compression)
+     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*partition_cols).parquet(path))
 
 
 def write_json_dimension(df: DataFrame, path: str) -> None:
-    """Small dimension / metrics record as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Dimension / metrics record as JSON lines (S6, ML7)."""
+    df.write.mode("overwrite").json(path)
 
 
 def read_json_dimension(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -38,7 +38,8 @@ def telemetry_raw(spark: SparkSession, sf_dir: str, n_machines: int = 5) -> Data
     """Long raw telemetry: event_id, timestamp, machine_id, variable_name,
     value (text, some not numeric), machine_definition."""
     ev = _events(spark, sf_dir).where(F.col("event_type") != "error")
-    variable = (F.when(F.col("event_type") == "click", "Injection_pressure")
+    variable = (F.when(F.col("event_id") % 89 == 0, "Scrap_counter")
+                .when(F.col("event_type") == "click", "Injection_pressure")
                 .when(F.col("event_type") == "view", "Cycle_time")
                 .when(F.col("event_type") == "purchase", "Cushion")
                 .otherwise("Cyl_tmp_z1"))

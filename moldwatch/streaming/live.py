@@ -16,20 +16,23 @@ Rules (L2), in reading order (timestamp, then arrival ``seq``):
   * else live ("success"), and the buffer becomes the recorded snapshot.
 
 ``live_status_stream`` is the streaming operator; ``live_status_replay``
-runs it over a batch DataFrame by writing the readings as time-ordered
-files and draining them with an availableNow trigger (bounded micro-batches,
-never a whole machine history in one group).  ``live_status_twin`` is the
+runs it over a batch DataFrame in time ranges of bounded size, each drained with an
+availableNow trigger (never a whole machine history in one group).  ``live_status_twin`` is the
 per-machine ``applyInPandas`` twin used by the tests on small fixtures.
 """
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moldwatch.operators.frames import frame_stats
+
+
 def _ship_by_value() -> None:
     """Serialize this module's Python functions by value, so executors need
     no installed copy of the package (same effect as ``--py-files``)."""
@@ -40,6 +43,7 @@ def _ship_by_value() -> None:
 
 
 CLEAR = "__clear__"
+HEARTBEAT = "__heartbeat__"
 OFFLINE_CYCLE = 0.1
 
 READING_SCHEMA = T.StructType([
@@ -77,13 +81,12 @@ def _fold(machine_id: str, pdf: pd.DataFrame, state: dict) -> tuple[list, dict]:
     prev = dict(zip(state["prev_keys"], state["prev_vals"])) if state["has_prev"] else None
     out = []
     pdf = pdf.sort_values(["timestamp", "seq"], kind="stable")
-    for r in pdf.itertuples(index=False):
-        var, val = r.variable_name, r.value
+    for var, val, ts, seq in zip(pdf["variable_name"], pdf["value"], pdf["timestamp"], pdf["seq"].tolist()):
         if var == CLEAR:
             # control message: empty the buffer, keep the snapshot history,
             # no status evaluation
             buf = {}
-            out.append((machine_id, int(r.seq), r.timestamp, var, 0, "cleared", [], []))
+            out.append((machine_id, seq, ts, var, 0, "cleared", [], []))
             continue
         if var is not None and val is not None and not pd.isna(val):
             buf[var] = float(val)
@@ -98,8 +101,7 @@ def _fold(machine_id: str, pdf: pd.DataFrame, state: dict) -> tuple[list, dict]:
                 status = "success"
                 prev = dict(buf)
         keys = sorted(buf)
-        out.append((machine_id, int(r.seq), r.timestamp, var, len(buf), status, keys,
-                    [buf[k] for k in keys]))
+        out.append((machine_id, seq, ts, var, len(buf), status, keys, [buf[k] for k in keys]))
     new_state = {"keys": list(buf), "vals": list(buf.values()),
                  "prev_keys": list(prev) if prev is not None else [],
                  "prev_vals": list(prev.values()) if prev is not None else [],
@@ -119,10 +121,8 @@ def _stateful(key, pdf_iter, state):
         k, v, pk, pv, hp = state.get
         st = {"keys": list(k or []), "vals": list(v or []), "prev_keys": list(pk or []),
               "prev_vals": list(pv or []), "has_prev": bool(hp)}
-    rows = []
-    for pdf in pdf_iter:
-        out, st = _fold(machine_id, pdf, st)
-        rows.extend(out)
+    # A group may come in several Arrow chunks, in any order: sort all of it, then fold.
+    rows, st = _fold(machine_id, pd.concat(list(pdf_iter)), st)
     state.update((st["keys"], st["vals"], st["prev_keys"], st["prev_vals"], st["has_prev"]))
     if rows:
         yield pd.DataFrame(rows, columns=_COLS)
@@ -154,49 +154,48 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_replay_files(readings: DataFrame, path: str, bucket_us: int = 86_400_000_000) -> int:
-    """Write readings once, partitioned by time bucket, then stamp every
-    file's modification time in bucket order, so a file stream (which reads
-    files oldest-first) replays the buckets in time order.  Returns the
-    number of files.  One write job; the stamping is a metadata pass over
-    the file listing (bounded by the file count)."""
-    b = F.floor(F.unix_micros(F.col("timestamp")) / F.lit(bucket_us)).cast("long")
-    (readings.withColumn("_bucket", b).repartition("_bucket", "machine_id")
-     .write.mode("overwrite").partitionBy("_bucket").parquet(path))
-    sc = readings.sparkSession.sparkContext
-    jvm = sc._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
-    dirs = [st.getPath() for st in fs.listStatus(root) if st.isDirectory()]
-    dirs.sort(key=lambda p: int(p.getName().split("=", 1)[1]))
-    base_ms = 1_000_000_000_000
-    n = 0
-    for i, d in enumerate(dirs):
-        for st in fs.listStatus(d):
-            if st.getPath().getName().endswith(".parquet"):
-                fs.setTimes(st.getPath(), base_ms + i * 1000, -1)
-                n += 1
-    return n
-
-
-def drain_stream(spark: SparkSession, stream_df_fn, src: str, out: str, ckpt: str,
-                 files_per_trigger: int = 64) -> DataFrame:
-    """Run a file-source stream through ``stream_df_fn`` with availableNow
-    and return the parquet sink output as a batch DataFrame."""
-    stream = (spark.readStream.schema(READING_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-              .option("recursiveFileLookup", "true").parquet(src))
-    q = (stream_df_fn(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def replay(spark: SparkSession, readings: DataFrame, stream_fn, name: str) -> DataFrame:
-    """Replay a batch of readings through a streaming operator (file source,
-    availableNow, parquet sink in the shared checkpoint folder)."""
+DRAIN_ROWS = 2_000_000
+
+
+def replay(spark: SparkSession, readings: DataFrame, stream_fn, name: str, flush: str | None = None) -> DataFrame:
+    """Replay a batch of readings through a streaming operator (file source, parquet sink,
+    all in the shared checkpoint folder).
+
+    The readings are written once, in time ranges of about DRAIN_ROWS rows; the ranges
+    are handed to the stream one after the other, each drained with an availableNow
+    trigger from the same checkpoint.  So they arrive in time order whatever the
+    storage does with file times, and a micro-batch holds one range.  ``flush``: an
+    interval; a last heartbeat reading that much later closes the event-time
+    windows before it (it is not in the result itself)."""
     base = scratch_dir(spark, name)
-    write_replay_files(readings.select(*READING_SCHEMA.fieldNames()), f"{base}/in")
-    return drain_stream(spark, stream_fn, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    columns = READING_SCHEMA.fieldNames()
+    stats = readings.agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last")).first()
+    ranges = max(1, -(-stats["n"] // DRAIN_ROWS))
+    cuts = []
+    if ranges > 1:  # ranges - 1 numbers
+        us = readings.select(F.unix_micros("timestamp").cast("double").alias("t"))
+        cuts = sorted(set(us.approxQuantile("t", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    part = sum((F.when(F.unix_micros("timestamp") >= int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    readings.select(*columns).withColumn("_range", part).write.partitionBy("_range").parquet(f"{base}/ranges")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{base}/in"))
+    steps = [f"{base}/ranges/_range={i}" for i in range(len(cuts) + 1)]
+    if flush and stats["last"] is not None:
+        beat = spark.range(1).select(F.lit(HEARTBEAT).alias("machine_id"), F.lit(HEARTBEAT).alias("variable_name"),
+                                     F.lit(0.0).alias("value"), (F.lit(stats["last"]) + F.expr(f"INTERVAL {flush}")).alias("timestamp"),
+                                     F.lit(-1).cast("long").alias("seq"))
+        beat.write.parquet(f"{base}/beat")
+        steps.append(f"{base}/beat")
+    for i, step in enumerate(steps):
+        if fs.exists(path(step)):
+            fs.rename(path(step), path(f"{base}/in/{i}"))
+        stream = spark.readStream.schema(READING_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        q = (stream_fn(stream).writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").where(F.col("machine_id") != HEARTBEAT)
 
 
 def live_status_replay(spark: SparkSession, readings: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def live_status_replay(spark: SparkSession, readings: DataFrame) -> DataFrame:
 def buffer_status(status_rows: DataFrame) -> DataFrame:
     """Buffer size per machine after its last reading."""
     return status_rows.groupBy("machine_id").agg(
-        F.max_by("sensors_buffered", "seq").alias("buffer_size"))
+        F.max_by("sensors_buffered", F.struct("timestamp", "seq")).alias("buffer_size"))
 
 
 def live_features(status_rows: DataFrame, features) -> DataFrame:
@@ -274,39 +273,37 @@ def _roll_fold(machine_id, pdf, st, window_us: int, cap: int, min_rows: int):
     """Buffer of the last ``cap`` readings; at each reading, per sensor in
     the buffer: stats over its values with ts >= now - window (closed); an
     empty window falls back to the sensor's last buffered value with std 0;
-    fewer than ``min_rows`` buffered readings -> no features."""
-    import numpy as np
-    ts, var, val = list(st["ts"]), list(st["var"]), list(st["val"])
-    out = []
+    fewer than ``min_rows`` buffered readings -> no features.  All readings of
+    a micro-batch at once (see ``operators.frames``)."""
     pdf = pdf.sort_values(["timestamp", "seq"], kind="stable")
-    for r in pdf.itertuples(index=False):
-        now = int(pd.Timestamp(r.timestamp).value // 1000)
-        ts.append(now)
-        var.append(r.variable_name)
-        val.append(float(r.value))
-        if len(ts) > cap:
-            ts, var, val = ts[-cap:], var[-cap:], val[-cap:]
-        if len(ts) < min_rows:
-            continue
-        a_ts, a_var, a_val = np.array(ts), np.array(var, dtype=object), np.array(val)
-        for s in sorted(set(var)):
-            m = a_var == s
-            col_ts, col_val = a_ts[m], a_val[m]
-            w = col_val[col_ts >= now - window_us]
-            if len(w) == 0:
-                v = float(col_val[-1])
-                out.append((machine_id, int(r.seq), r.timestamp, s, v, 0.0, v, v, v))
-            else:
-                sd = float(np.std(w, ddof=1)) if len(w) > 1 else 0.0
-                out.append((machine_id, int(r.seq), r.timestamp, s, float(w.mean()), sd,
-                            float(w.min()), float(w.max()), float(w[-1])))
-    return out, {"ts": ts, "var": var, "val": val}
-
-
-def live_rolling_stream(readings: DataFrame, window_s: int = 300, cap: int = 1000,
-                        min_rows: int = 3) -> DataFrame:
+    old = len(st["ts"])
+    ts = np.concatenate([np.array(st["ts"], np.int64), pdf["timestamp"].to_numpy("datetime64[us]").astype(np.int64)])
+    var = np.concatenate([np.array(st["var"], object), pdf["variable_name"].to_numpy(object)])
+    val = np.concatenate([np.array(st["val"], np.float64), pdf["value"].to_numpy(np.float64)])
+    names = sorted(set(var))
+    at = np.arange(len(ts))
+    x = np.where(var[:, None] == np.array(names, object), val[:, None], np.nan)
+    newest = np.maximum.accumulate(np.where(np.isnan(x), -1, at[:, None]), axis=0)
+    now = np.arange(old, len(ts))
+    buffer = np.maximum(now - cap + 1, 0)
+    lo = np.minimum(np.maximum(buffer, np.searchsorted(ts, ts[now] - window_us, "left")), now + 1)
+    n, mean, spread, least, most = frame_stats(x, lo, now + 1)
+    parts = []
+    for c, name in enumerate(names):
+        last = newest[now, c]
+        shown = (last >= buffer) & (now + 1 - buffer >= min_rows)
+        v, some = val[np.maximum(last, 0)], n[:, c] > 0
+        std = np.sqrt(spread[:, c] / np.maximum(n[:, c] - 1, 1))
+        parts.append(pd.DataFrame({
+            "machine_id": machine_id, "seq": pdf["seq"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), "sensor": name,
+            "mean": np.where(some, mean[:, c], v), "std": np.where(n[:, c] > 1, std, 0.0), "min": np.where(some, least[:, c], v),
+            "max": np.where(some, most[:, c], v), "last": v})[shown])
+    return pd.concat(parts), {"ts": ts[-cap:].tolist(), "var": var[-cap:].tolist(), "val": val[-cap:].tolist()}
+
+
+def live_rolling_stream(readings: DataFrame, window_s: int, cap: int, min_rows: int = 3) -> DataFrame:
     """Streaming buffered rolling features per machine (L4); the state is the
-    last ``cap`` readings (bounded)."""
+    last ``cap`` readings (the buffer length, bounded)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     window_us = window_s * 1_000_000
 
@@ -316,13 +313,10 @@ def live_rolling_stream(readings: DataFrame, window_s: int = 300, cap: int = 100
         if state.exists:
             a, b, c = state.get
             st = {"ts": list(a or []), "var": list(b or []), "val": list(c or [])}
-        rows = []
-        for pdf in pdf_iter:
-            out, st = _roll_fold(machine_id, pdf, st, window_us, cap, min_rows)
-            rows.extend(out)
+        rows, st = _roll_fold(machine_id, pd.concat(list(pdf_iter)), st, window_us, cap, min_rows)
         state.update((st["ts"], st["var"], st["val"]))
-        if rows:
-            yield pd.DataFrame(rows, columns=_RCOLS)
+        if len(rows):
+            yield rows[_RCOLS]
 
     _ship_by_value()
     return readings.groupBy("machine_id").applyInPandasWithState(
@@ -333,7 +327,7 @@ def live_append_timeline(history: DataFrame, status_rows: DataFrame, sensors) ->
     """Timeline rows + each machine's latest live reading as the newest point
     (L6): a static history unioned with the live state's last row."""
     last = status_rows.groupBy("machine_id").agg(
-        F.max_by(F.struct("timestamp", "sensor_keys", "sensor_vals", "status"), "seq").alias("_l"))
+        F.max_by(F.struct("timestamp", "sensor_keys", "sensor_vals", "status"), F.struct("timestamp", "seq")).alias("_l"))
     m = F.map_from_arrays("_l.sensor_keys", "_l.sensor_vals")
     live = last.select("machine_id", F.col("_l.timestamp").alias("timestamp"),
                        *[m[s].alias(s) for s in sensors], F.lit(True).alias("is_live"))
