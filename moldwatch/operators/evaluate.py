@@ -2,16 +2,16 @@
 
 Global order statistics (ROC-AUC, PR curve, running maxima) are computed on
 per-score counts, never on raw rows: rows collapse to one row per distinct
-score by a partial aggregate, the score table is range-partitioned, and
-running sums use per-partition totals + within-partition windows, so no
-single task sorts the whole table.
+score by a partial aggregate, and running sums over the score table use
+totals per score bucket + windows inside a bucket, so no single task sorts the
+whole table.  The totals travel with the rows; nothing runs while a plan is built.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moldwatch.operators.stats import range_buckets
+from moldwatch.operators.stats import PER_UNIT, mono_bucket
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -25,25 +25,24 @@ def running(df: DataFrame, order: str, aggs: dict, descending: bool = False,
             inclusive: bool = True) -> DataFrame:
     """Running aggregates over a global order in two levels.
 
-    ``aggs``: out_name -> (fn, column) with fn in {"sum", "max"}.  Rows get a
-    balanced range bucket of the order value (``range_buckets``: at most
-    4096 buckets, equal values share one).  Per-bucket totals form a small
-    table whose running carry-in is one window over buckets; inside a bucket
-    a running window finishes the job.  Inputs are per-distinct-value tables
-    (e.g. per score), so a bucket holds about 1/4096 of the distinct values.
+    ``aggs``: out_name -> (fn, column) with fn in {"sum", "max"}; each also gets its
+    value over all rows as ``{out_name}_all``.  Rows get the monotone bucket of
+    the order value (equal values share one; scores in [0, 1] have about 45,000).
+    Per-bucket totals form a small table whose running carry-in is one window over
+    buckets; inside a bucket a running window finishes the job.
     """
     sign = -1 if descending else 1
-    x = range_buckets(df, order).withColumn("_b", F.col("_b") * F.lit(sign))
+    x = df.withColumn("_b", mono_bucket(F.col(order).cast("double"), PER_UNIT) * F.lit(sign))
     fns = {"sum": F.sum, "max": F.max}
     tot = x.groupBy("_b").agg(*[fns[fn](c).alias(f"_t_{k}") for k, (fn, c) in aggs.items()])
     pw = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select("_b", *[fns[fn](f"_t_{k}").over(pw).alias(f"_c_{k}")
-                               for k, (fn, _) in aggs.items()])
+    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = tot.select("_b", *[fns[fn](f"_t_{k}").over(pw).alias(f"_c_{k}") for k, (fn, _) in aggs.items()],
+                       *[fns[fn](f"_t_{k}").over(every).alias(f"{k}_all") for k, (fn, _) in aggs.items()])
     hi = 0 if inclusive else -1
     o = F.col(order).desc() if descending else F.col(order).asc()
     w = Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, hi)
-    # bucket table: at most 4096 rows, not growing with the data
-    y = x.join(F.broadcast(carry), "_b")
+    y = x.join(carry, "_b")
     cols = []
     for k, (fn, c) in aggs.items():
         inner = fns[fn](c).over(w)
@@ -51,7 +50,7 @@ def running(df: DataFrame, order: str, aggs: dict, descending: bool = False,
             cols.append((F.coalesce(inner, F.lit(0)) + F.coalesce(F.col(f"_c_{k}"), F.lit(0))).alias(k))
         else:
             cols.append(F.greatest(inner, F.col(f"_c_{k}")).alias(k))
-    return y.select(*[c for c in df.columns], *cols)
+    return y.select(*[c for c in df.columns], *cols, *[f"{k}_all" for k in aggs])
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -70,15 +69,13 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataF
     highest threshold reaching full recall up to the maximum score, like the
     usual precision_recall_curve; adds f1."""
     sc = score_counts(df, score, label)
-    r = running(sc, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, descending=True)
-    # scalars (total positives; the highest threshold at full recall) are
-    # scalar subqueries: one aggregate row each, no join
-    P = sc.agg(F.sum("pos")).scalar()
-    x = r.withColumn("P", P)
-    t_full = x.where(F.col("tp") == F.col("P")).agg(F.max("score")).scalar()
-    x = x.where(F.col("score") >= t_full)
+    x = running(sc, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, descending=True)
+    # Down to the row that completes the recall; without positives the first row alone.
+    total = F.col("tp_all")
+    x = x.where(F.when(total > 0, F.col("tp") - F.col("pos") < total)
+                .otherwise(F.col("fp") - F.col("neg") + F.col("tp") - F.col("pos") == 0))
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(0.0))
+    rec = F.when(total > 0, F.col("tp") / total).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
     return x.select(F.col("score").alias("threshold"), prec.alias("precision"), rec.alias("recall"),
                     f1.alias("f1"), "tp", "fp")
@@ -91,12 +88,10 @@ def best_threshold(pr: DataFrame, stop_precision: float = 0.85, factors=(0.4, 0.
     first maximum wins.  Recommended LOW / MEDIUM / HIGH = factors x best."""
     stop = pr.where(F.col("precision") >= stop_precision).agg(F.min("threshold")).scalar()
     x = pr.where(stop.isNull() | (F.col("threshold") <= stop))
-    best_f1 = x.agg(F.max("f1")).scalar()
     # first maximum in ascending threshold order; no F1 above 0 -> 0.5
-    best_t = x.where(F.col("f1") == best_f1).agg(F.min("threshold")).scalar()
-    best = x.agg(F.max("f1").alias("best_f1")).select(
-        F.coalesce("best_f1", F.lit(0.0)).alias("best_f1"),
-        F.when(F.coalesce("best_f1", F.lit(0.0)) > 0, best_t).otherwise(F.lit(0.5)).alias("best_threshold"))
+    top = x.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("low"))).alias("m"))
+    best_f1 = F.coalesce(F.col("m.f1"), F.lit(0.0))
+    best = top.select(best_f1.alias("best_f1"), F.when(best_f1 > 0, -F.col("m.low")).otherwise(F.lit(0.5)).alias("best_threshold"))
     lo, mid, hi = factors
     return best.select(
         "best_f1", "best_threshold",

@@ -82,8 +82,7 @@ def percentile_limits(long_df: DataFrame, prob_col: str = "scrap_probability",
                       var: str = "variable_name", value: str = "value") -> DataFrame:
     """Safe limits from low-risk rows: 1st / 99th percentile per sensor, 2 dp.
 
-    Exact, by ``global_quantile`` (balanced range buckets; only the boundary
-    bucket's rows are ranked), so a hot sensor is never one task.
+    Exact, by ``global_quantile``, so a hot sensor is never one task.
     """
     rows = long_df.where(F.col(prob_col) < max_prob)
     agg = global_quantile(rows, value, [lo, hi], keys=[var], out=["_qlo", "_qhi"]) \

@@ -4,10 +4,10 @@
 a grouped quantile the values are first counted per (group, value) -- a
 partial aggregate -- and the weighted percentile only sees distinct values.
 For a global quantile over a column with mostly distinct values the rows
-are counted per balanced range bucket (approximate-quantile split points), the
-bucket(s) holding the two ranks around p * (n - 1) are located on that
-small table, and only their rows are ranked and interpolated -- no task
-sorts the whole column.
+are counted per bucket of a fixed monotone rule, the buckets holding the two ranks
+around p * (n - 1) are located on that small table, their rows are counted
+again in equal parts of the bucket's range, and only the rows of the parts that
+hold the ranks are sorted.  Nothing runs while the plan is built.
 """
 from __future__ import annotations
 
@@ -31,26 +31,23 @@ def mono_bucket(v, per_unit: int = 1024):
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_unit)).cast("long")
 
 
-def range_buckets(df: DataFrame, value: str, out: str = "_b", buckets: int = 4096) -> DataFrame:
-    """Balanced, monotone range buckets of ``value``.
+PER_UNIT = 65_536
+PARTS = 4096
 
-    Split points are approximate quantiles (a bounded sketch: at most
-    ``buckets`` + 1 numbers reach the driver); each row is placed by binary
-    search in the JVM (``Bucketizer``).  Equal values always share a bucket,
-    so a value repeated in a third of all rows makes one bucket whose rows
-    are all equal -- callers short-cut such constant buckets instead of
-    ranking them.
-    """
-    from pyspark.ml.feature import Bucketizer
-    x = df.withColumn("_qv", F.col(value).cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = x.approxQuantile("_qv", probs, 1.0 / (4 * buckets)) if buckets > 1 else []
-    inner = sorted({q for q in qs if q == q and q not in (float("inf"), float("-inf"))})
-    if not inner:  # empty input: one bucket
-        return df.withColumn(out, F.lit(0).cast("long"))
-    splits = [float("-inf")] + inner + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb", handleInvalid="keep")
-    return bz.transform(x).withColumn(out, F.col("_qb").cast("long")).drop("_qv", "_qb")
+
+def _holding(v: DataFrame, keys, bucket: str, ranks: DataFrame, known=()) -> DataFrame:
+    """For each (keys, known, _r) of ``ranks``, whose _off rows of the key lie before ``v``'s
+    smallest bucket: the bucket that holds rank _r, with its _off, _mn and _mx."""
+    by = [*keys, *known]
+    counts = v.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    if not by:
+        by, offs, ranks = ["_k"], offs.withColumn("_k", F.lit(0)), ranks.withColumn("_k", F.lit(0))
+    j = offs.join(ranks, by)  # a table of buckets and one of ranks: both small
+    start = F.col("_off") + F.col("_before")
+    return (j.where((start <= F.col("_r")) & (F.col("_r") < start + F.col("_c")))
+            .select(*keys, *known, bucket, "_r", "_mn", "_mx", start.alias("_off")))
 
 
 def global_quantile(df: DataFrame, value: str, p, keys=(), out="q") -> DataFrame:
@@ -58,40 +55,35 @@ def global_quantile(df: DataFrame, value: str, p, keys=(), out="q") -> DataFrame
     ``value`` per ``keys`` (may be empty); ``p`` a float (column ``out``) or
     a list (columns ``out[i]``).
 
-    Rows are counted per (keys, balanced range bucket) -- a small table with
-    min / max per bucket -- whose running offsets locate the bucket(s)
-    holding ranks floor / ceil of p * (n - 1).  A constant bucket answers
-    directly; only rows of a mixed boundary bucket (about n / 4096 rows)
-    are ranked.  No task sorts a whole column or a whole hot key.
+    Rows are counted per (keys, monotone bucket), then those of the buckets
+    holding ranks floor / ceil of p * (n - 1) per equal part of the bucket's
+    range; a constant bucket or part answers directly, only rows of mixed parts are
+    ranked.  No task sorts a whole column or a whole hot key.
     """
     probs = [p] if isinstance(p, (int, float)) else list(p)
     outs = [out] if isinstance(p, (int, float)) else list(out)
     keys = list(keys)
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    v = range_buckets(v, "_v")
-    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
-                                        F.max("_v").alias("_mx"))
-    kw = Window.partitionBy(*keys)
-    offs = (counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        kw.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_c").over(kw)))
-    ranks = []
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = v.withColumn("_b", mono_bucket(F.col("_v"), PER_UNIT))
+    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = []
     for q in probs:
         pos = F.lit(float(q)) * (F.col("_n") - 1)
-        ranks += [F.floor(pos), F.ceil(pos)]
-    # one row per (key, target rank): the bucket that holds the rank
-    tgt = offs.select(*keys, "_b", "_c", "_mn", "_mx", "_off", "_n",
-                      F.explode(F.array_distinct(F.array(*ranks))).alias("_r"))
-    tgt = tgt.where((F.col("_off") <= F.col("_r")) & (F.col("_r") < F.col("_off") + F.col("_c")))
-    const = tgt.where(F.col("_mn") == F.col("_mx")).select(*keys, "_r", F.col("_mn").alias("_val"))
-    mixed = tgt.where(F.col("_mn") != F.col("_mx")).select(*keys, "_b", "_off", "_r")
-    rows = v.join(mixed.select(*keys, "_b").distinct(), [*keys, "_b"])
-    w = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = rows.withColumn("_rn", F.row_number().over(w) - 1)
-    picked = ranked.join(mixed, [*keys, "_b"]).where(F.col("_off") + F.col("_rn") == F.col("_r")) \
-        .select(*keys, "_r", F.col("_v").alias("_val"))
-    vals = const.unionByName(picked)
-    n = offs.groupBy(*keys).agg(F.max("_n").alias("_n"))
+        wanted += [F.floor(pos), F.ceil(pos)]
+    ranks = n.where("_n > 0").select(*keys, F.explode(F.array_distinct(F.array(*wanted))).alias("_r"), F.lit(0).alias("_off"))
+    coarse = _holding(v, keys, "_b", ranks)
+    mixed = coarse.where(F.col("_mn") < F.col("_mx"))
+    inside = mixed.select(*keys, "_b", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi")).distinct()
+    rows = v.join(inside, [*keys, "_b"])
+    rows = rows.withColumn("_s", F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (PARTS - 1)).cast("long"))
+    fine = _holding(rows, keys, "_s", mixed.select(*keys, "_b", "_r", "_off"), known=["_b"])
+    part = rows.join(fine.where(F.col("_mn") < F.col("_mx")).select(*keys, "_b", "_s").distinct(), [*keys, "_b", "_s"])
+    nth = F.row_number().over(Window.partitionBy(*keys, "_b", "_s").orderBy("_v")) - 1
+    picked = part.withColumn("_i", nth).join(fine, [*keys, "_b", "_s"]).where(F.col("_off") + F.col("_i") == F.col("_r"))
+    constant = [t.where(F.col("_mn") == F.col("_mx")).select(*keys, "_r", F.col("_mn").alias("_val")) for t in (coarse, fine)]
+    vals = picked.select(*keys, "_r", F.col("_v").alias("_val"))
+    for c in constant:
+        vals = vals.unionByName(c)
     j = n.join(vals, keys, "left") if keys else vals.withColumn("_n", n.select("_n").scalar())
     aggs = []
     for i, q in enumerate(probs):

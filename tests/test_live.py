@@ -1,6 +1,10 @@
 """Live state (L1-L5): hand-traced sequence, stream = batch twin."""
 import datetime as dt
+import random
 
+import numpy as np
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from moldwatch.streaming import live as L
@@ -38,3 +42,48 @@ def test_stream_equals_batch_twin(spark):
     a = sorted(map(tuple, L.live_status_replay(spark, r).select("machine_id", "seq", "status").collect()))
     b = sorted(map(tuple, L.live_status_twin(r).select("machine_id", "seq", "status").collect()))
     assert a == b and len(a) == 30
+
+
+@pytest.mark.parametrize("batch", [1, 20, 10000])
+def test_results_do_not_depend_on_the_arrow_batch(spark, batch):
+    rng = random.Random(3)
+    rows = [(f"M{rng.randint(0, 1)}", rng.choice(["Cushion", "Cycle_time", "Tmp"]), float(rng.randint(0, 3)),
+             T0 + dt.timedelta(seconds=rng.randint(0, 200)), i) for i in range(300)]
+    r = spark.createDataFrame(rows, L.READING_SCHEMA).repartition(7)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, batch)
+    try:
+        got = sorted(map(str, L.live_status_replay(spark, r).collect()))
+        rolled = L.replay(spark, r, lambda s: L.live_rolling_stream(s, 60, cap=40), "roll")
+        rolled = sorted(map(str, rolled.withColumns({c: F.round(c, 9) for c in ("mean", "std")}).collect()))
+    finally:
+        spark.conf.unset(key)
+    assert got == sorted(map(str, L.live_status_twin(r).collect()))
+    assert rolled == sorted(map(str, _plain_rolling(rows, 60, 40)))
+
+
+def _plain_rolling(rows, window_s, cap, min_rows=3):
+    """Buffered rolling features, one reading at a time."""
+    out = []
+    for m in sorted({r[0] for r in rows}):
+        buf = []
+        for _, var, val, ts, seq in sorted((r for r in rows if r[0] == m), key=lambda r: (r[3], r[4])):
+            buf = [*buf, (ts, var, val)][-cap:]
+            if len(buf) < min_rows:
+                continue
+            for s in sorted({b[1] for b in buf}):
+                own = [b[2] for b in buf if b[1] == s]
+                w = [b[2] for b in buf if b[1] == s and b[0] >= ts - dt.timedelta(seconds=window_s)]
+                v = w or own[-1:]
+                std = float(np.std(w, ddof=1)) if len(w) > 1 else 0.0
+                out.append(Row(machine_id=m, seq=seq, timestamp=ts, sensor=s, mean=round(float(np.mean(v)), 9), std=round(std, 9),
+                               min=min(v), max=max(v), last=v[-1]))
+    return out
+
+
+def test_ranges_are_replayed_in_time_order(spark, monkeypatch):
+    monkeypatch.setattr(L, "DRAIN_ROWS", 8)
+    r = _readings(spark, SEQ * 3)
+    a = sorted(map(tuple, L.live_status_replay(spark, r).select("seq", "status", "sensors_buffered").collect()))
+    b = sorted(map(tuple, L.live_status_twin(r).select("seq", "status", "sensors_buffered").collect()))
+    assert a == b and len(a) == 30
