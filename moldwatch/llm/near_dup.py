@@ -10,9 +10,10 @@ generated in order of time up to the time when all places are filled, so most sh
 cost one draw.
 
 Signatures are banded.  Of each bucket the smallest document leads: all others are verified
-against it by exact multiset overlap.  Members that this does not put into one class are
+against it by exact multiset overlap, and what is left in other classes against the
+member with most links so far.  Members that this does not put into one class are
 then compared with all members of the bucket's other classes, inside a join that gives the links
-alone, so every pair that shares a bucket is either verified or already in one class, and a
+alone, unless the elements that a member has alone already rule a link out.  So every pair that shares a bucket is either verified or already in one class, and a
 bucket of thousands of copies makes as many rows, not their square.  Classes are the connected components of verified
 pairs, found by alternating large-star and small-star steps.
 
@@ -40,30 +41,33 @@ from moldwatch.llm.store import written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-CHUNK = 2_000_000  # bytes of text worked on at a time
+CHUNK = 500_000  # bytes of text worked on at a time
 
 
 def _points(doc, h, block, weight, until, m, sig) -> None:
     """Draws every row's Poisson process up to its document's time ``until`` and lowers the
-    signature: the time's 32 float bits, then 32 bits that tell the point."""
+    signature: the time's 32 float bits, then 32 bits that tell the point.  Rows that are left
+    over when few are still running get several draws at once."""
     size = np.where(block > 0, np.exp2(block - 1.0), 1.0)
     key = mix(h + (block.astype(U) + U(1)) * M3)
     time, limit = np.zeros(len(h)), until[doc]
-    flat, at = sig.reshape(-1), np.arange(len(h))
-    draw = 0
+    flat, at, drawn = sig.reshape(-1), np.arange(len(h)), 0
     while len(at):
-        draw += 1
-        r = mix(key[at] + times(draw))
-        time[at] -= np.log(((r >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / size[at]
-        at = at[time[at] <= limit[at]]
-        r = mix(key[at] ^ times(draw) ^ U(1))
+        draws = np.array([times(drawn + 1 + i) for i in range(min(64, 1 + 8192 // len(at)))], U)
+        drawn += len(draws)
+        r = mix(key[at][:, None] + draws)
+        gaps = -np.log(((r >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / size[at][:, None]
+        when = np.cumsum(np.hstack([time[at][:, None], gaps]), axis=1)[:, 1:]
+        row, nth = np.nonzero(when <= limit[at][:, None])
+        time[at] = when[:, -1]
+        when, k = when[row, nth], at[row]
+        r = mix(key[k] ^ draws[nth] ^ U(1))
         place = (r >> U(32)) % U(m)
-        b = block[at]
-        level = np.where(b > 0, size[at] + 1 + np.floor((mix(r + U(7)) >> U(11)).astype(np.float64) * 2.0 ** -53 * size[at]), 1)
-        kept = level <= weight[at]
-        k = at[kept]
-        value = (time[k].astype(np.float32).view(np.uint32).astype(U) << U(32)) | (r[kept] & U(0xFFFFFFFF))
-        np.minimum.at(flat, doc[k] * m + place[kept].astype(np.int64), value)
+        level = np.where(block[k] > 0, size[k] + 1 + np.floor((mix(r + U(7)) >> U(11)).astype(np.float64) * 2.0 ** -53 * size[k]), 1)
+        kept = level <= weight[k]
+        value = (when[kept].astype(np.float32).view(np.uint32).astype(U) << U(32)) | (r[kept] & U(0xFFFFFFFF))
+        np.minimum.at(flat, doc[k[kept]] * m + place[kept].astype(np.int64), value)
+        at = at[time[at] <= limit[at]]
 
 
 def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -169,8 +173,9 @@ def verified(pairs: DataFrame, elems: DataFrame, similarity: float) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of an undirected link table (a, b): root is the smallest node
-    connected with it.  Large-star and small-star steps until nothing changes."""
+    """(node, root) for every node of an undirected link table (a, b) that isn't the smallest it is
+    connected with; root is that smallest node.  Large-star and small-star steps until
+    nothing changes."""
     def stamp(e):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -178,17 +183,17 @@ def components(links: DataFrame) -> DataFrame:
                     .filter("a > b").distinct(), "edges")  # a > b
     before, now = None, stamp(edges)
     while before != now:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                                              F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(least, "a").select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select(
             "e.a", "e.b").filter("a > b").distinct()
         edges = written(edges, "edges")
         before, now = now, stamp(edges)
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _overlap(both, sizes, similarity: float):
@@ -196,6 +201,16 @@ def _overlap(both, sizes, similarity: float):
     return both >= similarity * (sizes - both) - 1e-9
 
 
+def _key(text_print, doc_id):
+    """Never null: tells documents apart by text and id."""
+    return F.concat_ws(":", text_print, doc_id.cast("string"))
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node, n, root) with each node's class so far."""
+    return members.select("band", "node", "n").join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+
+
 def _near(n: str, k: str, similarity: float):
     return F.least(n, k) >= similarity * F.greatest(n, k) - 1e-9
 
@@ -206,41 +221,56 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id of its class."""
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     f = written(features(d, bands, rows, words), "features")
-    nodes = f.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "print")).alias("rep"), F.first("n").alias("n"))
-    own = f.select(F.col("id").alias("i"), F.col("print").alias("p"), F.col("node").alias("node2"), "bands").dropDuplicates(["i", "p", "node2"])
-    rep = nodes.join(own, (F.col("node") == F.col("node2")) & F.col("rep.id").eqNullSafe(F.col("i")) & (F.col("rep.print") == F.col("p")))
-    band_rows = rep.select("node", "n", F.explode("bands").alias("band"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "print"))
+    nodes = written(f.filter("node is not null").groupBy("node").agg(
+        first.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    band_rows = nodes.select("node", "n", F.explode("bands").alias("band"))
     leads = band_rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = written(band_rows.join(leads.select("band", "lead"), "band"), "members")
 
     # The texts of all documents in a shared bucket, once per node.
-    wanted = members.select("node").distinct().join(nodes, "node").select(
-        "node", F.col("rep.id").alias("rid"), F.col("rep.print").alias("rprint"))
-    texts = d.join(wanted.select("rid", "rprint").distinct(), F.col("id").eqNullSafe(F.col("rid")) & (F.col("print") == F.col("rprint")), "left_semi")
-    elems = elements(texts.dropDuplicates(["id", "print"]).select("text"), words)
-    elems = written(elems.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "elements")
+    wanted = members.select("node").distinct().join(nodes, "node").select(_key(F.col("rep.print"), F.col("rep.id")).alias("key"))
+    texts = d.select(_key(F.col("print"), F.col("id")).alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    elems = written(elements(texts.select("text"), words), "elements")
 
     stars = members.filter((F.col("node") != F.col("lead.node")) & _near("n", "lead.n", similarity)).select(
         F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(stars, elems, similarity), "links")
     roots = components(links)
 
-    # Buckets that still hold several classes: each class but the largest against all others.
-    m = members.select("band", "node", "n").join(roots, "node", "left").select(
-        "band", "node", "n", F.coalesce("root", "node").alias("root"))
-    m = written(m, "rooted")
+    # Buckets that hold several classes: the member with most links against all of other classes.
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    m = written(_rooted(members, roots).join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "rooted")
+    hubs = m.groupBy("band").agg(F.max(F.struct("degree", "node", "n", "root")).alias("hub"), F.min("root").alias("low"),
+                                 F.max("root").alias("high")).filter("low < high").select("band", "hub")
+    spokes = m.join(hubs, "band").filter((F.col("root") != F.col("hub.root")) & _near("n", "hub.n", similarity)).select(
+        F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    so_far = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(so_far.unionByName(verified(spokes, elems, similarity)))
+
+    # Buckets that still do: each class but the largest against all others, member by member.
+    m = _rooted(members, roots)
     sizes = m.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("classes")).filter(
         "classes > 1").select("band", F.col("most.root").alias("most"))
-    m = m.join(mixed, "band").join(elems, "node")
-    few = m.filter("root != most").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("elems").alias("ex"))
+    m = written(m.join(mixed, "band"), "mixed")
+    # What a node shares with no other of these cannot be overlap: the rest bounds it.
+    there = written(m.select("node").distinct().join(elems, "node"), "there")
+    once = there.select("node", F.explode("elems").alias("e")).groupBy("e").agg(
+        F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    there = there.join(once, "node", "left").select("node", "elems", (F.size("elems") - F.coalesce("own", F.lit(0))).alias("most_shared"))
+    there = there.filter(F.col("most_shared") >= similarity * F.size("elems") - 1e-9)  # else no partner of any size
+    m = written(m.join(there, "node"), "open")
+    few = m.filter("root != most").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"),
+                                          F.col("elems").alias("ex"), F.col("most_shared").alias("sx"))
     # Verified inside the join: pairs that are too far apart never become rows.
     more = few.join(m, "band").where(
         (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("most")) | (F.col("x") < F.col("node"))) & _near("n", "nx", similarity)
+        & _overlap(F.least("sx", "most_shared"), F.col("nx") + F.col("n"), similarity)
         & _overlap(F.size(F.array_intersect("ex", "elems")), F.col("nx") + F.col("n"), similarity))
-    more = more.select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
-    roots = written(components(links.unionByName(more)), "roots")
+    so_far = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = so_far.unionByName(more.select(F.col("x").alias("a"), F.col("node").alias("b")))
+    roots = written(components(more), "roots")
 
     rooted = f.select("id", "print", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
