@@ -13,6 +13,7 @@ from moldwatch.operators.latest import latest_row
 from moldwatch.operators.sampling import temporal_split
 from moldwatch.plans import training as T
 from moldwatch.plans.catalog import register
+from moldwatch.plans.oracle import fixture_sql
 from moldwatch.sources.tables import LINEITEM_FEATURES, lineitem_events
 
 
@@ -20,9 +21,41 @@ def _ntz(c="timestamp"):
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
-@register("training_features")
+def _training_sql(n=10):
+    """The training table: rolling features, forward label, patterns of the daily mean, encodings."""
+    from moldwatch.plans.queries_rolling import _w2_sql
+    wide = [f"max({st}) FILTER (WHERE variable_name = '{s}' AND \"window\" = '{w}') AS {s}__{st}_{w}"
+            for s in T.SENSORS for w, _ in T.WINDOWS for st in ("mean", "std", "min", "max", "last")]
+    over = "OVER (PARTITION BY machine_id ORDER BY timestamp"
+    frame = f"{over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    ranks = [f"CAST(count({s}__mean_1d) {over} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS k_{s}" for s in T.SENSORS]
+    pattern = []
+    for s in T.SENSORS:
+        y, ok = f"{s}__mean_1d", f"count({s}__mean_1d) {frame} >= 3"
+        mean = f"CASE WHEN {ok} THEN avg({y}) {frame} END"
+        pattern += [f"CASE WHEN {ok} THEN stddev_samp({y}) {frame} END AS {s}__pstd_{n}", f"{mean} AS {s}__pmean_{n}",
+                    f"CASE WHEN {ok} THEN regr_slope({y}, k_{s}) {frame} END AS {s}__ptrend_{n}",
+                    f"({y} - {mean}) / (abs({mean}) + 1e-6) AS {s}__pdev_{n}"]
+    codes = {c: ", ".join(f"('{v}', {code})" for v, code in config.ENCODINGS[c]) for c in ("tool_id", "part_number")}
+    feats = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 9) AS {c}" for c in T.feature_columns())
+    return (f"SELECT machine_id, timestamp, {T.LABEL}, {feats} FROM tp JOIN tc USING (machine_id)", f"""
+lf AS ({_w2_sql(rounded=False)}),
+tw AS (SELECT machine_id, timestamp, {", ".join(wide)} FROM lf GROUP BY machine_id, timestamp),
+tl AS (SELECT tw.*, CAST(EXISTS (SELECT 1 FROM prod_events e WHERE e.machine_id = tw.machine_id AND e.event_ts > tw.timestamp
+    AND e.event_ts <= tw.timestamp + INTERVAL 30 MINUTE) AS INT) AS {T.LABEL}, {", ".join(ranks)} FROM tw),
+tp AS (SELECT *, {", ".join(pattern)} FROM tl),
+td AS (SELECT CASE WHEN starts_with(c, 'M') THEN c ELSE 'M' || c END AS machine_id, arg_min(machine_definition, timestamp) AS definition
+    FROM (SELECT *, upper(regexp_replace(coalesce(machine_id, ''), '[^A-Za-z0-9]', '', 'g')) AS c FROM telemetry) GROUP BY 1),
+tc AS (SELECT machine_id, dense_rank() OVER (ORDER BY machine_id) - 1 AS machine_id_encoded, coalesce(t.code, 0) AS tool_id_encoded,
+    coalesce(p.code, 0) AS part_number_encoded FROM td
+    LEFT JOIN (SELECT * FROM (VALUES {codes["tool_id"]}) AS v(value, code)) t ON t.value = regexp_extract(definition, '-([A-Za-z0-9]+)$', 1)
+    LEFT JOIN (SELECT * FROM (VALUES {codes["part_number"]}) AS v(value, code)) p ON p.value = 'UNKNOWN')""")
+
+
+@register("training_features", fixture_sql(*_training_sql()))
 def q_training_features(spark, sf):
-    return T.training_table(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    t = T.training_table(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return t.select("machine_id", "timestamp", T.LABEL, *[F.round(c, 9).alias(c) for c in T.feature_columns()])
 
 
 @register("model_scores")

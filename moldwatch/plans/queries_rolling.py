@@ -35,7 +35,8 @@ def _agg_sql(fn, x, frame, part="machine_id", order="epoch_us(timestamp)"):
 
 
 # --- W2: time rolling, long form ---------------------------------------------
-def _w2_sql():
+def _w2_sql(rounded=True):
+    r = (lambda x: f"round({x}, 9)") if rounded else (lambda x: x)
     parts = []
     for name, secs in WINDOWS:
         fr = f"RANGE BETWEEN {secs * 1_000_000 - 1} PRECEDING AND CURRENT ROW"
@@ -43,11 +44,11 @@ def _w2_sql():
         ok = f"{_agg_sql('count', 'value', fr, p)} >= 3"
         parts.append(f"""
 SELECT machine_id, variable_name, '{name}' AS window, timestamp,
-  CASE WHEN {ok} THEN round({_agg_sql('avg', 'value', fr, p)}, 9) END AS mean,
-  CASE WHEN {ok} THEN round({_agg_sql('stddev_samp', 'value', fr, p)}, 9) END AS std,
-  CASE WHEN {ok} THEN round({_agg_sql('min', 'value', fr, p)}, 9) END AS min,
-  CASE WHEN {ok} THEN round({_agg_sql('max', 'value', fr, p)}, 9) END AS max,
-  CASE WHEN {ok} THEN round(value, 9) END AS last
+  CASE WHEN {ok} THEN {r(_agg_sql('avg', 'value', fr, p))} END AS mean,
+  CASE WHEN {ok} THEN {r(_agg_sql('stddev_samp', 'value', fr, p))} END AS std,
+  CASE WHEN {ok} THEN {r(_agg_sql('min', 'value', fr, p))} END AS min,
+  CASE WHEN {ok} THEN {r(_agg_sql('max', 'value', fr, p))} END AS max,
+  CASE WHEN {ok} THEN {r('value')} END AS last
 FROM clean""")
     return "\nUNION ALL".join(parts)
 
