@@ -113,11 +113,10 @@ BOOSTING_SHARE, BOOSTING_L1, BOOSTING_L2 = 0.8, 0.1, 0.1
 # Tree forecasters: trees, learning rate, depth, lags.
 FORECASTER_PRESETS = {"lagged": (100, 0.05, 7, 5), "simple": (100, 0.05, 5, 3)}
 
-# Alert presets: ordered (threshold, level, reason) checked with >=.
+# Alert presets: (threshold, level), the highest first.
 ALERT_PRESETS = {
-    "status": [(0.55, "HIGH", "AI RISK PREDICTION"), (0.32, "MEDIUM", "AI WARNING")],
-    "decision": [(0.7, "HIGH", "HIGH RISK"), (0.4, "MEDIUM", "MEDIUM RISK")],
-    "live": [(0.6, "HIGH", "HIGH"), (0.3, "MEDIUM", "MEDIUM")],
+    "decision": [(0.7, "HIGH"), (0.4, "MEDIUM")],
+    "live": [(0.6, "HIGH"), (0.3, "MEDIUM")],
 }
 
 # ---------------------------------------------------------------------------

@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "as_col", "to_number", "nan_to_null", "utc_timestamp", "micros", "from_micros",
+    "as_col", "to_number", "nan_to_null", "utc_timestamp", "micros",
     "normalize_machine_id", "compact_machine_id", "display_machine_id",
     "tool_from_definition", "clip_probability", "is_idle", "finite_or_null",
-    "round_half_even", "round6", "event_timestamp", "to_ntz",
+    "round_half_even", "event_timestamp", "to_ntz",
 ]
 
 # A number the way a lenient numeric parser accepts it: optional sign, digits
@@ -52,10 +52,6 @@ def micros(c) -> Column:
     return F.unix_micros(as_col(c).cast("timestamp"))
 
 
-def from_micros(c) -> Column:
-    return F.timestamp_micros(as_col(c))
-
-
 def normalize_machine_id(c) -> Column:
     """Strip non-alphanumerics, upper-case, prefix 'M' if absent."""
     compact = F.upper(F.regexp_replace(F.coalesce(as_col(c).cast("string"), F.lit("")),
@@ -117,10 +113,6 @@ def round_half_even(c, scale: int) -> Column:
     return F.bround(as_col(c), scale)
 
 
-def round6(c) -> Column:
-    return F.round(as_col(c), 6)
-
-
 def event_timestamp(date_col, seconds_col) -> Column:
     """Calendar date (UTC) + seconds of day; missing/bad seconds -> 0 (P10)."""
     secs = F.coalesce(to_number(seconds_col), F.lit(0.0))

@@ -36,12 +36,14 @@ def alert_level(n_violations, prob, preset: str = "status", has_data=None) -> Co
             e = F.when(~as_col(has_data), lvl("LOW", "NO DATA")).otherwise(e)
         return e
     if preset == "decision":
+        high, medium = (t for t, _ in config.ALERT_PRESETS["decision"])
         return (F.when(n > 0, lvl("CRITICAL", "SAFE_LIMIT_VIOLATION"))
-                .when(p >= 0.7, lvl("HIGH", "ML_RISK"))
-                .when(p >= 0.4, lvl("MEDIUM", "ML_RISK"))
+                .when(p >= high, lvl("HIGH", "ML_RISK"))
+                .when(p >= medium, lvl("MEDIUM", "ML_RISK"))
                 .otherwise(lvl("LOW", "NORMAL")))
     if preset == "live":
-        return (F.when(p < 0.3, lvl("LOW", "LOW")).when(p < 0.6, lvl("MEDIUM", "MEDIUM"))
+        high, medium = (t for t, _ in config.ALERT_PRESETS["live"])
+        return (F.when(p < medium, lvl("LOW", "LOW")).when(p < high, lvl("MEDIUM", "MEDIUM"))
                 .otherwise(lvl("HIGH", "HIGH")))
     raise ValueError(preset)
 

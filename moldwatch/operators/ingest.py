@@ -18,10 +18,12 @@ def clean_telemetry(raw: DataFrame, exclude=None, keep=("event_id",)) -> DataFra
     """
     exclude = config.EXCLUDED_VARIABLES if exclude is None else exclude
     extra = [c for c in keep if c in raw.columns]
+    typed = raw.schema["timestamp"].dataType.typeName().startswith("timestamp")  # then filters on it reach the scan
+    ts = F.col("timestamp").cast("timestamp") if typed else utc_timestamp("timestamp")
     out = raw.select(
         *extra,
         normalize_machine_id("machine_id").alias("machine_id"),
-        utc_timestamp("timestamp").alias("timestamp"),
+        ts.alias("timestamp"),
         F.col("variable_name"),
         to_number("value").alias("value"),
     ).where(F.col("value").isNotNull() & F.col("timestamp").isNotNull())
