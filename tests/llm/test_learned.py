@@ -213,6 +213,22 @@ def test_gradient():
         assert abs((loss(up) - loss(down)) / 2e-5 - g[i]) < 1e-6 + 1e-4 * abs(g[i])
 
 
+def test_subwords_do_not_depend_on_neighbours():
+    encode = lm.subword_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for words in (["the", "end.", "it's", "a1b2", "日本", "...", "é"], ["a\u00a0", "\u00a0b", "\u2003"], ["x"]):
+        words = [x.encode() for x in words]
+        ids, sizes = encode(words)
+        assert sizes.sum() == len(ids)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [p.tolist() for p in parts] == [encode([x])[0].tolist() for x in words]
+
+
+def test_extreme_weights_stay_finite():
+    flat = attention.initial(np.ones(attention.VOCAB)) * 300
+    ids = np.random.default_rng(5).integers(0, attention.VOCAB, (4, attention.WINDOW))
+    assert np.isfinite(attention.log_probs(flat, ids, ids, 0)).all()
+
+
 def test_probabilities_are_causal_and_sum_to_one():
     rng = np.random.default_rng(2)
     w = attention.views(attention.initial(np.ones(attention.VOCAB)) + rng.normal(0, 0.3, attention.SIZE).astype(np.float32))
@@ -231,20 +247,21 @@ def test_every_subword_is_scored_once():
     rng = np.random.default_rng(3)
     flat = attention.initial(np.ones(attention.VOCAB)) + rng.normal(0, 0.3, attention.SIZE).astype(np.float32)
     s = lm.Scorer(encoder, np.arange(attention.VOCAB), flat, {b"the": 5})
+    w = attention.views(flat)
     texts = [PROSE.encode() * k for k in (1, 3)] + [b"", b" \n", "日本語 É the THE".encode()]
     own, known, base, got, rare = s.score(texts)
     encode = lm.subword_encoder(*encoder)
     for i, t in enumerate(texts):
         words = t.lower().split()
-        ids = [x for w in words for x in encode(w)]
+        ids = [x for word in words for x in encode([word])[0]]
         seq, total = np.array([lm.END, *ids, lm.END]), 0.0
         for at in range(len(seq) - 1):  # each target alone, in the first window that holds it
             start = max(0, -(-(at - attention.WINDOW + 1) // attention.STRIDE)) * attention.STRIDE
             row = np.zeros((1, attention.WINDOW), np.int64)
             row[0, :at - start + 1] = seq[start:at + 1]
-            total += attention.log_probs(s.w, row, np.full((1, attention.WINDOW), seq[at + 1]), 0)[0, at - start]
+            total += attention.log_probs(w, row, np.full((1, attention.WINDOW), seq[at + 1]), 0)[0, at - start]
         assert abs(got[i] - total / math.log(10)) < 1e-3 * max(1, abs(total))
-        assert own[i] == len(words) and known[i] == words.count(b"the") and sorted(rare[i]) == sorted(w for w in words if w != b"the")
+        assert own[i] == len(words) and known[i] == words.count(b"the") and sorted(rare[i]) == sorted(x for x in words if x != b"the")
     assert np.allclose(s.score(texts[::-1])[3][::-1], got, rtol=1e-5)  # neighbours don't matter
 
 
@@ -269,8 +286,8 @@ def test_lm_scores(spark, heavy, monkeypatch):
 
 
 def test_lm_learns(spark):
-    windows = lm.gather(docs_of(spark, SF_MID).select(F.col("text").cast("binary").alias("text")),
-                        (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).filter("win is not null").select("win")
+    windows = lm.gather(docs_of(spark, SF_MID).select(F.xxhash64("doc_id").alias("deal"), F.col("text").cast("binary").alias("text")),
+                        (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).filter("win is not null").select("win", "at")
     rank, flat = lm.fit_attention(windows)
     ids = lm._matrix(windows.toArrow().column("win"))
     ids = np.where(ids >= 0, rank[ids], -1)
