@@ -281,3 +281,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op6_near_dup(spark, sf_dir):
     """The near-duplicate class of all ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+
+
+# All pairs that share a shingle, without signatures.
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(list_slice(w, i, i + {WORDS - 1}), ' ') AS g
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - {WORDS - 1}))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS o FROM c x JOIN c y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE o >= CAST({SIMILARITY} AS DOUBLE) * (na.n + nb.n - o) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS class_id FROM d LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""

@@ -17,6 +17,7 @@ ORACLES = {
     "op1_packing": packing.OP1_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op5_licences": licences.OP5_SQL,
+    "op6_near_dup": near_dup.OP6_SQL,
     "op8_quality": quality.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
 }
