@@ -265,6 +265,26 @@ def test_every_subword_is_scored_once():
     assert np.allclose(s.score(texts[::-1])[3][::-1], got, rtol=1e-5)  # neighbours don't matter
 
 
+def test_training_windows_cover_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PACK", 7)
+    encoder = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["", "one", " ".join(f"w{i}" for i in range(150)), " ".join(f"long{i} x" for i in range(9000)), "one", PROSE]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    packs = lm.gather(docs.coalesce(1), encoder).filter("win is not null").select("win", "at").toArrow()
+    wins = [r for p in packs.column("win") for r in lm._matrix([p]).tolist()]
+    encode, want = lm.subword_encoder(*encoder), Counter()
+    for t in texts:
+        seq = [lm.END, *(encode(t.lower().encode().split())[0].tolist() if t else []), lm.END]
+        for i in range(0, len(seq) - 1, attention.WINDOW):
+            w = seq[i:i + attention.WINDOW + 1]
+            want[(*w, *[-1] * (attention.WINDOW + 1 - len(w)))] += 1
+    assert Counter(map(tuple, wins)) == want  # the rounds together: all ids of all texts, each a target once
+    per_round = Counter()
+    for p, k in zip(packs.column("win"), packs.column("at").to_pylist()):
+        per_round[k] += len(lm._matrix([p]))
+    assert len(per_round) == len(lm.RATES) and max(per_round.values()) - min(per_round.values()) <= 1
+
+
 @pytest.mark.parametrize("heavy", [1_000_000, 50])
 def test_lm_scores(spark, heavy, monkeypatch):
     monkeypatch.setattr(lm, "HEAVY", heavy)
