@@ -242,6 +242,17 @@ def test_probabilities_are_causal_and_sum_to_one():
     assert np.array_equal(a[:20], b[:20]) and not np.array_equal(a[20:], b[20:])
 
 
+def test_context_reaches_back_a_whole_window():
+    assert (attention.WINDOW, attention.STRIDE) == (32, 28)  # not to be cut for a budget
+    rng = np.random.default_rng(4)
+    w = attention.views(attention.initial(np.ones(attention.VOCAB)) + rng.normal(0, 0.3, attention.SIZE).astype(np.float32))
+    ids = rng.integers(0, attention.VOCAB, (1, attention.WINDOW))
+    other = ids.copy()
+    other[0, 0] = (ids[0, 0] + 1) % attention.VOCAB
+    a, b = (attention.log_probs(w, x, ids, 0)[0] for x in (ids, other))
+    assert attention.WINDOW >= 32 and a[31] != b[31]  # the 32nd prediction sees the first id
+
+
 def test_every_subword_is_scored_once():
     encoder = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = np.random.default_rng(3)
