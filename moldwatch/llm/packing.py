@@ -10,7 +10,8 @@ bucket's boundary and a batch takes as many as the budget allows.
 A piece's number inside its bucket decides its batch.  It comes from two levels,
 since one bucket may hold most rows: 4,096 salts (the first digits of the piece's
 digest) are counted and summed up, and only the pieces of one bucket and salt are
-sorted together.
+sorted together.  Equal pieces (same id, number and length) are counted first, ranked as one row
+and only then expanded, so a repeated or null id is no larger group than any other.
 
 Defined results: null and negative lengths count as zero; a row of zero tokens has one
 piece without bucket or batch; repeated rows are packed each; an empty table gives no rows.
@@ -29,6 +30,7 @@ MAX_LEN = 4096
 N_BUCKETS = 16
 BATCH_TOKENS = 65_536
 SALT_DIGITS = 3
+RUN = 10_000                 # copies of a piece that are expanded together
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
@@ -57,6 +59,15 @@ def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) ->
     return bounds[::-1]
 
 
+def _expanded(counted: DataFrame) -> DataFrame:
+    """One row per copy, numbered by ``copy`` from 0; what has many copies is dealt out in runs of RUN
+    before it is expanded."""
+    first = F.explode(F.expr(f"sequence(0L, copies - 1, {RUN}L)")).alias("first")
+    many = counted.filter(F.col("copies") > RUN).select("*", first).repartition("id", "piece", "len", "first")
+    runs = counted.filter(F.col("copies") <= RUN).select("*", F.lit(0).cast("bigint").alias("first")).unionByName(many)
+    return runs.select("*", F.explode(F.expr(f"sequence(first, least(first + {RUN}, copies) - 1)")).alias("copy"))
+
+
 def pack(items: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_tokens", max_len: int = MAX_LEN,
          n_buckets: int = N_BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """One row per piece: ``id_col``, piece, start and n_tokens of the piece, bucket_len (its
@@ -74,13 +85,16 @@ def pack(items: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_token
     for b in reversed(bounds):
         bucket = F.when(F.col("len") <= b, F.lit(b).cast("bigint")).otherwise(bucket)
     pieces = pieces.select("*", F.when(F.col("len") > 0, bucket).alias("bucket"), F.substring("digest", 1, SALT_DIGITS).alias("salt"))
+    pieces = pieces.groupBy("id", "piece", "len", "digest", "bucket", "salt").agg(F.count(F.lit(1)).alias("copies"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("rows")).select(
+    offsets = pieces.groupBy("bucket", "salt").agg(F.sum("copies").alias("rows")).select(
         F.col("bucket").alias("b"), F.col("salt").alias("s"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("digest", "len", "id"))
+    earlier = Window.partitionBy("bucket", "salt").orderBy("digest", "len", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("copies").over(earlier), F.lit(0))
     ranked = pieces.select("*", inside.alias("nth")).join(  # bounded: buckets * salts
         F.broadcast(offsets), F.col("bucket").eqNullSafe(F.col("b")) & (F.col("salt") == F.col("s")))
-    rank = F.col("offset") + F.col("nth") - 1
+    ranked = _expanded(ranked)
+    rank = F.col("offset") + F.col("nth") + F.col("copy")
     per_batch = F.greatest(F.floor(F.lit(batch_tokens) / F.col("bucket")), F.lit(1))
     return ranked.select(F.col("id").alias(id_col), "piece", (F.col("piece") * max_len).alias("start"),
                          F.col("len").alias("n_tokens"), F.col("bucket").alias("bucket_len"),

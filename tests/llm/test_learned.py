@@ -62,6 +62,20 @@ def test_packing(spark, odd_docs, no_docs):
     assert abs(packing.pack(packing.word_lengths(odd_docs)).agg(F.sum("n_tokens")).first()[0] - total) <= 2  # split() also cuts at \x1c
 
 
+def test_packing_ranks_copies_as_one(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 70)
+    rows = [(None, 5)] * 500 + [(7, 5)] * 300 + [(7, 6)] * 70 + [(i, 1 + i % 9) for i in range(100, 200)]
+    items = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
+    packed = packing.pack(items, max_len=10, n_buckets=2, batch_tokens=20)
+    got = packed.collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter(rows)
+    for b, own in itertools.groupby(sorted(got, key=lambda r: r["bucket_len"]), key=lambda r: r["bucket_len"]):
+        ranks = sorted(r["batch"] * (20 // b) + r["slot"] for r in own)
+        assert ranks == list(range(len(ranks)))
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [sum(copies" in plan and "row_number" not in plan  # the window sees a row per distinct piece
+
+
 # --- token counts
 
 def test_token_counts_and_cache(spark, odd_docs, odd_rows, no_docs):
