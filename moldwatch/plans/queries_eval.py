@@ -266,16 +266,27 @@ def q_strat_down(spark, sf):
     return s.select("l_orderkey", "l_linenumber", "label")
 
 
-@register("stratified_downsample_machine", fixture_sql(f"""
+MACHINE_ROWS, MACHINE_POS = 250_000, 2_000  # of a machine, as in the reference
+
+
+def machine_downsample_sql(max_rows, min_pos):
+    return fixture_sql(f"""
 SELECT event_id, machine_id, label AS is_scrap_actual
 FROM ({_ranked_sql('scored', 'event_id, machine_id', 'is_scrap_actual', ['event_id'], ['machine_id'])}) t
-WHERE {_downsample_where(1000, 200)}"""))
-def q_strat_down_m(spark, sf):
-    s = stratified_downsample(fx.scored(spark, sf), "is_scrap_actual", ["event_id"], max_rows=1000, min_pos=200,
+WHERE {_downsample_where(max_rows, min_pos)}""")
+
+
+def machine_downsample(spark, sf, max_rows, min_pos):
+    s = stratified_downsample(fx.scored(spark, sf), "is_scrap_actual", ["event_id"], max_rows=max_rows, min_pos=min_pos,
                               keys=("machine_id",))
     return s.select("event_id", "machine_id", "is_scrap_actual")
 
 
+@register("stratified_downsample_machine", machine_downsample_sql(MACHINE_ROWS, MACHINE_POS))
+def q_strat_down_m(spark, sf):
+    return machine_downsample(spark, sf, MACHINE_ROWS, MACHINE_POS)
+
+
 # --- F6 + J3 + U2: structured sampling of the long rolling table ---------------
 def _lf_sql():
     from moldwatch.plans.queries_rolling import _w2_sql

@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as E
 from moldwatch import config
-from moldwatch.plans import catalog
-from tests.conftest import SF_SMALL
+from moldwatch.plans import catalog, queries_eval
+from moldwatch.plans import fixtures as fx
+from tests.conftest import SF_MID, SF_SMALL
 from tools.oracle_check import duck_connect, rows_of
 
 E.queries()
@@ -43,6 +44,23 @@ def test_query_without_sql_gives_rows(spark, monkeypatch, name):
     assert rows
 
 
+def test_machine_downsample_keeps_what_the_reference_keeps(spark):
+    assert (queries_eval.MACHINE_ROWS, queries_eval.MACHINE_POS) == (250_000, 2_000)
+    scored = fx.scored(spark, SF_MID).groupBy("machine_id").count().collect()
+    assert 1000 < max(r["count"] for r in scored) <= 250_000  # so nothing is dropped
+    got = E.queries()["stratified_downsample_machine"](spark, SF_MID).groupBy("machine_id").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, scored))
+
+
+@pytest.mark.parametrize("quota", [(100, 20), (60, 1)])
+def test_machine_downsample_small_quota(spark, duck, quota):
+    """The bucket in which a quota ends, on tables that are smaller than the registered quota."""
+    df = queries_eval.machine_downsample(spark, SF_SMALL, *quota)
+    rows, rel = [tuple(r) for r in df.collect()], duck.sql(queries_eval.machine_downsample_sql(*quota))
+    assert len(rows) < fx.scored(spark, SF_SMALL).count()
+    assert rows_of(df.columns, rows) == rows_of(rel.columns, rel.fetchall())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
