@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline: packing, token counts, decontamination,
 language ID, licence scans, near duplicates, LM scoring, quality rules, chat
-formatting and toxicity.  Nothing else in the library imports this package."""
+formatting, toxicity, neighbour search, resampling and whitening.  Nothing else in the library imports this package."""
 import sys
 
 from pyspark import cloudpickle
