@@ -1,13 +1,18 @@
 """Model training and scoring with Spark ML (ML1-ML7, A23, A24, J10).
 
 Gradient-boosted trees replace the leaf-wise booster (no leaf-wise growth,
-no L1/L2, early stop on validation loss instead of AUC); the class weight
-enters as ``weightCol``.  Everything here is distributed Spark ML; the only
+no L1/L2); boosting waits for the validation AUC as each preset says, and the
+class weight enters as ``weightCol``.  Everything here is distributed Spark ML; the only
 driver-side values are model parameters (coefficients, importances), whose
 size is bounded by the number of features.
 """
 from __future__ import annotations
 
+import hashlib
+import uuid
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moldwatch import config
+from moldwatch.ml.trees import boost_with_patience
+from moldwatch.session import checkpoint_dir
+
 
 def gbt_params(preset: str) -> dict:
     """Spark ML settings of a boosting preset (ML1).  Spark grows trees level by level: a
@@ -50,21 +58,36 @@ def with_class_weight(df: DataFrame, label: str, weight: float, col: str = "weig
     return df.withColumn(col, F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
+def filled(df: DataFrame, features) -> DataFrame:
+    """NULL and NaN features as 0, as the served models take them."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
+
+
 def train_gbt(train: DataFrame, features, label: str = "label", weight_col: str | None = "weight",
               validation_col: str | None = None, preset: str = "retrain_v2", seed: int = 42,
               **overrides) -> PipelineModel:
-    """Class-weighted boosted trees (ML1); NULL features are kept as NaN.  With a validation
-    column boosting stops at the first round that doesn't lower the validation loss (Spark
-    ML has no number of rounds to wait)."""
+    """Class-weighted boosted trees (ML1); missing features count as 0.  With a validation
+    column its rows are held out: boosting ends once the preset's number of rounds to wait has
+    brought no better AUC on them, and the model keeps the trees up to the best round
+    (all rounds if the held-out rows lack a label)."""
     params = gbt_params(preset) | overrides
-    gbt = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **params)
-    if weight_col:
-        gbt.setWeightCol(weight_col)
-    if validation_col:
-        gbt.setValidationIndicatorCol(validation_col)
-        gbt.setParams(validationTol=0.0)
+    rounds, patience = params["maxIter"], config.BOOSTING_PRESETS[preset][5]
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[asm, gbt]).fit(train.withColumn(label, F.col(label).cast("double")))
+    train = filled(train, features).withColumn(label, F.col(label).cast("double"))
+
+    def fit(df, n):
+        gbt = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **(params | {"maxIter": n}))
+        return (gbt.setWeightCol(weight_col) if weight_col else gbt).fit(df)
+
+    if not validation_col:
+        return PipelineModel([asm, fit(asm.transform(train), rounds)])
+    held_out = F.coalesce(F.col(validation_col), F.lit(False))
+    own = asm.transform(train.where(~held_out)).persist()
+    try:
+        model, _ = boost_with_patience(fit, own, train.where(held_out), features, label, rounds, patience)
+    finally:
+        own.unpersist()
+    return PipelineModel([asm, model])
 
 
 def train_random_forest(train: DataFrame, features, label: str = "label", num_trees: int = 200,
@@ -73,16 +96,28 @@ def train_random_forest(train: DataFrame, features, label: str = "label", num_tr
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[asm, rf]).fit(train.withColumn(label, F.col(label).cast("double")))
+    return Pipeline(stages=[asm, rf]).fit(filled(train, features).withColumn(label, F.col(label).cast("double")))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
           prob_col: str = "scrap_probability", pred_col: str = "predicted_scrap") -> DataFrame:
     """Batch scoring (ML3): class-1 probability and the thresholded label."""
-    out = model.transform(df)
+    features = model.stages[0].getInputCols()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *features)
     p = vector_to_array(F.col("probability"))[1]
-    keep = [c for c in df.columns]
-    return out.select(*keep, p.alias(prob_col), (p >= threshold).cast("int").alias(pred_col))
+    return model.transform(filled(rows, features)).select("_row.*", p.alias(prob_col), (p >= threshold).cast("int").alias(pred_col))
+
+
+def score_missing(model, history: DataFrame, prob_col: str = "scrap_probability") -> DataFrame:
+    """``history`` with a probability in every row (ML3): rows that have one keep it, only those without
+    (NULL or NaN) are scored; all are held within 0 and 1.  ``model``: a fitted pipeline, or a
+    function that adds ``prob_col`` to rows without it."""
+    known = F.coalesce(F.col(prob_col).isNotNull() & ~F.isnan(F.col(prob_col)), F.lit(False))
+    lacking = history.where(~known).drop(prob_col)
+    made = model(lacking) if callable(model) else score(model, lacking, prob_col=prob_col, pred_col="_pred")
+    p = F.coalesce(F.col(prob_col), F.lit(0.0))
+    return history.where(known).unionByName(made.select(*history.columns)).withColumn(
+        prob_col, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def importances(spark: SparkSession, model: PipelineModel, features) -> DataFrame:
@@ -141,13 +176,28 @@ def fit_linear_forecaster(lagged: DataFrame, sensors, lags: int, extra=()) -> tu
 def fit_tree_forecaster(lagged: DataFrame, sensors, preset: str, extra=(), seed: int = 42) -> dict[str, PipelineModel]:
     """One-step multi-output forecaster of boosted trees (ML6): per target sensor a model on
     [extra] + current + lags 1..k of every sensor (columns ``{s}_lag{i}``, target
-    ``{s}_next``; see ``lag_features``), trees, rate, depth and k from the preset."""
-    trees, rate, depth, lags = config.FORECASTER_PRESETS[preset]
-    feats = list(extra) + list(sensors) + [f"{s}_lag{i}" for i in range(1, lags + 1) for s in sensors]
-    asm = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="skip")
-    return {s: Pipeline(stages=[asm, GBTRegressor(featuresCol="_f", labelCol=f"{s}_next", predictionCol=f"{s}_forecast",
-                                                  maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed)]).fit(lagged)
-            for s in sensors}
+    ``{s}_next``; see ``lag_features``), trees, rate, depth and k from the preset.  The sensors' models
+    don't depend on each other and are fitted side by side."""
+    trees, rate, depth, _ = config.FORECASTER_PRESETS[preset]
+    asm = VectorAssembler(inputCols=forecaster_features(sensors, preset, extra), outputCol="_f", handleInvalid="skip")
+    data = asm.transform(lagged).persist()
+
+    def fit(s):
+        own = GBTRegressor(featuresCol="_f", labelCol=f"{s}_next", predictionCol=f"{s}_forecast", maxIter=trees, stepSize=rate,
+                           maxDepth=depth, seed=seed)
+        return s, PipelineModel([asm, own.fit(data.where(F.col(f"{s}_next").isNotNull()))])
+
+    try:
+        with ThreadPool(max(1, len(sensors))) as pool:
+            return dict(pool.map(inheritable_thread_target(lagged.sparkSession)(fit), list(sensors)))
+    finally:
+        data.unpersist()
+
+
+def forecaster_features(sensors, preset: str, extra=()) -> list[str]:
+    """The inputs of a preset's tree forecaster, in order."""
+    lags = config.FORECASTER_PRESETS[preset][3]
+    return list(extra) + list(sensors) + [f"{s}_lag{i}" for i in range(1, lags + 1) for s in sensors]
 
 
 def forecast_one_step(models: dict[str, PipelineModel], lagged: DataFrame) -> DataFrame:
@@ -166,9 +216,40 @@ def metrics_record(spark: SparkSession, version: str, metrics: DataFrame, extra:
         "created_at", F.current_timestamp())
 
 
+def fitted_once(spark: SparkSession, name: str, data: DataFrame, settings, fit) -> PipelineModel:
+    """``fit()``, or what an earlier run fitted to the same rows with the same settings: models are kept below
+    the shared folder under a digest of both."""
+    rows = data.select(F.xxhash64(*data.columns).alias("h")).agg(F.count("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    digest = hashlib.md5(f"{tuple(rows)} {data.dtypes} {settings}".encode()).hexdigest()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{name}-{digest}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        own = f"{path}-{uuid.uuid4().hex}"  # seen by others only when whole
+        model = fit()
+        model.write().save(own)
+        if fs.rename(hadoop(own), hadoop(path)):
+            return model
+        fs.delete(hadoop(own), True)
+    return PipelineModel.load(path)
+
+
 def class_weight_value(train: DataFrame, label: str, cap: float | None = None) -> float:
     """The class weight as a number for the learner (A8); one aggregate row."""
     r = train.agg(F.sum((F.col(label) == 1).cast("long")).alias("p"),
                   F.sum((F.col(label) != 1).cast("long")).alias("n")).first()
     w = (r["n"] or 0) / max(r["p"] or 0, 1)
     return min(w, cap) if cap is not None else w
+
+
+def fitted_forecaster(spark: SparkSession, lagged: DataFrame, sensors, preset: str) -> dict[str, PipelineModel]:
+    """:func:`fit_tree_forecaster`, kept as in :func:`fitted_once`."""
+    fitted: dict[str, PipelineModel] = {}
+
+    def fit(s):
+        if not fitted:
+            fitted.update(fit_tree_forecaster(lagged, sensors, preset))
+        return fitted[s]
+
+    return {s: fitted_once(spark, f"forecast-{s}", lagged, (list(sensors), preset, config.FORECASTER_PRESETS[preset]), lambda s=s: fit(s))
+            for s in sensors}

@@ -2,10 +2,11 @@
 
 M1/M2 are closed-form per (machine, sensor) aggregates (``regr_slope`` /
 ``regr_intercept``) plus ``explode(sequence(...))`` for the future points.
-M3 (recursive multi-sensor forecast) keeps the recursion inside one
+M3 (recursive multi-sensor forecast) with a linear forecaster keeps the recursion inside one
 expression: ``aggregate(sequence(1, steps), state, step)`` over per-machine
 lag arrays with the linear forecaster's coefficients as literals, so it runs
-as codegen'd JVM expressions, one row per machine.
+as codegen'd JVM expressions, one row per machine.  With a forecaster of trees, Arrow batches of
+machines walk the trees together.
 """
 from __future__ import annotations
 
@@ -107,18 +108,8 @@ def recursive_linear_forecast(wide: DataFrame, sensors, coef: dict, intercept: d
     oldest row.  ``coef[target][feature]``, feature names ``s`` and
     ``s_lag_i``.  Returns (keys, step, ts, sensor columns).
     """
-    keys = list(keys)
-    n_state = lags + 1
-    tail = last_n_per_key(wide.select(*keys, ts, *sensors), keys, ts, n_state)
-    packed = tail.groupBy(*keys).agg(
-        F.max(ts).alias("_last_ts"),
-        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"),
-                                             *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s)
-                                               for s in sensors]))).alias("_rows"))
-    # pad by repeating the oldest row up to lags + 1 rows (bounded: lags + 1)
-    pad = F.array_repeat(F.element_at("_rows", 1), F.greatest(F.lit(n_state) - F.size("_rows"), F.lit(0)))
-    state0 = F.concat(pad, F.col("_rows"))
-    state0 = F.transform(state0, lambda r: F.array(*[r[s] for s in sensors]))
+    keys, n_state = list(keys), lags + 1
+    packed = _packed_state(wide, sensors, lags, keys, ts)
     extra = extra or {}
 
     def step_fn(acc, _i):
@@ -150,10 +141,70 @@ def recursive_linear_forecast(wide: DataFrame, sensors, coef: dict, intercept: d
         new_state = F.concat(F.slice(st, 2, n_state - 1), F.array(new_row))
         return F.struct(new_state.alias("state"), F.concat(acc["out"], F.array(new_row)).alias("out"))
 
-    init = F.struct(state0.alias("state"),
+    init = F.struct(F.col("_state").alias("state"),
                     F.array().cast("array<array<double>>").alias("out"))
     res = packed.select(*keys, "_last_ts", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init,
                                                        step_fn)["out"].alias("_out"))
+    return _steps(res, sensors, keys, ts, step_seconds)
+
+
+def recursive_tree_forecast(wide: DataFrame, sensors, forests: dict, features, lags: int, steps: int, keys=("machine_id",),
+                            ts: str = "timestamp", limits: dict | None = None, step_seconds: int = 60,
+                            extra: dict | None = None) -> DataFrame:
+    """Recursive multi-sensor forecast (M3) with a forecaster of trees.
+
+    As :func:`recursive_linear_forecast`, with ``forests[sensor]`` (``moldwatch.ml.trees``) over
+    ``features``, named ``s``, ``s_lag{i}`` and those of ``extra``.  A batch holds many
+    machines; each step walks every sensor's trees for all of them at once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys, n_sensors, own = list(keys), len(sensors), dict(extra or {})
+    packed = _packed_state(wide, sensors, lags, keys, ts)
+    place = {s: (-1, i) for i, s in enumerate(sensors)} | {
+        f"{s}_lag{k}": (-1 - k, i) for k in range(1, lags + 1) for i, s in enumerate(sensors)}
+    bounds = [tuple((limits or {}).get(s, (None, None))) for s in sensors]
+
+    def walk(batches):
+        for b in batches:
+            n = b.num_rows
+            state = b.column("_state").flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, lags + 1, n_sensors).copy()
+            out = np.zeros((n, steps, n_sensors))
+            for k in range(steps):
+                x = np.column_stack([state[:, place[f][0], place[f][1]] if f in place else np.full(n, float(own[f])) for f in features])
+                for i, s in enumerate(sensors):
+                    v = forests[s].predict(x)
+                    lo, hi = bounds[i]
+                    v = np.maximum(v, lo) if lo else v
+                    out[:, k, i] = np.minimum(v, hi) if hi else v
+                state = np.concatenate([state[:, 1:], out[:, k:k + 1]], axis=1)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, n * steps * n_sensors + 1, n_sensors), pa.int32()), pa.array(out.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * steps + 1, steps), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keys] + [b.column("_last_ts"), lists], [*keys, "_last_ts", "_out"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "_state")
+    return _steps(packed.mapInArrow(walk, f"{schema}, _out array<array<double>>"), sensors, keys, ts, step_seconds)
+
+
+def _packed_state(wide: DataFrame, sensors, lags: int, keys, ts: str) -> DataFrame:
+    """One row per key: _last_ts and _state, the sensors of the last ``lags + 1`` rows in order of time,
+    padded by repeating the oldest."""
+    n_state = lags + 1
+    tail = last_n_per_key(wide.select(*keys, ts, *sensors), keys, ts, n_state)
+    packed = tail.groupBy(*keys).agg(
+        F.max(ts).alias("_last_ts"),
+        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"),
+                                             *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s)
+                                               for s in sensors]))).alias("_rows"))
+    # bounded: lags + 1 rows
+    pad = F.array_repeat(F.element_at("_rows", 1), F.greatest(F.lit(n_state) - F.size("_rows"), F.lit(0)))
+    state = F.transform(F.concat(pad, F.col("_rows")), lambda r: F.array(*[r[s] for s in sensors]))
+    return packed.select(*keys, "_last_ts", state.alias("_state"))
+
+
+def _steps(res: DataFrame, sensors, keys, ts: str, step_seconds: int) -> DataFrame:
+    """One row per key and step of the _out arrays."""
     ex = res.select(*keys, "_last_ts", F.posexplode("_out").alias("_p", "_v"))
     return ex.select(*keys, (F.col("_p") + 1).alias("step"),
                      F.timestamp_micros(F.unix_micros(F.col("_last_ts").cast("timestamp"))
@@ -162,4 +213,4 @@ def recursive_linear_forecast(wide: DataFrame, sensors, coef: dict, intercept: d
 
 
 __all__ = ["trend_forecast", "window_mean", "fallback_forecast", "clamp_garbage",
-           "recursive_linear_forecast", "idle_by_last_rows"]
+           "recursive_linear_forecast", "recursive_tree_forecast", "idle_by_last_rows"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moldwatch import config
 from moldwatch.operators.forecast import (clamp_garbage, fallback_forecast, recursive_linear_forecast,
-                                          trend_forecast, window_mean)
+                                          recursive_tree_forecast, trend_forecast, window_mean)
 from moldwatch.operators.ingest import recent_window
 from moldwatch.operators.latest import idle_by_last_rows, latest_row, latest_values
 from moldwatch.operators.rolling import fill_forward_backward, lag_features
@@ -14,6 +14,7 @@ from moldwatch.plans import oracle as O
 from moldwatch.plans.catalog import register
 from moldwatch.plans.monitor import filled_window, unpivot
 from moldwatch.plans.oracle import fixture_sql
+from moldwatch.session import materialize
 
 SENSORS = config.FIXTURE_SENSORS
 TREND_WINDOW_MIN, FIT_MIN, FUTURE_MIN = 4320, 1440, 1440  # fixture scale of 30 / 15 / 60 min
@@ -118,3 +119,93 @@ def q_recursive(spark, sf):
     return fc.select("machine_id", "step", _ntz(),
                      *[_r9(clamp_garbage(F.col(s), F.col(f"_la_{s}")), s) for s in SENSORS])
 
+
+
+# --- ML6 + M3 with boosted trees: both presets drive the recursion -------------
+def tree_forecaster(spark, sf, preset: str):
+    """(forest per sensor, features, lags) of a preset, fitted on the filled history; each sensor's
+    model is kept like the classifiers'."""
+    from moldwatch.ml import models as ML
+    from moldwatch.ml.trees import forest_of
+    lags = config.FORECASTER_PRESETS[preset][3]
+    filled = fill_forward_backward(fx.history(spark, sf).select("machine_id", "timestamp", *SENSORS), SENSORS)
+    lagged = materialize(lag_features(filled, SENSORS, lags))
+    models = ML.fitted_forecaster(spark, lagged, SENSORS, preset)
+    return {s: forest_of(spark, m.stages[-1]) for s, m in models.items()}, ML.forecaster_features(SENSORS, preset), lags
+
+
+@register("recursive_forecast_trees")
+def q_recursive_trees(spark, sf):
+    f = filled_window(fx.history(spark, sf), SENSORS, PAST_WINDOW_MIN)
+    last = latest_row(f.select("machine_id", "timestamp", *SENSORS)).select(
+        "machine_id", *[F.col(s).alias(f"_la_{s}") for s in SENSORS])
+    out = None
+    for preset in sorted(config.FORECASTER_PRESETS):
+        forests, feats, lags = tree_forecaster(spark, sf, preset)
+        fc = recursive_tree_forecast(f, SENSORS, forests, feats, lags, steps=max(6, FUTURE_STEPS)).join(last, "machine_id", "left")
+        fc = fc.select(F.lit(preset).alias("preset"), "machine_id", "step", _ntz(),
+                       *[_r9(clamp_garbage(F.col(s), F.col(f"_la_{s}")), s) for s in SENSORS])
+        out = fc if out is None else out.unionByName(fc)
+    return out
+
+
+# --- M3 with fixed forecasters, for the SQL twin: a linear one and one of two stumps per sensor, two lags
+FIXED_WEIGHTS = (0.5, 0.3, 0.15, 0.05)   # now, one and two rows before, the next sensor now
+FIXED_INTERCEPT = 0.75
+FIXED_STUMPS = ((0, 200.0, 150.0, 260.0, 1.0), (2, 120.0, -20.0, 15.0, 0.5))  # lag, cut, left, right, weight
+FIXED_LIMITS = {"Cushion": (0, 180.0), "Injection_pressure": (155.0, None)}
+
+
+def fixed_forecasters():
+    """Coefficients, intercepts and forests of the fixed forecasters."""
+    from moldwatch.ml.trees import forest_from_nodes
+    now, one, two, other = FIXED_WEIGHTS
+    nxt = dict(zip(SENSORS, SENSORS[1:] + SENSORS[:1]))
+    coef = {s: {s: now, f"{s}_lag_1": one, f"{s}_lag_2": two, nxt[s]: other} for s in SENSORS}
+    feats = list(SENSORS) + [f"{s}_lag{k}" for k in (1, 2) for s in SENSORS]
+    forests = {}
+    for i, s in enumerate(SENSORS):
+        nodes = []
+        for t, (lag, cut, left, right, _) in enumerate(FIXED_STUMPS):
+            nodes += [(t, 0, 0.0, 1, 2, i + lag * len(SENSORS), cut), (t, 1, left, -1, -1, -1, 0.0), (t, 2, right, -1, -1, -1, 0.0)]
+        forests[s] = forest_from_nodes(nodes, [w for *_, w in FIXED_STUMPS])
+    return coef, {s: FIXED_INTERCEPT for s in SENSORS}, forests, feats
+
+
+def _fixed_sql():
+    now, one, two, other = FIXED_WEIGHTS
+
+    def clamped(s, v):
+        lo, hi = FIXED_LIMITS.get(s, (None, None))
+        v = f"greatest({v}, {lo}E0)" if lo else v
+        return f"least({v}, {hi}E0)" if hi else v
+
+    def linear(s, n):
+        return f"{FIXED_INTERCEPT}E0 + {now}E0 * {s}_0 + {one}E0 * {s}_1 + {two}E0 * {s}_2 + {other}E0 * {n}_0"
+
+    def stumps(s, n):
+        return " + ".join(f"{w}E0 * CASE WHEN {s}_{lag} <= {cut} THEN {left}E0 ELSE {right}E0 END" for lag, cut, left, right, w in FIXED_STUMPS)
+
+    start = ", ".join(f"coalesce(l[len(l) - {k}], l[1]).{s} AS {s}_{k}" for s in SENSORS for k in range(3))
+    row = ", ".join(f"{s} := coalesce({s}, 0)" for s in SENSORS)
+    ctes, parts = [f"""
+fx0 AS (SELECT machine_id, max(timestamp) AS last, list(struct_pack({row}) ORDER BY timestamp) AS l FROM fw GROUP BY machine_id),
+fx1 AS (SELECT machine_id, last, 0 AS step, {start} FROM fx0)"""], []
+    for name, rule in (("linear", linear), ("trees", stumps)):
+        step = ", ".join(f"{clamped(s, rule(s, n))} AS {s}_0, {s}_0 AS {s}_1, {s}_1 AS {s}_2" for s, n in zip(SENSORS, SENSORS[1:] + SENSORS[:1]))
+        ctes.append(f"""
+fr_{name} AS (SELECT * FROM fx1 UNION ALL SELECT machine_id, last, step + 1, {step} FROM fr_{name} WHERE step < {FUTURE_STEPS})""")
+        cols = ", ".join(f"round({s}_0, 9) AS {s}" for s in SENSORS)
+        parts.append(f"SELECT '{name}' AS model, machine_id, CAST(step AS INT) AS step, last + step * INTERVAL 1 MINUTE AS timestamp, {cols} "
+                     f"FROM fr_{name} WHERE step > 0")
+    text = fixture_sql(" UNION ALL ".join(parts), O.history_cte(), O.filled_window_cte(PAST_WINDOW_MIN), *ctes)
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("recursive_forecast_fixed", _fixed_sql())
+def q_recursive_fixed(spark, sf):
+    f = filled_window(fx.history(spark, sf), SENSORS, PAST_WINDOW_MIN)
+    coef, icpt, forests, feats = fixed_forecasters()
+    both = [recursive_linear_forecast(f, SENSORS, coef, icpt, 2, FUTURE_STEPS, limits=FIXED_LIMITS).withColumn("model", F.lit("linear")),
+            recursive_tree_forecast(f, SENSORS, forests, feats, 2, FUTURE_STEPS, limits=FIXED_LIMITS).withColumn("model", F.lit("trees"))]
+    return both[0].unionByName(both[1]).select("model", "machine_id", "step", _ntz(), *[_r9(s) for s in SENSORS])

@@ -11,6 +11,8 @@ from moldwatch.ml import models as ML
 from moldwatch.operators.evaluate import best_threshold, confusion, pr_curve, roc_auc
 from moldwatch.operators.latest import latest_row
 from moldwatch.operators.sampling import temporal_split
+from moldwatch.plans import fixtures as fx
+from moldwatch.plans import oracle as O
 from moldwatch.plans import training as T
 from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql
@@ -70,7 +72,7 @@ def _xy(scored):
 
 @register("model_metrics")
 def q_model_metrics(spark, sf):
-    _, scored, feats, cw = T.trained(spark, sf)
+    model, scored, feats, cw = T.trained(spark, sf)
     xy = _xy(scored)
     m = confusion(xy, threshold=0.5)
     auc = roc_auc(xy)
@@ -80,7 +82,8 @@ def q_model_metrics(spark, sf):
     for c in ("best_f1", "best_threshold", "low_threshold", "medium_threshold", "high_threshold"):
         m = m.withColumn(c, best.select(c).scalar())
     return ML.metrics_record(spark, "gbt-" + T.LABEL, m,
-                             {"n_features": len(feats), "class_weight": float(cw)}).drop("created_at")
+                             {"n_features": len(feats), "class_weight": float(cw),
+                              "kept_rounds": model.stages[-1].getNumTrees}).drop("created_at")
 
 
 @register("feature_importance")
@@ -135,3 +138,31 @@ def q_future_risk(spark, sf):
     p = F.when(is_idle("Cycle_time"), F.lit(0.0)).otherwise(clip_probability("scrap_probability"))
     return sc.select("machine_id", "step", "timestamp", p.alias("scrap_probability"),
                      (p >= config.ML_THRESHOLDS["MEDIUM"]).cast("int").alias("predicted_scrap"))
+
+
+# --- ML3: history of which some rows already carry a probability -------------
+RULE = ("Injection_pressure", 250.0, 0.25, 0.75)  # a fixed stump for the SQL twin: p is one of two values
+
+
+def _lacking(spark, sf):
+    """The scored history without the probabilities of odd minutes; one in 30 minutes holds NaN."""
+    h = fx.history(spark, sf).select("machine_id", "timestamp", *config.FIXTURE_SENSORS, "scrap_probability")
+    m = F.minute("timestamp")
+    return h.withColumn("scrap_probability", F.when(m % 30 == 0, F.lit(float("nan"))).when(m % 2 == 0, F.col("scrap_probability")))
+
+
+@register("score_missing", fixture_sql(f"""
+SELECT machine_id, timestamp, round(CASE WHEN minute(timestamp) % 2 = 0 AND minute(timestamp) % 30 <> 0 THEN scrap_probability
+    WHEN coalesce({RULE[0]}, 0) <= {RULE[1]} THEN {RULE[2]}E0 ELSE {RULE[3]}E0 END, 9) AS scrap_probability FROM hist""", O.history_cte()))
+def q_score_missing(spark, sf):
+    """ML3: only rows without a probability are scored, here by a fixed rule."""
+    h = ML.score_missing(lambda rows: rows.withColumn("scrap_probability", F.when(
+        F.coalesce(F.col(RULE[0]), F.lit(0.0)) <= RULE[1], RULE[2]).otherwise(RULE[3])), _lacking(spark, sf))
+    return h.select("machine_id", _ntz(), F.round("scrap_probability", 9).alias("scrap_probability"))
+
+
+@register("score_missing_model")
+def q_score_missing_model(spark, sf):
+    """ML3 with the served model."""
+    h = ML.score_missing(T.raw_sensor_model(spark, sf), _lacking(spark, sf))
+    return h.select("machine_id", _ntz(), "scrap_probability")

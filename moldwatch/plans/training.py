@@ -14,9 +14,10 @@ from moldwatch.operators.encode import apply_encoding, encode_with_map, fit_labe
 from moldwatch.operators.latest import max_label
 from moldwatch.operators.pattern import pattern_features
 from moldwatch.operators.rolling import long_to_wide_features, rolling_time_long
-from moldwatch.operators.sampling import conform, temporal_split
+from moldwatch.operators.sampling import conform, stratified_split, temporal_split
 from moldwatch.plans import fixtures as fx
 from moldwatch.functions import normalize_machine_id
+from moldwatch.session import materialize
 from moldwatch.sources.tables import telemetry_raw
 
 SENSORS = config.FIXTURE_SENSORS
@@ -71,7 +72,6 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     if key in _MODEL_CACHE:
         return _MODEL_CACHE[key]
     table = temporal_split(training_table(spark, sf), ["timestamp", "machine_id"])
-    from moldwatch.session import materialize
     table = materialize(table)
     feats = feature_columns()
     train = table.where(F.col("split") == "TRAIN")
@@ -81,8 +81,8 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     tr = temporal_split(train.drop("split"), ["timestamp", "machine_id"], 0.8, out="_role") \
         .withColumn("_is_val", F.col("_role") == "TEST").drop("_role")
     tr = ML.with_class_weight(tr, LABEL, cw)
-    model = ML.train_gbt(tr, feats, LABEL, weight_col="weight", validation_col="_is_val",
-                         preset=preset)
+    model = ML.fitted_once(spark, "training", tr, (feats, preset, ML.gbt_params(preset), config.BOOSTING_PRESETS[preset]),
+                           lambda: ML.train_gbt(tr, feats, LABEL, weight_col="weight", validation_col="_is_val", preset=preset))
     scored = ML.score(model, test, threshold=config.ML_THRESHOLDS["MEDIUM"])
     _MODEL_CACHE[key] = (model, scored, feats, cw)
     return _MODEL_CACHE[key]
@@ -93,14 +93,19 @@ _RAW_MODEL_CACHE: dict = {}
 
 def raw_sensor_model(spark: SparkSession, sf: str):
     """The served model: boosted trees on filled raw sensor rows labelled by
-    the nearest as-of join (the raw-sensor training path)."""
+    the nearest as-of join (the raw-sensor training path), a stratified fifth held out to
+    choose the number of rounds."""
     from moldwatch.operators.rolling import fill_forward_backward
     from moldwatch.plans.queries_join import wide
     key = (sf, id(spark))
     if key not in _RAW_MODEL_CACHE:
+        preset = "retrain_v2"
         w = fill_forward_backward(wide(spark, sf), SENSORS)
-        lab = asof_label(w, fx.events(spark, sf), label="label")
-        cw = ML.class_weight_value(lab, "label", cap=ML.weight_cap("retrain_v2"))
-        _RAW_MODEL_CACHE[key] = ML.train_gbt(ML.with_class_weight(lab, "label", cw), SENSORS, "label",
-                                             preset="retrain_v2")
+        lab = asof_label(w, fx.events(spark, sf), label="label").select("machine_id", "timestamp", *SENSORS, "label")
+        lab = materialize(stratified_split(lab, "label", ["machine_id", "timestamp"]))
+        cw = ML.class_weight_value(lab.where(F.col("split") == "TRAIN"), "label", cap=ML.weight_cap(preset))
+        lab = ML.with_class_weight(lab.withColumn("_held", F.col("split") == "TEST"), "label", cw)
+        _RAW_MODEL_CACHE[key] = ML.fitted_once(
+            spark, "raw", lab, (SENSORS, preset, ML.gbt_params(preset), config.BOOSTING_PRESETS[preset]),
+            lambda: ML.train_gbt(lab, SENSORS, "label", validation_col="_held", preset=preset))
     return _RAW_MODEL_CACHE[key]

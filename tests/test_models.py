@@ -1,10 +1,15 @@
 """Boosting presets and the tree forecaster."""
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from moldwatch import config
 from moldwatch.ml import models as ML
+from moldwatch.ml import trees
 from moldwatch.operators.rolling import lag_features
+from moldwatch.session import materialize
 
 # preset: rounds, rate, leaves, smallest leaf, weight cap, patience
 PUBLISHED = {"retrain_v2": (500, 0.05, 31, 20, 40, 50), "retrain_v1_2e": (500, 0.05, 63, 10, 50, 50),
@@ -32,3 +37,78 @@ def test_tree_forecaster_learns_a_cycle(spark, monkeypatch):
     out = ML.forecast_one_step(models, lagged)
     worst = out.agg(F.max(F.abs(F.col("a_forecast") - F.col("a_next"))), F.max(F.abs(F.col("b_forecast") - F.col("b_next")))).first()
     assert max(worst) < 0.5
+
+
+def auc(pairs):
+    """Share of (positive, negative) pairs that are in order, ties half."""
+    pos, neg = ([p for p, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_best_prefix():
+    assert trees.best_prefix([.5, .6, .6, .7, .7, .69, .68], 3) == (4, True)
+    assert trees.best_prefix([.5, .6, .6, .7, .7, .69], 3) == (4, False)
+    assert trees.best_prefix([.9, .1, .95], 1) == (1, True)
+    assert trees.best_prefix([.9, .1, .95], 2) == (3, False)
+    assert trees.best_prefix([.5], 50) == (1, False)
+
+
+def noisy(spark, n=600):
+    d = spark.range(n).select("id", *(F.rand(k).alias(f"x{k}") for k in range(4)), F.rand(9).alias("r"))
+    return materialize(d.select(
+        "id", "x0", "x1", F.when(F.col("id") % 50 == 7, None).otherwise(F.col("x2")).alias("x2"), "x3",
+        ((F.col("x0") + F.col("x1") + 0.8 * F.col("r")) > 1.5).cast("int").alias("label"), F.lit(1.0).alias("weight"),
+        (F.col("id") % 3 == 0).alias("held")))
+
+
+FEATURES = ["x0", "x1", "x2", "x3"]
+
+
+def staged_by_hand(model, rows):
+    """Per round (p, label) of every row, from the trees that Spark itself evaluates."""
+    gbt = model.stages[-1]
+    vectors = [model.stages[0].transform(ML.filled(rows, FEATURES)).select("_features", "label").collect()][0]
+    leaf = [[t.predict(v["_features"]) * w for v in vectors] for t, w in zip(gbt.trees, gbt.treeWeights)]
+    out, margin = [], [0.0] * len(vectors)
+    for one in leaf:
+        margin = [m + x for m, x in zip(margin, one)]
+        p = [1 / (1 + math.exp(-2 * m)) for m in margin]
+        out.append([(int(q * trees.AUC_BINS), v["label"]) for q, v in zip(p, vectors)])
+    return out
+
+
+def test_boosting_keeps_the_best_round(spark, monkeypatch):
+    d = noisy(spark)
+    whole = dict(PUBLISHED)["retrain_v2"]
+    monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (24, 0.3, *whole[2:5], 6))
+    asm_all = ML.train_gbt(d.where(~F.col("held")), FEATURES, preset="retrain_v2")
+    assert asm_all.stages[-1].getNumTrees == 24
+    scores = [auc(s) for s in staged_by_hand(asm_all, d.where("held"))]
+    forest = trees.forest_of(spark, asm_all.stages[-1])
+    assert trees.staged_auc(ML.filled(d.where("held"), FEATURES), forest, FEATURES) == pytest.approx(scores, abs=1e-12)
+    keep, _ = trees.best_prefix(scores, 6)
+    model = ML.train_gbt(d, FEATURES, validation_col="held", preset="retrain_v2")
+    gbt = model.stages[-1]
+    assert 1 < keep == gbt.getNumTrees < 24
+    for a, b in zip(gbt.trees, asm_all.stages[-1].trees):
+        assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+    assert len(gbt.featureImportances) == 4
+    p = {r["id"]: r["scrap_probability"] for r in ML.score(model, d).collect()}
+    x = np.array([[r[c] or 0.0 for c in FEATURES] for r in d.orderBy("id").collect()], float)
+    cut = trees.forest_of(spark, gbt)
+    want = 1 / (1 + np.exp(-2 * cut.predict(x)))
+    assert [p[i] for i in range(len(x))] == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_boosting_without_both_labels_keeps_all_rounds(spark, monkeypatch):
+    d = noisy(spark, 200).withColumn("held", F.col("label") == 0).withColumn("held", F.col("held") & (F.col("id") % 2 == 0))
+    monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (5, 0.3, 7, 5, 40, 2))
+    assert ML.train_gbt(d, FEATURES, validation_col="held").stages[-1].getNumTrees == 5
+
+
+def test_planted_signal_with_the_presets_own_rounds(spark):
+    d = noisy(spark, 900)
+    model = ML.train_gbt(d, FEATURES, validation_col="held", preset="retrain_v2")
+    assert 1 < model.stages[-1].getNumTrees < 500
+    pairs = [(r["scrap_probability"], r["label"]) for r in ML.score(model, d.where("held")).collect()]
+    assert auc(pairs) > 0.85
