@@ -1,12 +1,13 @@
 """Operator 10: toxicity from character n-grams with naive Bayes scaling.
 
-Features are the presence of hashed byte n-grams (3 to 5, A-Z lowered).  Over the training
+Features are the presence of hashed character n-grams (3 to 5 code points, A-Z lowered).  Over the training
 rows each has a log-count ratio r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) (p, q:
 toxic and other documents that hold it, of P and Q); the features that tell the classes
 apart best are kept, scaled by their r and weighted by L2-regularised logistic regression.
 
-Fitting takes a bounded, documented sample: the ``MAX_TRAIN`` labelled rows with the
-smallest digests, so their ids are a bounded broadcast.  N-gram counts are aggregated by Spark;
+Fitting takes a bounded, documented sample: of the documents of the ``MAX_TRAIN`` labelled ids with the
+smallest digests at most ``MAX_TRAIN``, by digest too, equal texts of an id once; so ids
+and text digests are a bounded broadcast.  N-gram counts are aggregated by Spark;
 the driver receives N_FEATURES ratios and, per training row, N_FEATURES presence bits
 (2.5 MB in all).  All documents are scored whole in one scan without a shuffle.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moldwatch.llm.langid import fold
-from moldwatch.llm.shingles import BYTE_VALUE, LOWER, M3, U, mix
+from moldwatch.llm.shingles import M3, U, mix
 from moldwatch.llm.store import written
 
 GRAMS = (3, 4, 5)
@@ -35,15 +36,17 @@ N_FEATURES = 1024
 MIN_DOCS = 4
 L2 = 0.2
 THRESHOLD = 0.3
-CHUNK = 1 << 20  # bytes of a text worked on at a time
+CHUNK = 1 << 18  # characters of a text worked on at a time
 
 
 def grams(text: bytes):
     """Hashes of all n-grams of a text, in arrays."""
     longest = max(GRAMS)
-    for at in range(0, max(1, len(text)), CHUNK):
-        part = np.frombuffer(text, np.uint8)[at:at + CHUNK + longest - 1]
-        values = BYTE_VALUE[LOWER[part]]
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    for at in range(0, max(1, len(points)), CHUNK):
+        part = points[at:at + CHUNK + longest - 1].astype(U)
+        part[(part >= U(65)) & (part <= U(90))] += U(32)
+        values = mix((part + U(1)) * M3)
         h = np.zeros(len(part), U)
         for k in range(longest):
             left = len(part) - k
@@ -51,10 +54,16 @@ def grams(text: bytes):
                 break
             h = h[:left] * M3 + values[k:]
             if k + 1 in GRAMS:
-                own = left if at + CHUNK >= len(text) else min(left, CHUNK)
+                own = left if at + CHUNK >= len(points) else min(left, CHUNK)
                 yield (mix(h[:own] + U(k)) >> U(64 - HASH_BITS)).astype(np.int64)
 
 
+def buckets_of(text: bytes) -> np.ndarray:
+    """Numbers of the n-grams that a text holds, each once."""
+    found = list(grams(text))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
     buckets: np.ndarray   # of the features
@@ -100,12 +109,17 @@ def regress(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 30) -> tuple[n
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_train: int = MAX_TRAIN) -> Model:
-    """A model from at most ``max_train`` labelled rows."""
+    """A model from at most ``max_train`` labelled documents."""
     none = Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(
         F.max(F.col(label_col).cast("int")).alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(max_train)
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    sample = written(d.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("id", "y", "text").repartition(8, "id"), "sample")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    d = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("print"))
+    own = d.select("id", "print").join(F.broadcast(chosen), F.col("id") == F.col("lid")).groupBy("lid", "y", F.col("print").alias("lprint")).agg(
+        F.lit(1).alias("one")).orderBy(F.xxhash64("lid"), "lid", "lprint").limit(max_train)
+    own = F.broadcast(own.select("lid", "y", "lprint"))
+    rows = d.join(own, (F.col("id") == F.col("lid")) & (F.col("print") == F.col("lprint")))
+    sample = written(rows.groupBy("id", "y", "print").agg(F.min("text").alias("text")).repartition(8, "id", "print").drop("print"), "sample")
     totals = dict(sample.groupBy("y").count().collect())
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -115,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         docs_with = np.zeros((2, 1 << HASH_BITS), np.int32)
         for b in batches:
             for y, t in zip(b.column("y").to_pylist(), b.column("text")):
-                docs_with[y, np.unique(np.concatenate(list(grams(t.as_py()))))] += 1
+                docs_with[y, buckets_of(t.as_py())] += 1
         some = np.flatnonzero(docs_with.any(axis=0))
         for at in range(0, len(some), 100_000):
             own = some[at:at + 100_000]

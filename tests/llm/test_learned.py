@@ -398,6 +398,84 @@ def test_toxicity_odd_input(spark, odd_docs, no_docs):
 def test_grams_of_parts(monkeypatch):
     text = ("Abc dé " * 40).encode()
     whole = np.sort(np.concatenate(list(toxicity.grams(text))))
-    assert len(whole) == sum(len(text) - n + 1 for n in toxicity.GRAMS)
+    assert len(whole) == sum(len(text.decode()) - n + 1 for n in toxicity.GRAMS)
     monkeypatch.setattr(toxicity, "CHUNK", 37)
     assert np.array_equal(np.sort(np.concatenate(list(toxicity.grams(text)))), whole)
+
+
+def plain_toxicity(rows, texts):
+    """Scores of ``texts`` after learning from (text, y) rows: counts, choice, ratios and regression in plain steps."""
+    def held(t):
+        t = t.translate(helpers.UPPER)
+        out = set()
+        for n in toxicity.GRAMS:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i:i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + mixed((ord(c) + 1) * 0x9E3779B97F4A7C15)) % 2 ** 64
+                out.add(mixed((h + n - 1) % 2 ** 64) >> (64 - toxicity.HASH_BITS))
+        return out
+
+    def mixed(x):
+        x %= 2 ** 64
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD % 2 ** 64
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 % 2 ** 64
+        return x ^ (x >> 33)
+
+    sets = [(held(t), y) for t, y in rows]
+    n1, n0 = sum(y for _, y in sets), sum(1 - y for _, y in sets)
+    p, q = (Counter(g for s, y in sets if y == k for g in s) for k in (1, 0))
+    ranked = []
+    for g in {*p, *q}:
+        if p[g] + q[g] >= toxicity.MIN_DOCS:
+            share = (p[g] + q[g]) / (n1 + n0)
+            z = abs(p[g] / n1 - q[g] / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+            ranked.append((-z, g, math.log((p[g] + 1) / (n1 + 2)) - math.log((q[g] + 1) / (n0 + 2))))
+    best = sorted(ranked)[:toxicity.N_FEATURES]
+    x = np.array([[r * (g in s) for _, g, r in best] + [1.0] for s, _ in sets])
+    y = np.array([float(k) for _, k in sets])
+    penalty = np.array([toxicity.L2 * len(y) / 100] * len(best) + [1e-6])
+    w = np.zeros(len(best) + 1)
+    for _ in range(60):  # plain Newton steps, halved while the loss grows
+        loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + (penalty * v * v).sum() / 2
+        prob = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (prob * (1 - prob))[:, None]).T @ x + np.diag(penalty), x.T @ (prob - y) + penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return [1 / (1 + math.exp(-(sum(v * r for v, (_, g, r) in zip(w, best) if g in held(t)) + w[-1]))) for t in texts]
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rng = random.Random(5)
+    soft, hard = ["garden", "früh", "river", "stone", "quiet"], ["vile", "schlimm", "HATE", "brute", "quiet"]
+    rows = [(i, " ".join(rng.choice(hard if i % 3 == 0 and rng.random() < .6 else soft) for _ in range(rng.randint(0, 6)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    want = plain_toxicity([(t, int(i % 3 == 0)) for i, t in rows[:200]], [t for _, t in rows])
+    assert [got[i] for i in range(300)] == pytest.approx(want, abs=2e-3)
+
+
+def test_toxicity_labelled_texts_without_grams(spark):
+    texts = ["bad words here", "", "good words here", None, "a", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 1), (4, 0), (5, 1)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(got) == 6 and got[1] == got[3] == got[4] == got[5]
+    assert all(0 <= s <= 1 for s in got.values())
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    docs = spark.range(10_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("some text "), (F.col("id") % 5_000).cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "other text")] * 3_000, "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df, name: seen.append(df.cache()) or seen[-1])
+    toxicity.fit(docs, labels, max_train=3)
+    assert seen[0].count() <= 3
+    toxicity.fit(docs, labels)
+    assert sorted(r["count"] for r in seen[1].groupBy("id").count().collect()) == [1, 5_000]  # copies once
