@@ -39,9 +39,9 @@ def test_query_matches_oracle(spark, duck, name):
 def test_query_without_sql_gives_the_same_rows_again(spark, monkeypatch, name):
     """With models of fewer rounds (the presets' own are in test_models).  Everything is computed anew
     but the fitted models, which the second run reads from where the first has saved them."""
-    monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (20, *config.BOOSTING_PRESETS["retrain_v2"][1:]))
+    monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (6, *config.BOOSTING_PRESETS["retrain_v2"][1:]))
     for preset, (_, *rest) in list(config.FORECASTER_PRESETS.items()):
-        monkeypatch.setitem(config.FORECASTER_PRESETS, preset, (5, *rest))
+        monkeypatch.setitem(config.FORECASTER_PRESETS, preset, (2, *rest))
 
     def run():
         df = E.queries()[name](spark, SF_SMALL)
