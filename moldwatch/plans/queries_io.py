@@ -13,6 +13,7 @@ from moldwatch.plans import fixtures as fx
 from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql, history_cte
 from moldwatch.sources import files as S
+from moldwatch.sources import history as H
 from moldwatch.sources.tables import production_log_raw, telemetry_raw
 from moldwatch.streaming.live import scratch_dir
 
@@ -103,3 +104,34 @@ FROM (SELECT DISTINCT variable_name FROM clean) v, ({wins}) w, ({stats}) s"""
 def q_master_schema(spark, sf):
     from moldwatch.operators.rolling import master_schema
     return master_schema(fx.clean(spark, sf), config.ROLLING_WINDOWS, config.ROLLING_STATS)
+
+
+# --- S7 + S10: history by machine and day, appended in parts, a part of it twice -
+HISTORY_COLUMNS = ["machine_id", "timestamp", *config.FIXTURE_SENSORS, "scrap_probability", "is_scrap_actual"]
+
+
+def _kept_history(spark, sf):
+    """The scored history written in two runs that share their days: odd days, all days again."""
+    path = scratch_dir(spark, "history-days")
+    h = fx.history(spark, sf).select(*HISTORY_COLUMNS)
+    H.append(h.where(F.dayofmonth("timestamp") % 2 == 1), path)
+    H.append(h, path)
+    return path
+
+
+@register("history_append", fixture_sql(f"""
+SELECT machine_id, timestamp, {", ".join(f"round({s}, 9) AS {s}" for s in config.FIXTURE_SENSORS)},
+       round(scrap_probability, 9) AS scrap_probability, is_scrap_actual FROM hist""", history_cte()))
+def q_history_append(spark, sf):
+    back = H.read(spark, _kept_history(spark, sf))
+    return back.select("machine_id", _ntz(), *[F.round(c, 9).alias(c) for c in (*config.FIXTURE_SENSORS, "scrap_probability")], "is_scrap_actual")
+
+
+# --- P13 over that layout: only the days of each machine's window are read ------
+@register("recent_window_pruned", fixture_sql(f"""
+SELECT h.machine_id, h.timestamp, {", ".join(f"round(h.{s}, 9) AS {s}" for s in config.FIXTURE_SENSORS)}
+FROM hist h JOIN (SELECT machine_id, max(timestamp) - INTERVAL 60 MINUTE AS hi FROM hist GROUP BY 1) m USING (machine_id)
+WHERE h.timestamp BETWEEN m.hi - INTERVAL 4320 MINUTE AND m.hi""", history_cte()))
+def q_recent_pruned(spark, sf):
+    r = H.recent(spark, _kept_history(spark, sf), 4320)
+    return r.select("machine_id", _ntz(), *[F.round(c, 9).alias(c) for c in config.FIXTURE_SENSORS])
