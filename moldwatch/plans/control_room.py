@@ -22,12 +22,14 @@ from moldwatch.operators.latest import latest_row
 from moldwatch.operators.order import last_n_per_key
 from moldwatch.operators.sampling import append_future, downsample_stride
 from moldwatch.plans.monitor import filled_window, machine_health, unpivot, window_limits
+from moldwatch.session import materialize
 
 
 def future_horizon(filled: DataFrame, sensors, model, forecaster=None, future_window: int = 35,
                    limits: dict | None = None, threshold: float = 0.55) -> DataFrame:
     """Future rows per machine at 1-minute steps, scored (M3-M6): ``future_window`` of them, 5 to
-    60, and six at least.  Only the rows that the forecaster looks back on are read."""
+    60, and six at least.  Only the rows that the forecaster looks back on are read.  ``model``: a fitted
+    pipeline, or a function that adds ``scrap_probability``."""
     if not 5 <= future_window <= 60:
         raise ValueError("future_window must be 5 to 60 minutes")
     steps = max(6, future_window)
@@ -45,8 +47,8 @@ def future_horizon(filled: DataFrame, sensors, model, forecaster=None, future_wi
     fc = fc.join(la, "machine_id").select(
         "machine_id", "step", "timestamp",
         *[clamp_garbage(F.col(s), F.col(f"_la_{s}")).alias(s) for s in sensors])
-    scored = score(model, fc.select("machine_id", "step", "timestamp",
-                                    *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in sensors]))
+    rows = fc.select("machine_id", "step", "timestamp", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in sensors])
+    scored = model(rows) if callable(model) else score(model, rows)
     p = F.when(is_idle("Cycle_time"), F.lit(0.0)).otherwise(clip_probability("scrap_probability"))
     return scored.select("machine_id", "step", "timestamp", *sensors, p.alias("scrap_probability"),
                          F.lit(0).alias("is_scrap_actual"),
@@ -59,7 +61,7 @@ def control_room(hist: DataFrame, raw_telemetry: DataFrame, machines: DataFrame,
                  threshold: float = 0.55) -> tuple[DataFrame, DataFrame]:
     """Returns (machines table, timeline table): the last ``time_window`` minutes and the next
     ``future_window``, the timeline downsampled to ``max_past`` and ``max_future`` points."""
-    filled = filled_window(hist, sensors, time_window)
+    filled = materialize(filled_window(hist, sensors, time_window))  # the window, read by every part below
     health = machine_health(filled, sensors, tolerances)
     lim = window_limits(filled, sensors, tolerances)
     fut = future_horizon(filled, sensors, model, forecaster, future_window, threshold=threshold)
@@ -149,6 +151,26 @@ def control_room(hist: DataFrame, raw_telemetry: DataFrame, machines: DataFrame,
     return table, timeline
 
 
+def payload(table: DataFrame, timeline: DataFrame, lim: DataFrame) -> DataFrame:
+    """One nested row per machine (D17): health, its limits by sensor and its timeline in order of time, the
+    past before the future.  Both collections are bounded: by the sensors and by the points that
+    the timeline was cut to."""
+    point = F.struct("is_future", "timestamp", "risk_score", "adjusted_risk", "is_scrap_actual", "alert_dot",
+                     F.from_json("sensors", "map<string,double>").alias("sensors"))
+    points = timeline.groupBy("machine_id").agg(F.collect_list(point).alias("timeline"))
+
+    def earlier(a, b):  # maps have no order, so the points are compared by their time
+        before = (~a["is_future"] & b["is_future"]) | ((a["is_future"] == b["is_future"]) & (a["timestamp"] < b["timestamp"]))
+        return F.when(before, F.lit(-1)).when((a["is_future"] == b["is_future"]) & (a["timestamp"] == b["timestamp"]), F.lit(0)).otherwise(F.lit(1))
+
+    points = points.select("machine_id", F.array_sort("timeline", earlier).alias("timeline"))
+    bounds = F.struct(F.bround("min_limit", 2).alias("min"), F.bround("max_limit", 2).alias("max"))
+    limits = lim.groupBy("machine_id").agg(F.map_from_entries(F.collect_list(F.struct("sensor", bounds))).alias("limits"))
+    health = F.struct("status", "risk_score", "root_causes", "past_scrap_detected", "future_scrap_predicted", "trend_text", "frozen")
+    x = table.join(limits, "machine_id", "left").join(points, "machine_id", "left")
+    return x.select("machine_id", "display_id", "tool_id", "part_number", health.alias("health"), "limits", "timeline")
+
+
 def telemetry_table(filled: DataFrame, fut: DataFrame, lim: DataFrame, sensors) -> DataFrame:
     """Latest actual and last forecast per machine and sensor with the grid
     status against the machine's limits (D16 + D11)."""
