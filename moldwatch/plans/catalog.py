@@ -21,4 +21,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from moldwatch.plans import queries_core, queries_join, queries_rolling, queries_monitor, queries_eval, queries_forecast, queries_ml, queries_live, queries_room, queries_io  # noqa: F401
+    from moldwatch.plans import queries_core, queries_join, queries_rolling, queries_monitor, queries_eval, queries_forecast, queries_ml, queries_live, queries_room, queries_io, queries_records  # noqa: F401

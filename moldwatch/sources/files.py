@@ -133,3 +133,55 @@ def parse_live_messages(raw: DataFrame, col: str = "value") -> DataFrame:
     x = raw.select(j.alias("m")).select("m.*")
     return x.select(normalize_machine_id("machine_id").alias("machine_id"), "variable_name",
                     to_number("value").alias("value"), utc_timestamp("timestamp").alias("timestamp"))
+
+
+def judged_messages(raw: DataFrame, col: str = "value") -> DataFrame:
+    """Message payloads -> message, the reading's columns, and ``reason``: null for a reading, else why
+    there is none (unreadable JSON, no machine, no sensor, no time, no numeric value)."""
+    from moldwatch.functions import normalize_machine_id, to_number, utc_timestamp
+    corrupt = "_corrupt"
+    schema = T.StructType([*LIVE_MESSAGE_SCHEMA.fields, T.StructField(corrupt, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    text = F.col(col).cast("string")
+    x = raw.select(text.alias("message"), F.from_json(text, schema, options).alias("m"))
+    blank = lambda c: F.coalesce(F.trim(F.col(f"m.{c}")) == "", F.lit(True))
+    value, ts = to_number("m.value"), utc_timestamp("m.timestamp")
+    reason = (F.when(F.col("m").isNull() | F.col(f"m.{corrupt}").isNotNull(), "unreadable").when(blank("machine_id"), "no machine")
+              .when(blank("variable_name"), "no sensor").when(ts.isNull(), "no time").when(value.isNull(), "no value"))
+    return x.select("message", normalize_machine_id("m.machine_id").alias("machine_id"), F.col("m.variable_name").alias("variable_name"),
+                    value.alias("value"), ts.alias("timestamp"), reason.alias("reason"))
+
+
+def ingest_messages(raw: DataFrame, path: str, col: str = "value"):
+    """Streaming ingest of live messages (S9): one pass per micro-batch writes readings below
+    ``path``/readings and what is none, with its reason, below ``path``/quarantine.  A batch replaces its
+    own partition, so a batch that is run again after a failure leaves no row twice.
+    Runs what is there and returns."""
+    def both(batch: DataFrame, number: int):
+        x = judged_messages(batch, col).withColumn("batch", F.lit(number)).persist()
+        try:
+            for name, part in (("readings", x.where("reason IS NULL").drop("message", "reason")),
+                               ("quarantine", x.where("reason IS NOT NULL").select("message", "reason", "batch"))):
+                part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+        finally:
+            x.unpersist()
+
+    query = raw.writeStream.foreachBatch(both).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def append_metrics(record: DataFrame, path: str, model: str, version: str) -> None:
+    """Add a metrics record (ML7) as JSON lines, kept by model and version; a version written again replaces
+    itself and no other."""
+    (record.withColumn("model", F.lit(model)).withColumn("version", F.lit(version)).withColumn("created_at", F.current_timestamp())
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "version").json(path))
+
+
+def latest_metrics(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Each model's record with the newest ``created_at``; ``schema``: that of the appended records."""
+    kept = T.StructType([*schema.fields, T.StructField("created_at", T.TimestampType()), T.StructField("model", T.StringType()),
+                         T.StructField("version", T.StringType())])
+    x = spark.read.schema(kept).json(path)
+    names = [f.name for f in kept]
+    newest = F.max_by(F.struct(*names), F.struct("created_at", "version"))
+    return x.groupBy("model").agg(newest.alias("r")).select("r.*")

@@ -22,7 +22,6 @@ per-machine ``applyInPandas`` twin used by the tests on small fixtures.
 """
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -148,10 +147,9 @@ def live_status_twin(readings: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    from moldwatch.session import checkpoint_dir
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint folder, deleted when the application ends."""
+    from moldwatch.session import scratch_path
+    return scratch_path(spark, name)
 
 
 DRAIN_ROWS = 2_000_000
