@@ -40,16 +40,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose language is told stay; null, empty and letterless texts are ``und`` and go, a very long
+    text is judged whole, equal rows fare alike."""
     learned = langid.fit_dictionaries(docs.filter(langid.fold(F.col("doc_id"), 4) != 2))
     return _rows(langid.annotate(docs, learned).filter(~F.col("found.rejected")), docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the policy stay; null, empty and short texts fail, a very long
+    text is measured whole, equal rows fare alike."""
     mask = quality.BASE_MASK | quality.POLICIES[quality.POLICY]
     return _rows(quality.ledger(docs).filter(quality.passes(F.col("ledger.fail_bits"), mask)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies stays, that of the smallest id (null ids last); null and wordless
+    texts are in no class and differ by id and text, equal rows become one."""
     classes = near_dup.near_duplicates(docs)
     group = F.coalesce(F.col("root"), F.encode(_key(F.col("doc_id"), F.col("print")), "utf-8"))  # no words: alone
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print"))
@@ -59,12 +65,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window stay, whatever their length; null and wordless texts hold none,
+    and without benchmark texts all stay."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
     hit = found.select(_key(F.col("doc_id"), F.col("print")).alias("key")).distinct()
     return _rows(_keyed(docs).join(hit, "key", "left_anti"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of at most the maximal length, so a very long text is several; null and empty texts are one
+    empty piece without a batch, equal rows are packed each."""
     return packing.pack(packing.word_lengths(docs))
 
 
