@@ -8,9 +8,11 @@ documents, the rarest is joined.  Windows whose rarest shingle never occurs
 leave before the join.  A joined position survives the length and positional
 bounds (the window must fit around it) and the comparison of all its words.
 
-The documents are scanned twice (frequencies, join) and never shuffled; only
-matches and one row per document are.  The window table is broadcast in blocks of
-at most ``block_windows`` windows, so a benchmark of any size is joined whole.
+The documents are scanned twice for each block (frequencies, join) and never shuffled; only
+matches and one row per document are.  Distinct windows are broadcast in blocks of
+about ``block_windows`` (dealt by their digest, so evenly) and, for the frequencies, at most eight
+times as many shingle keys; the items of a window are joined to its matches afterwards, so
+neither grows with the number of items that share a window.
 
 Defined results: null and word-less texts have no words and no hits; null item
 texts have no windows; a null item_id marks words as hit but is not listed or
@@ -62,12 +64,12 @@ def _positions(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], ma
 
 
 def _postings(windows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, list[int]]:
-    """(key, off, win, item): each window under its rarest shingle."""
+    """(key, off, win): each window under its rarest shingle."""
     size = F.least(F.size("win"), F.lit(shingle))
     sizes = sorted(r[0] for r in windows.select(size).distinct().collect())  # at most `shingle` values
     if not sizes:
         sizes = [shingle]
-    at = windows.select("item", "win", F.explode_outer(F.sequence(F.lit(0), F.size("win") - size)).alias("off"))
+    at = windows.select("win", F.explode_outer(F.sequence(F.lit(0), F.size("win") - size)).alias("off"))
     key = F.lit(None).cast("bigint")
     for s in sizes:
         key = F.when(size == s, _shingle_key(F.col("win"), F.col("off"), s)).otherwise(key)
@@ -75,9 +77,9 @@ def _postings(windows: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
     seen = (_positions(docs, id_col, text_col, sizes, marks=False).select("key")
             .join(F.broadcast(at.select("key").distinct()), "key")
             .groupBy("key").agg(F.count(F.lit(1)).alias("freq")))
-    first = at.join(seen, "key", "left").groupBy("item", "win").agg(
+    first = at.join(seen, "key", "left").groupBy("win").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "off")).alias("m"))
-    return first.filter("m.freq > 0").select("m.key", "m.off", "win", "item"), sizes
+    return first.filter("m.freq > 0").select("m.key", "m.off", "win"), sizes
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -86,10 +88,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """One row per document: ``id_col``, print (xxhash64 of its text), n_words, spans (distinct [start, end) of the
     occurring windows, sorted), n_hit (words inside them) and items (sorted)."""
     windows = written(item_windows(items, item_col, item_text_col, window), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
+    distinct = written(windows.select("win").distinct(), "distinct")
+    blocks = max(1, -(-distinct.count() // block_windows))
     found = None
     for b in range(blocks):
-        part = windows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else windows
+        part = distinct.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else distinct
         postings, sizes = _postings(part, docs, id_col, text_col, shingle)
         start = F.col("pos") - F.col("off")
         fits = (start >= 0) & (start + F.size("win") <= F.col("n"))
@@ -98,12 +101,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         p = p.withColumnRenamed("key", "item_key")
         hits = (d.join(F.broadcast(p), (d.key == p.item_key) & fits & same, "left")
                 .filter(F.col("win").isNotNull() | ((F.col("pos") == F.col("n")) & F.lit(b == 0)))
-                .select("id", "print", "n", "item",
+                .select("id", "print", "n", "win",
                         F.when(F.col("win").isNull(), 1).otherwise(0).alias("mark"),
                         F.when(F.col("win").isNotNull(), F.struct(
                             start.alias("start"), (start + F.size("win")).alias("end"))).alias("span")))
         found = hits if found is None else found.unionByName(hits)
-    per_doc = found.groupBy("id", "print", "n").agg(
+    found = written(found, "found")
+    doc = ["id", "print", "n"]
+    owners = found.filter(F.col("win").isNotNull()).select(*doc, "win").distinct().join(windows, "win").select(*doc, "item").distinct()
+    both = found.select(*doc, "mark", "span").unionByName(owners.withColumn("mark", F.lit(0)), allowMissingColumns=True)
+    per_doc = both.groupBy(*doc).agg(
         F.sum("mark").alias("copies"), F.sort_array(F.collect_set("span")).alias("spans"),
         F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.aggregate(

@@ -156,3 +156,17 @@ def test_probe_conversation(spark):
     assert r["n_turns"] == 2 and r["loss_chars"] == len(probe)
     assert r["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest()
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{probe}\nassistant\n{probe}\n".encode()).hexdigest()
+
+
+def test_contamination_blocks_hold_each_window_once(spark, monkeypatch):
+    """Items that share a window don't make a block larger, and are all listed."""
+    shared = " ".join(f"w{i}" for i in range(10))
+    items = [(i, f"{shared} own{i}") for i in range(600)] + [(None, shared), (7, None)]
+    docs = [(1, f"x {shared} y"), (2, "nothing here"), (None, f"{shared} own3"), (None, f"{shared} own3"), (4, None)]
+    seen = []
+    monkeypatch.setattr(decontam, "_postings", lambda part, *a, f=decontam._postings: seen.append(part.count()) or f(part, *a))
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"),
+                                 block_windows=100).collect()
+    assert len(seen) == 7 and sum(seen) == 601 and max(seen) < 150
+    by = sorted(((r["doc_id"], r["n_hit"], len(r["items"])) for r in got), key=repr)
+    assert by == sorted([(1, 10, 600), (2, 0, 0), (None, 11, 600), (None, 11, 600), (4, 0, 0)], key=repr)
