@@ -2,12 +2,14 @@
 
 Messages name their parent.  Root-to-leaf paths are enumerated by iterated
 self-joins: joining the parent table with itself gives the table of ancestors two,
-four, eight ... steps up, and going through these tables from the longest step
-to the shortest adds to every leaf each of its ancestors exactly once.  That is
-twice log2(depth) joins on (tree, message), so neither a deep thread nor a tree with a
-third of all messages makes a long loop or a hot key.  The branches of a tree are
-ranked by the mean score of their messages, ties by leaf id, and each chosen path
-becomes one conversation.
+four, eight ... steps up, each with the summed scores of the messages passed.  Going
+through these tables from the longest step to the shortest carries every leaf to its
+root with the sum and length of its path, one row a leaf.  The branches of a tree are
+ranked by the mean score of their messages, ties by leaf id, and only chosen leaves go
+through the tables again to collect each of their ancestors exactly once.  That is three
+times log2(depth) joins on (tree, message), so neither a deep thread nor a tree with a
+third of all messages makes a long loop or a hot key, and branches that are not chosen
+are never written out.  Each chosen path becomes one conversation.
 
 Template: every turn is ``<|im_start|>role\\ntext<|im_end|>\\n`` (the role
 URL-encoded).  Control strings inside texts are broken by a backslash after their first
@@ -47,22 +49,38 @@ def _tag(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, id, up): every message of every root-to-leaf path, ``up`` steps above
-    its leaf.  ``nodes``: distinct non-null string keys (tree, id) and parent."""
+def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The tables of ancestors and the leaves.  Table k: (tree, id, anc, passed), ``anc`` 2^k steps above
+    ``id``, ``passed`` the summed scores from ``id`` to below ``anc``.  Leaves: (tree, leaf, score), the mean
+    over the messages of the path.  ``nodes``: distinct non-null string keys (tree, id), parent and score."""
     parents = nodes.select("tree", F.col("parent").alias("id")).distinct()
     up = written(nodes.join(nodes.select("tree", F.col("id").alias("parent")), ["tree", "parent"], "left_semi")
-                 .select("tree", "id", F.col("parent").alias("anc")), "steps")
+                 .select("tree", "id", F.col("parent").alias("anc"), F.col("score").alias("passed")), "steps")
     most = math.ceil(math.log2(nodes.count() + 1)) + 1
     steps = []
     while len(steps) <= most and not up.isEmpty():
         steps.append(up)
-        far = up.select("tree", F.col("id").alias("anc"), F.col("anc").alias("next"))
-        up = written(up.join(far, ["tree", "anc"]).select("tree", "id", F.col("next").alias("anc")), "steps")
-    paths = nodes.join(parents, ["tree", "id"], "left_anti")
+        far = up.select("tree", F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("passed").alias("more"))
+        up = written(up.join(far, ["tree", "anc"]).select(
+            "tree", "id", F.col("next").alias("anc"), (F.col("passed") + F.col("more")).alias("passed")), "steps")
+    leaves = nodes.join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id")
     if len(steps) > most:  # more steps than messages: on or below a cycle
-        paths = paths.join(steps.pop(), ["tree", "id"], "left_anti")
-    paths = paths.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("up"))
+        leaves = leaves.join(steps.pop(), ["tree", "id"], "left_anti")
+    leaves = leaves.select("*", F.lit(0.0).alias("total"), F.lit(1).cast("bigint").alias("n"))
+    for k in reversed(range(len(steps))):
+        on = F.col("anc").isNotNull()
+        leaves = leaves.join(steps[k], ["tree", "id"], "left").select(
+            "tree", "leaf", F.coalesce("anc", "id").alias("id"),
+            (F.col("total") + F.coalesce("passed", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.when(on, F.lit(1 << k)).otherwise(0)).alias("n"))
+        leaves = written(leaves, "leaves")
+    leaves = leaves.join(nodes.select("tree", "id", F.col("score").alias("top")), ["tree", "id"])
+    return steps, leaves.select("tree", "leaf", ((F.col("total") + F.col("top")) / F.col("n")).alias("score"))
+
+
+def leaf_paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, id, up): every message of the path of each of ``leaves``, ``up`` steps above its leaf."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("up"))
     for k in reversed(range(len(steps))):
         above = paths.join(steps[k], ["tree", "id"]).select(
             "tree", "leaf", F.col("anc").alias("id"), (F.col("up") + (1 << k)).alias("up"))
@@ -83,8 +101,7 @@ def format_conversations(messages: DataFrame, *, tree_col: str = "conv_id", id_c
     m = m.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score", "tree_value")).alias("m")).select(
         "tree", "id", "m.*")
     m = written(m, "messages")
-    paths = leaf_paths(m.select("tree", "id", "parent"))
-    ranked = paths.join(m.select("tree", "id", "score"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    steps, ranked = climb(m.select("tree", "id", "parent", "score"))
     if top == 1:
         ranked = ranked.groupBy("tree").agg(F.min(F.struct((-F.col("score")).alias("low"), "leaf")).alias("b")).select(
             "tree", F.col("b.leaf").alias("leaf"), (-F.col("b.low")).alias("path_score"), F.lit(1).alias("rank"))
@@ -92,6 +109,8 @@ def format_conversations(messages: DataFrame, *, tree_col: str = "conv_id", id_c
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
         ranked = ranked.select("tree", "leaf", F.col("score").alias("path_score"), rank.alias("rank"))
         ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    ranked = written(ranked, "chosen")
+    paths = leaf_paths(ranked, steps)
     turns = (paths.join(ranked, ["tree", "leaf"]).join(m.drop("parent", "score"), ["tree", "id"])
              .select("tree", "tree_value", "leaf", "rank", "path_score", "up", "role",
                      F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body")))

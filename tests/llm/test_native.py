@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from moldwatch.llm import chat, decontam, licences, quality
 from moldwatch.llm.queries import QUERIES
+from moldwatch.llm.store import written
 from tests.conftest import SF_SMALL
 from tests.llm import helpers
 from tests.llm.conftest import PROSE
@@ -124,6 +125,45 @@ def test_a_deep_thread(spark):
     assert [t["text"] for t in r["t"]] == [f"t{i}" for i in range(1000)]
 
 
+def test_only_chosen_branches_of_a_comb_are_written(spark, monkeypatch):
+    """A thread of 300 messages with a leaf below each: 45,450 messages on all paths, 301 on the best one."""
+    rows = [(1, i, i - 1 if i else None, "user", f"m{i}", 0.5) for i in range(300)]
+    rows += [(1, 1000 + i, i, "assistant", f"a{i}", 5.0 if i == 299 else i / 1000) for i in range(300)]
+    counts = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(chat, "written", counted)
+    best = chat.format_conversations(tree(spark, rows)).select("leaf", "score", "n_turns").first()
+    assert (best["leaf"], best["n_turns"]) == ("=1299", 301)
+    assert abs(best["score"] - (300 * 0.5 + 5.0) / 301) < 1e-12
+    assert counts["paths"] < 2000
+
+
+def test_path_scores_against_a_walk(spark):
+    rng = random.Random(5)
+    rows = [(t, i, rng.randrange(i) if i and rng.random() < .9 else None, "user", "x", rng.choice([None, rng.random()]))
+            for t in range(3) for i in range(60)]
+    found = chat.format_conversations(tree(spark, rows), top=None).select("conv_id", "leaf", "rank", "score", "n_turns").collect()
+    expected = {}
+    for t in range(3):
+        own = {i: (parent, score or 0.0) for k, i, parent, _, _, score in rows if k == t}
+        for leaf in set(own) - {parent for parent, _ in own.values()}:
+            scores, at = [], leaf
+            while at is not None:
+                scores.append(own[at][1])
+                at = own[at][0]
+            expected[t, f"={leaf}"] = (sum(scores) / len(scores), len(scores))
+    assert {(r["conv_id"], r["leaf"]): (round(r["score"], 9), r["n_turns"]) for r in found} == {
+        k: (round(s, 9), n) for k, (s, n) in expected.items()}
+    for t in range(3):
+        scores = [r["score"] for r in sorted((r for r in found if r["conv_id"] == t), key=lambda r: r["rank"])]
+        assert scores == sorted(scores, reverse=True)
+
+
 def test_chat_round_trip(spark):
     random.seed(2)
     bits = ["<|im_start|>", "<|im_end|>", "\\", "\\\\", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\n", " ", "é", "😀",
