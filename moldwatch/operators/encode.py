@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moldwatch.functions import tool_from_definition
 from moldwatch.operators.limits import config_dim
+from moldwatch.session import materialize
 
 
 def first_non_null(df: DataFrame, keys, ts: str, column: str, out: str) -> DataFrame:
@@ -43,12 +44,18 @@ def machine_context(df: DataFrame, keys=("machine_id",), ts: str = "timestamp",
 
 
 def fit_label_encoding(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct values -> 0..n-1 (E1).  The distinct set is an
-    aggregate; the dense rank runs over distinct values only."""
+    """Sorted distinct values -> 0..n-1 (E1).  The distinct values are dealt into ranges in
+    sorted order and written once; a value's code is its rank in its range plus the number of
+    values in the ranges before, so only the counts (one row a range) meet in one task."""
     d = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull()) \
         .distinct()
-    return d.select(F.lit(column).alias("column"), "value",
-                    (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    d = materialize(d.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+    return d.join(offsets, "_range").select(
+        F.lit(column).alias("column"), "value", (F.col("_offset") + rank).cast("int").alias("code"))
 
 
 def apply_encoding(df: DataFrame, encodings: DataFrame, column: str, out: str | None = None,

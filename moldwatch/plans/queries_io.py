@@ -14,7 +14,7 @@ from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql, history_cte
 from moldwatch.sources import files as S
 from moldwatch.sources import history as H
-from moldwatch.sources.tables import production_log_raw, telemetry_raw
+from moldwatch.sources.tables import production_log_raw, read_table, telemetry_raw
 from moldwatch.streaming.live import scratch_dir
 
 
@@ -38,6 +38,30 @@ def q_csv_scan(spark, sf):
     return c.select("event_id", "machine_id", _ntz(), "variable_name", F.round("value", 9).alias("value"))
 
 
+# --- A17: coverage of CSV files whose columns differ from file to file -------
+@register("source_coverage_files", fixture_sql("""
+SELECT machine_id, CASE WHEN machine_id IN ('M100', 'M101') THEN 3 ELSE 4 END AS n_columns,
+       CASE WHEN machine_id IN ('M100', 'M101') THEN 'value,event_id,Sample Time'
+            ELSE 'timestamp,variable_name,value,event_id' END AS columns,
+       min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows
+FROM (SELECT 'M' || CAST(100 + user_id % 5 AS VARCHAR(10)) AS machine_id, ts FROM events) e GROUP BY 1"""))
+def q_source_coverage_files(spark, sf):
+    path = scratch_dir(spark, "csv-coverage")
+    machine = F.concat(F.lit("M"), (F.lit(100) + F.col("user_id") % 5).cast("string"))
+    rows = read_table(spark, sf, "events").select(
+        machine.alias("machine_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.col("event_type").alias("variable_name"), "value", "event_id")
+    old = F.col("machine_id").isin("M100", "M101")
+    S.write_per_machine_csv(rows.where(~old), f"{path}/new")
+    S.write_per_machine_csv(rows.where(old).select("machine_id", "value", "event_id", F.col("timestamp").alias("Sample Time")),
+                            f"{path}/old")
+    files = S.csv_file_coverage(spark, path)
+    c = files.groupBy(F.substring_index("source_file", "-", 1).alias("machine_id"), "n_columns",
+                      F.array_join("columns", ",").alias("columns")).agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("rows").alias("rows"))
+    return c.select("machine_id", "n_columns", "columns", _ntz("first_ts"), _ntz("last_ts"), "rows")
+
+
 # --- S3: production-log export with padded headers and a lock file ---------
 @register("production_log_scan", fixture_sql("""
 SELECT machine_event_record_id, machine_id, machine_event_create_date, machine_event_create_time,

@@ -89,6 +89,16 @@ def q_buffer_status(spark, sf):
     return L.buffer_status(live_status(spark, sf))
 
 
+@register("live_state_buffer", fixture_sql("""
+SELECT machine_id, CAST(count(DISTINCT variable_name) AS INT) AS buffer_size,
+       string_agg(DISTINCT variable_name, ',' ORDER BY variable_name) AS sensors FROM clean GROUP BY 1"""))
+def q_state_buffer(spark, sf):
+    base = L.scratch_dir(spark, "live-state")
+    L.replay(spark, readings(spark, sf), L.live_status_stream, "live-state", base=base)
+    b = L.state_buffer(spark, f"{base}/ckpt")
+    return b.select("machine_id", "buffer_size", F.array_join("sensors", ",").alias("sensors"))
+
+
 # --- L3: live scoring with the raw-sensor model ----------------------------------
 def raw_sensor_model(spark, sf):
     from moldwatch.plans.training import raw_sensor_model as m

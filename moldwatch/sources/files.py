@@ -6,10 +6,11 @@ code works on shared cluster storage.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moldwatch.functions import utc_timestamp
 from moldwatch.session import ensure_utc
 
 RAW_TELEMETRY_SCHEMA = T.StructType([
@@ -45,6 +46,42 @@ def read_telemetry_csv(spark: SparkSession, path: str, schema: T.StructType = RA
     return df.select("*", F.upper(F.split(stem, "-").getItem(0)).alias("machine_id"))
 
 
+_CSV_CELL = r',("(?:[^"\\\\]|\\\\.|"")*"|[^,]*)'
+
+
+def _csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, outer quotes removed, names and values trimmed."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CSV_CELL), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.trim(c), r'^"|"$', "")
+    return F.transform(cells, lambda c: F.trim(F.regexp_replace(bare(c), r'\\"|""', '"')))
+
+
+def csv_file_coverage(spark: SparkSession, path: str, time_part: str = "time", pattern: str = "*.csv") -> DataFrame:
+    """Per CSV file below ``path`` (A17): source_file, first_ts, last_ts, rows, n_columns and columns, from the
+    file's own header, so files of different columns may lie side by side.
+
+    The time column is the first whose name holds ``time_part`` in any case; a file without one has null times, as
+    have times that cannot be parsed.  A header is the first line of its file; blank lines and the
+    header are no rows.  A file without any line has no row here.  Records are lines: a cell holds no line break.
+    Lines are scanned as text by all tasks, files split as usual; the headers (one row a file) are joined to them."""
+    ensure_utc(spark)
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"))
+    heads = (lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "at").alias("head"))
+             .select("file", _csv_cells(F.regexp_replace("head", "^\ufeff", "")).alias("columns")))
+    heads = heads.withColumn("place", F.array_position(
+        F.transform("columns", lambda c: F.contains(F.lower(c), F.lit(time_part.lower()))), True))
+    cell = F.when(F.col("place") > 0, F.get(_csv_cells(F.col("value")), (F.col("place") - 1).cast("int")))
+    x = lines.where(F.trim("value") != "").join(heads.select("file", "place"), "file") \
+        .select("file", utc_timestamp(cell).alias("ts"))
+    found = x.groupBy("file").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                                  (F.count(F.lit(1)) - 1).alias("rows"))
+    return found.join(heads, "file").select(
+        F.regexp_extract("file", r"([^/]+)$", 1).alias("source_file"), "first_ts", "last_ts", "rows",
+        F.size("columns").alias("n_columns"), "columns")
+
+
 def read_production_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Production-log export (S3; Excel itself is not read): header names
     trimmed, office lock files ('~$*') skipped."""

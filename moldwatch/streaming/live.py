@@ -155,7 +155,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 DRAIN_ROWS = 2_000_000
 
 
-def replay(spark: SparkSession, readings: DataFrame, stream_fn, name: str, flush: str | None = None) -> DataFrame:
+def replay(spark: SparkSession, readings: DataFrame, stream_fn, name: str, flush: str | None = None,
+           base: str | None = None) -> DataFrame:
     """Replay a batch of readings through a streaming operator (file source, parquet sink,
     all in the shared checkpoint folder).
 
@@ -164,8 +165,9 @@ def replay(spark: SparkSession, readings: DataFrame, stream_fn, name: str, flush
     trigger from the same checkpoint.  So they arrive in time order whatever the
     storage does with file times, and a micro-batch holds one range.  ``flush``: an
     interval; a last heartbeat reading that much later closes the event-time
-    windows before it (it is not in the result itself)."""
-    base = scratch_dir(spark, name)
+    windows before it (it is not in the result itself).  ``base``: the folder, else a
+    new one; the stream's checkpoint is its ``ckpt``."""
+    base = base or scratch_dir(spark, name)
     columns = READING_SCHEMA.fieldNames()
     stats = readings.agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last")).first()
     ranges = max(1, -(-stats["n"] // DRAIN_ROWS))
@@ -201,6 +203,17 @@ def live_status_replay(spark: SparkSession, readings: DataFrame) -> DataFrame:
     return replay(spark, readings, live_status_stream, "live-replay")
 
 
+def state_buffer(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Buffer per machine read from the checkpointed state of the live-state stream (L5): machine_id,
+    buffer_size, sensors (sorted), has_previous.  It is what the next batch will start from; the
+    stream may run or be at rest, and none of its output is read."""
+    state = spark.read.format("statestore").load(checkpoint)
+    s = F.col("value.groupState")
+    return state.select(F.col("key.machine_id").alias("machine_id"), F.size(s["keys"]).alias("buffer_size"),
+                        F.sort_array(s["keys"]).alias("sensors"), s["has_prev"].alias("has_previous")) \
+        .where(F.col("machine_id") != HEARTBEAT)
+
+
 def buffer_status(status_rows: DataFrame) -> DataFrame:
     """Buffer size per machine after its last reading."""
     return status_rows.groupBy("machine_id").agg(

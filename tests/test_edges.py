@@ -346,3 +346,58 @@ def test_live_rolling_cap_binds(spark):
             assert r["s__max_x"] == max(v) and r["s__last_x"] == v[-1]
         else:
             assert r["s__mean_x"] is None
+
+
+# --- A17: files of different columns ------------------------------------------
+
+def test_csv_coverage_of_files_with_different_columns(spark, tmp_path):
+    from moldwatch.sources.files import csv_file_coverage
+    files = {
+        "M1-a.csv": 'timestamp,value,variable_name\n2024-01-02T00:00:00Z,1,x\n\n2024-01-01T00:00:00Z,2,"a,b"\n',
+        "M1-b.csv": '"Value, raw","Sample ""UTC"" Time",id\n"1,5",2024-03-01 10:00:00,7\n"2,5",bad,8\n',
+        "M2-a.csv": "a,b\n1,2\n3,4\n5,6\n",
+        "M2-b.csv": "\ufeffTime,b\n",
+        "M3-a.csv": "x,time\n1\n",
+        "M4-a.csv": "",
+        "skipped.txt": "time\n2024-01-01\n"}
+    (tmp_path / "deep").mkdir()
+    for i, (name, text) in enumerate(files.items()):
+        (tmp_path / ("deep" if i % 2 else ".") / name).write_text(text, encoding="utf-8")
+    found = {r["source_file"]: (str(r["first_ts"]), str(r["last_ts"]), r["rows"], r["n_columns"], r["columns"])
+             for r in csv_file_coverage(spark, str(tmp_path)).collect()}
+    assert found == {
+        "M1-a.csv": ("2024-01-01 00:00:00", "2024-01-02 00:00:00", 2, 3, ["timestamp", "value", "variable_name"]),
+        "M1-b.csv": ("2024-03-01 10:00:00", "2024-03-01 10:00:00", 2, 3, ["Value, raw", 'Sample "UTC" Time', "id"]),
+        "M2-a.csv": ("None", "None", 3, 2, ["a", "b"]),
+        "M2-b.csv": ("None", "None", 0, 2, ["Time", "b"]),
+        "M3-a.csv": ("None", "None", 1, 2, ["x", "time"])}
+
+
+def test_csv_coverage_of_a_file_in_many_splits(spark, tmp_path):
+    from moldwatch.sources.files import csv_file_coverage
+    rows = [f"{i},2024-01-01T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z" for i in range(5000)]
+    (tmp_path / "M1-a.csv").write_text("\n".join(["id,time", *rows]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        c = csv_file_coverage(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["rows"], r["columns"], str(r["first_ts"]), str(r["last_ts"])) for r in c] == [
+        (5000, ["id", "time"], "2024-01-01 00:00:00", "2024-01-01 01:23:19")]
+
+
+# --- E1: codes from ranges ----------------------------------------------------
+
+def test_label_codes_over_many_ranges(spark):
+    from moldwatch.operators.encode import fit_label_encoding
+    values = [f"common prefix {i:05d}" for i in range(2000)] + ["", "é", "Z", "a", "😀"]
+    df = spark.createDataFrame([(v,) for v in values * 2] + [(None,)], "part string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["value"]: r["code"] for r in fit_label_encoding(df, "part").collect()}
+        assert fit_label_encoding(df.where("part is null"), "part").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert found == {v: i for i, v in enumerate(sorted(set(values), key=lambda v: v.encode()))}

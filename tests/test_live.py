@@ -87,3 +87,22 @@ def test_ranges_are_replayed_in_time_order(spark, monkeypatch):
     a = sorted(map(tuple, L.live_status_replay(spark, r).select("seq", "status", "sensors_buffered").collect()))
     b = sorted(map(tuple, L.live_status_twin(r).select("seq", "status", "sensors_buffered").collect()))
     assert a == b and len(a) == 30
+
+
+def test_buffer_read_from_the_checkpointed_state(spark):
+    """After each batch the state holds what the stream's own rows say, and a later batch goes on from it."""
+    rows = [("M1", "a", 1.0, 1), ("M1", "b", 2.0, 2), ("M2", "a", 3.0, 3), ("M1", "a", 4.0, 4), ("M1", "c", 5.0, 5),
+            ("M2", "__clear__", None, 6)]
+    base = L.scratch_dir(spark, "state-test")
+    for part, expected in ((rows[:3], {"M1": ["a", "b"], "M2": ["a"]}), (rows[3:5], {"M1": ["a", "b", "c"], "M2": ["a"]}),
+                           (rows[5:], {"M1": ["a", "b", "c"], "M2": []})):
+        df = spark.createDataFrame([(m, v, x, T0 + dt.timedelta(seconds=s), s) for m, v, x, s in part], L.READING_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(L.READING_SCHEMA).parquet(f"{base}/in")
+        q = (L.live_status_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        state = {r["machine_id"]: (r["buffer_size"], r["sensors"]) for r in L.state_buffer(spark, f"{base}/ckpt").collect()}
+        assert state == {m: (len(v), v) for m, v in expected.items()}
+        own = {r["machine_id"]: r["buffer_size"] for r in L.buffer_status(spark.read.parquet(f"{base}/out")).collect()}
+        assert own == {m: len(v) for m, v in expected.items()}
