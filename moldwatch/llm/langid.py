@@ -6,8 +6,8 @@ decides however long it is; the language whose dictionary gives the fewest bytes
 total wins.  If the runner-up needs hardly more, the text is rejected.
 
 The dictionaries are fitted on a bounded, documented sample: per language the training texts
-with the smallest digests of ``SHARDS`` shards, ``PIECE`` characters each, so at most
-SHARDS * PIECE characters a language reach the driver.  All texts are classified whole,
+with the smallest digests of ``SHARDS`` shards, ``PIECE`` characters of each from a place that
+its digest chooses, so at most SHARDS * PIECE characters a language reach the driver.  All texts are classified whole,
 in one scan without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und``, score 0, rejected; so is
@@ -44,9 +44,12 @@ def fold(id_col: Column, folds: int) -> Column:
 
 def fit_dictionaries(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", shards: int = SHARDS,
                      piece: int = PIECE) -> dict[str, bytes]:
-    """Language -> raw dictionary content."""
+    """Language -> raw dictionary content.  A text's piece begins at a place that its digest chooses, anywhere
+    from its beginning to ``piece`` characters before its end."""
     t = train.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.substring(letters(F.col(text_col)), 1, piece).alias("piece"))
+        F.col(lang_col).alias("lang"), letters(F.col(text_col)).alias("whole"))
+    places = F.greatest(F.char_length("whole") - piece + 1, F.lit(1))
+    t = t.select("lang", F.substring("whole", 1 + F.pmod(F.xxhash64("whole"), places), F.lit(piece)).alias("piece"))
     t = t.select("lang", "piece", F.xxhash64("piece").alias("digest"))
     rows = (t.groupBy("lang", F.pmod("digest", F.lit(shards)).alias("shard"))
             .agg(F.min(F.struct("digest", "piece")).alias("m")).select("lang", "shard", "m.piece").collect())

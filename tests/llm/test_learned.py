@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from moldwatch.llm import attention, langid, lm, near_dup, packing, tokens, toxicity
@@ -132,6 +134,38 @@ def test_language_odd_input(spark, odd_docs, no_docs):
     assert all(len(v.decode()) <= langid.SHARDS * (langid.PIECE + 1) for v in learned.values())
 
 
+def test_training_pieces_start_anywhere(spark):
+    words = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    texts = [" ".join(random.Random(k).sample(words, 3000)) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id int, text string, lang string")
+    pieces = langid.fit_dictionaries(docs, piece=100)["x"].decode().split("\n")
+    starts = [[t.find(p) for t in texts if p in t] for p in pieces]
+    assert all(len(p) == 100 and len(found) == 1 for p, found in zip(pieces, starts))
+    assert sum(found[0] > 6000 for found in starts) > len(starts) / 8 and sum(found[0] < 6000 for found in starts) > len(starts) / 8
+
+
+def test_languages_against_plain_compression(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    learned = langid.fit_dictionaries(docs.filter(langid.fold(F.col("doc_id"), 4) != 2))
+    tools = {}
+    for lang, content in learned.items():
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            6, dict_size=len(content), source_size=2048, write_content_size=False, write_checksum=False, write_dict_id=False)
+        tools[lang] = zstandard.ZstdCompressor(compression_params=settings, dict_data=raw)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.predict(docs, learned).collect():
+        text = texts[r["doc_id"]]
+        if not regex.search(r"\p{L}", text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        data = regex.sub(r"[^\p{L}]+", " ", text.lower()).encode()
+        sizes = {lang: sum(len(tool.compress(data[i:i + 2048])) for i in range(0, len(data), 2048)) for lang, tool in tools.items()}
+        first, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert r["lang_pred"] == first[1]
+        assert r["rejected"] == ((second[0] - first[0]) / first[0] < langid.MARGIN)
+
+
 def test_compression_prefers_its_language():
     tools = langid.Compressors({"a": b"ababab cabacab " * 50, "b": b"xyxyxy zxyzzxy " * 50})
     assert tools.decide("cabacab ababab")[0] == "a" and tools.decide("zxyzzxy " * 3000)[0] == "b"
