@@ -11,6 +11,7 @@ from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql
 from moldwatch.plans.queries_join import _wide_sql, wide
 from moldwatch.streaming import live as L
+from moldwatch.streaming import sensor_window as W
 
 SENSORS = config.FIXTURE_SENSORS
 LIVE_WINDOW_S = 6 * 3600  # fixture scale of the 5 min live window
@@ -152,6 +153,23 @@ def q_live_rolling(spark, sf):
                       *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max", "last")])
 
 
+# --- L4 with state bounded in time: frames per (machine, sensor) -----------------
+@register("live_sensor_windows", fixture_sql("""
+SELECT a.machine_id, a.variable_name AS sensor, a.event_id AS seq, a.timestamp, count(*) AS n,
+       round(avg(b.value), 9) AS mean, round(coalesce(stddev_samp(b.value), 0.0E0), 9) AS std,
+       round(min(b.value), 9) AS min, round(max(b.value), 9) AS max
+FROM clean a JOIN clean b ON b.machine_id = a.machine_id AND b.variable_name = a.variable_name
+  AND b.timestamp >= a.timestamp - INTERVAL 6 HOUR
+  AND (b.timestamp < a.timestamp OR (b.timestamp = a.timestamp AND b.event_id <= a.event_id))
+WHERE a.value IS NOT NULL AND b.value IS NOT NULL
+GROUP BY a.machine_id, a.variable_name, a.event_id, a.timestamp"""))
+def q_sensor_windows(spark, sf):
+    with W.rocksdb_state(spark):
+        out = L.replay(spark, readings(spark, sf), lambda s: W.sensor_windows(s, LIVE_WINDOW_S), "live-sensor-windows")
+    return out.select("machine_id", "sensor", "seq", _ntz(), "n",
+                      *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
+
+
 # --- L7: event-time windows with a watermark -----------------------------------
 @register("live_windows", fixture_sql("""
 SELECT machine_id, variable_name, window_start, window_start + INTERVAL 6 HOUR AS window_end,
