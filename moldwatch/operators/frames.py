@@ -31,12 +31,14 @@ STAT_COLUMNS = ("n", "mean", "std", "min", "max", "last")
 class Frame:
     """Rows of a frame ending at the current row: the last ``rows`` rows, or those
     less than ``us`` microseconds back (``closed``: or just as many).  With both, the
-    time frame where it holds at most ``rows`` rows, else the row frame."""
+    time frame where it holds at most ``rows`` rows, else the row frame.  A time frame
+    holds all rows of the current time; with ``to_own`` it ends at the current row."""
 
     name: str
     us: int | None = None
     rows: int | None = None
     closed: bool = False
+    to_own: bool = False
 
 
 def bounds(t: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def bounds(t: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray]:
     if frame.us is None:
         return np.maximum(at - frame.rows + 1, 0), at + 1
     lo = np.searchsorted(t, t - frame.us, "left" if frame.closed else "right")
-    hi = np.searchsorted(t, t, "right")
+    hi = at + 1 if frame.to_own else np.searchsorted(t, t, "right")
     if frame.rows is not None:
         over = hi - lo > frame.rows
         lo, hi = np.where(over, at - frame.rows + 1, lo), np.where(over, at + 1, hi)
@@ -103,11 +105,13 @@ def slopes(y: np.ndarray, rows: int) -> np.ndarray:
         return np.where(count >= 2, up / down, np.nan)
 
 
-def framed(x: DataFrame, part, order: str, values, frames: list[Frame], keep, slope_rows: int | None = None) -> DataFrame:
+def framed(x: DataFrame, part, order: str, values, frames: list[Frame], keep, slope_rows: int | None = None,
+           tie: str | None = None) -> DataFrame:
     """The own rows (``_own``) of every group of ``part``: the columns ``keep`` and, for every
     value and frame, ``{value}__{stat}_{frame}`` for the STAT_COLUMNS, n counting the
     values and last being the newest value in the frame, and frame_rows_{frame}; with ``slope_rows``
-    also ``{value}__slope``.  ``order``: an integer column (microseconds or row numbers)."""
+    also ``{value}__slope``.  ``order``: an integer column (microseconds or row numbers);
+    ``tie``: another one, for rows equal in it."""
     values, keep = list(values), list(keep)
     fields = [x.schema[c] for c in keep]
     fields += [T.StructField(f"frame_rows_{f.name}", T.LongType()) for f in frames]
@@ -121,7 +125,7 @@ def framed(x: DataFrame, part, order: str, values, frames: list[Frame], keep, sl
 
     def fn(table: pa.Table) -> pa.Table:
         t = table[order].to_numpy()
-        by = np.argsort(t, kind="stable")
+        by = np.argsort(t, kind="stable") if tie is None else np.lexsort((table[tie].to_numpy(), t))
         t = t[by]
         own = np.flatnonzero(table["_own"].to_numpy(zero_copy_only=False)[by])
         v = np.column_stack([table[c].to_numpy().astype(np.float64)[by] for c in values])

@@ -174,6 +174,32 @@ def rolling_live(wide: DataFrame, sensors, window_s: int, keys=("machine_id",),
     return x.select(*keys, ts, *out)
 
 
+def rolling_buffered(readings: DataFrame, sensors, window_s: int, cap: int, min_rows: int = 3,
+                     chunk_rows: int | None = None) -> DataFrame:
+    """L4 over a batch of readings (machine_id, variable_name, value, timestamp, seq), as
+    ``streaming.live.live_rolling_stream`` gives them one by one: the buffer is the machine's last ``cap``
+    readings in (timestamp, seq) order, of any sensor.  Per reading with at least ``min_rows`` buffered and per sensor of ``sensors``
+    in the buffer: statistics of its values with t >= now - window; without any, its last
+    buffered value with std 0.  Readings without machine or time are left out; a null value
+    holds a place in the buffer.  Row-halo chunks, so a machine is as many groups as it has
+    chunks, and each holds at most ``cap`` rows more than its own."""
+    values = {f"_s{i}": s for i, s in enumerate(sensors)}
+    x = readings.where(F.col("machine_id").isNotNull() & F.col("timestamp").isNotNull()).select(
+        "machine_id", "seq", "timestamp",
+        *[F.when(F.col("variable_name") == s, F.col("value")).alias(c) for c, s in values.items()])
+    x = row_chunked(x, ["machine_id"], "timestamp", behind_rows=cap, chunk_rows=chunk_rows or max(4 * cap, 4000), tie="seq")
+    x = x.withColumn("_t", F.unix_micros("timestamp"))
+    frames = [Frame("w", us=window_s * 1_000_000, rows=cap, closed=True, to_own=True), Frame("buf", rows=cap)]
+    x = framed(x, ["machine_id", "_chunk"], "_t", list(values), frames, ["machine_id", "seq", "timestamp"], tie="_idx")
+    each = F.explode(F.array(*[F.struct(
+        F.lit(s).alias("sensor"), *[F.coalesce(f"{c}__{k}_w", f"{c}__last_buf").alias(k) for k in ("mean", "min", "max")],
+        F.coalesce(F.col(f"{c}__std_w"), F.lit(0.0)).alias("std"), F.col(f"{c}__last_buf").alias("last"))
+        for c, s in values.items()]))
+    return (x.where(F.col("frame_rows_buf") >= min_rows).select("machine_id", "seq", "timestamp", each.alias("_f"))
+            .where(F.col("_f.last").isNotNull())
+            .select("machine_id", "seq", "timestamp", *[F.col(f"_f.{k}").alias(k) for k in ("sensor", "mean", "std", "min", "max", "last")]))
+
+
 def lag_features(wide: DataFrame, sensors, k: int, keys=("machine_id",), ts: str = "timestamp",
                  target_lead: bool = True, drop_nulls: bool = True, chunk_rows: int = 4000
                  ) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moldwatch import config
+from moldwatch.operators.rolling import rolling_buffered
 from moldwatch.plans import fixtures as fx
 from moldwatch.plans.catalog import register
 from moldwatch.plans.oracle import fixture_sql
@@ -138,14 +139,17 @@ FROM clean""")
     return "\nUNION ALL".join(parts)
 
 
-@register("live_rolling", fixture_sql(f"""
+LIVE_ROLLING_SQL = fixture_sql(f"""
 SELECT machine_id, seq, timestamp, sensor,
   round(CASE WHEN n_w > 0 THEN mean_w ELSE fallback END, 9) AS mean,
   round(CASE WHEN n_w > 1 THEN std_w ELSE 0.0E0 END, 9) AS std,
   round(CASE WHEN n_w > 0 THEN min_w ELSE fallback END, 9) AS min,
   round(CASE WHEN n_w > 0 THEN max_w ELSE fallback END, 9) AS max,
   round(CASE WHEN n_w > 0 THEN last_w ELSE fallback END, 9) AS last
-FROM ({_l4_sql()}) t WHERE n_rows >= 3 AND n_buf > 0"""))
+FROM ({_l4_sql()}) t WHERE n_rows >= 3 AND n_buf > 0""")
+
+
+@register("live_rolling", LIVE_ROLLING_SQL)
 def q_live_rolling(spark, sf):
     out = L.replay(spark, readings(spark, sf),
                    lambda s: L.live_rolling_stream(s, window_s=LIVE_WINDOW_S, cap=1000), "live-rolling")
@@ -153,6 +157,13 @@ def q_live_rolling(spark, sf):
                       *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max", "last")])
 
 
+@register("rolling_buffered", LIVE_ROLLING_SQL)
+def q_rolling_buffered(spark, sf):
+    out = rolling_buffered(readings(spark, sf), SENSORS, LIVE_WINDOW_S, cap=1000)
+    return out.select("machine_id", "seq", _ntz(), "sensor",
+                      *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max", "last")])
+
+
 # --- L4 with state bounded in time: frames per (machine, sensor) -----------------
 @register("live_sensor_windows", fixture_sql("""
 SELECT a.machine_id, a.variable_name AS sensor, a.event_id AS seq, a.timestamp, count(*) AS n,

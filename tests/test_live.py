@@ -62,6 +62,21 @@ def test_results_do_not_depend_on_the_arrow_batch(spark, batch):
     assert rolled == sorted(map(str, _plain_rolling(rows, 60, 40)))
 
 
+@pytest.mark.parametrize("chunk", [50, 100000])
+def test_buffered_frames_in_chunks_equal_one_reading_at_a_time(spark, chunk):
+    from moldwatch.operators.rolling import rolling_buffered
+    rng = random.Random(4)
+    sensors = ["Cushion", "Cycle_time", "Tmp"]
+    rows = [(f"M{rng.randint(0, 1)}", rng.choice(sensors), float(rng.randint(0, 3)),
+             T0 + dt.timedelta(seconds=rng.randint(0, 200)), i) for i in range(400)]
+    odd = [(None, "Tmp", 1.0, T0, 900), ("M0", "Tmp", 1.0, None, 901)]
+    r = spark.createDataFrame(rows + odd, L.READING_SCHEMA).repartition(5)
+    got = rolling_buffered(r, sensors, 60, cap=40, chunk_rows=chunk).withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+    expected = _plain_rolling(rows, 60, 40)
+    assert sorted(map(str, got.select(*expected[0].__fields__).collect())) == sorted(map(str, expected))
+    assert rolling_buffered(r.limit(0), sensors, 60, cap=40).count() == 0
+
+
 def _plain_rolling(rows, window_s, cap, min_rows=3):
     """Buffered rolling features, one reading at a time."""
     out = []
