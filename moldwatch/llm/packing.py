@@ -16,11 +16,18 @@ and only then expanded, so a repeated or null id is no larger group than any oth
 Defined results: null and negative lengths count as zero; a row of zero tokens has one
 piece without bucket or batch; repeated rows are packed each; an empty table gives no rows.
 Other columns are ignored.
+
+``pack_texts`` packs content: the same placing over texts by their digests, each distinct text
+tokenised once, with every piece's tokens in the result; ``batches`` puts a batch's
+pieces together in one row, which the token budget bounds.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moldwatch.llm.store import written
@@ -107,6 +114,46 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.size(token_array(F.col(text_col))).cast("bigint").alias("n_tokens"))
 
 
+def subword_ids(tokenizer_path: str) -> Callable[[Column], Column]:
+    """Token ids of a text by the tokenizer in a ``.model`` file, for ``pack_texts``."""
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sentencepiece
+        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path)
+        for t in texts:
+            yield t.map(lambda x: model.encode(x, num_threads=1))
+
+    return F.pandas_udf(encode, "array<int>")
+
+
+def pack_texts(docs: DataFrame, *, text_col: str = "text", tokens: Callable[[Column], Column] = token_array,
+               max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """One row per piece of every text: bucket_len, batch, slot, digest (of the text), piece, n_tokens, tokens.
+
+    Each distinct text is tokenised once; copies are placed each, as ``pack`` places them. Texts
+    without tokens (null is the empty text) have no rows; other columns are ignored."""
+    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("text", F.sha2("text", 256).alias("digest"))
+    distinct = d.groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = written(distinct.select("digest", tokens(F.col("text")).alias("tokens")), "packed_texts")
+    n = F.size("tokens").cast("bigint")
+    items = d.select("digest").join(distinct.select("digest", n.alias("n_tokens")), "digest")
+    placed = pack(items, id_col="digest", max_len=max_len, n_buckets=n_buckets, batch_tokens=batch_tokens)
+    last = F.ceil(n / max_len).cast("bigint") - 1
+    pieces = distinct.filter(n > 0).select("digest", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    at = (F.col("piece") * max_len + 1).cast("int")
+    pieces = pieces.select("digest", "piece", F.slice("tokens", at, F.lit(max_len)).alias("tokens"))
+    return placed.join(pieces, ["digest", "piece"]).select("bucket_len", "batch", "slot", "digest", "piece", "n_tokens", "tokens")
+
+
+def batches(packed: DataFrame) -> DataFrame:
+    """One row per batch of ``pack_texts``: bucket_len, batch, n_rows, n_tokens, n_padding and rows, the pieces'
+    (slot, digest, piece, tokens) by slot.  The token budget bounds a group."""
+    rows = F.sort_array(F.collect_list(F.struct("slot", "digest", "piece", "tokens")))
+    b = packed.groupBy("bucket_len", "batch").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), rows.alias("rows"))
+    return b.select("bucket_len", "batch", "n_rows", "n_tokens",
+                    (F.col("n_rows") * F.col("bucket_len") - F.col("n_tokens")).alias("n_padding"), "rows")
+
+
 def op1_packing(spark, sf_dir):
     """All ``documents`` by their number of words, packed with the production parameters."""
     return pack(word_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))

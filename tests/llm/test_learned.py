@@ -1,4 +1,5 @@
 """Operators 1, 2, 4, 6, 7 and 10 against plain versions, on odd input and held-out rows."""
+import hashlib
 import itertools
 import math
 import random
@@ -78,6 +79,40 @@ def test_packing_ranks_copies_as_one(spark, monkeypatch):
     assert "Window [sum(copies" in plan and "row_number" not in plan  # the window sees a row per distinct piece
 
 
+def _packed_whole(packed, texts, tokens_of, max_len, batch_tokens):
+    """The pieces of every text, copies included, stand once in the batches and put together give its tokens."""
+    by_digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+    expected = Counter()
+    for t in texts:
+        own = tokens_of(t)
+        expected.update((t, i // max_len, tuple(own[i:i + max_len])) for i in range(0, len(own), max_len))
+    rows = packing.batches(packed).collect()
+    got = Counter((by_digest[r["digest"]], r["piece"], tuple(r["tokens"])) for b in rows for r in b["rows"])
+    assert got == expected
+    for b in rows:
+        lengths = [len(r["tokens"]) for r in b["rows"]]
+        assert [r["slot"] for r in b["rows"]] == list(range(b["n_rows"])) and max(lengths) <= b["bucket_len"]
+        assert b["n_rows"] * b["bucket_len"] <= max(batch_tokens, b["bucket_len"])
+        assert b["n_tokens"] == sum(lengths) and b["n_padding"] == sum(b["bucket_len"] - n for n in lengths)
+
+
+def test_packed_content_is_the_texts(spark, odd_docs, odd_rows, no_docs):
+    texts = [r[1] or "" for r in odd_rows] + ["hot copy of a text"] * 200
+    docs = odd_docs.select("text", "id", "piece", "batch").unionByName(
+        spark.createDataFrame([("hot copy of a text",)] * 200, "text string"), allowMissingColumns=True)
+    packed = packing.pack_texts(docs, max_len=50, n_buckets=3, batch_tokens=120)
+    _packed_whole(packed, texts, lambda t: regex.findall(r"[^\x20\x09-\x0D]+", t), 50, 120)
+    assert packing.batches(packing.pack_texts(no_docs)).count() == 0
+
+
+def test_packed_subwords_are_the_library_s(spark, odd_docs, odd_rows):
+    import sentencepiece
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    packed = packing.pack_texts(odd_docs, tokens=packing.subword_ids(path), max_len=64, n_buckets=4, batch_tokens=256)
+    _packed_whole(packed, [r[1] or "" for r in odd_rows], model.encode, 64, 256)
+
+
 # --- token counts
 
 def test_token_counts_and_cache(spark, odd_docs, odd_rows, no_docs):
