@@ -24,7 +24,8 @@ def last_n_per_key(df: DataFrame, keys, ts: str, n: int, bucket_us: int = HOUR_U
     """Rows ranked 1..n from the end of each key (``rank_col`` = 1 is latest).
 
     Exact: buckets are summed from the newest backwards until they hold >= n
-    rows; only rows in those buckets enter the ``row_number`` window.
+    rows; only rows in those buckets enter the ``row_number`` window.  Rows with a null key
+    or time have no place in this order and are left out.
     """
     keys = list(keys)
     b = df.withColumn("_b", _bucket(ts, bucket_us))
@@ -67,7 +68,8 @@ def keyed_row_index(df: DataFrame, keys, ts: str, bucket_us: int = HOUR_US,
 
     Same two-level scheme as ``global_row_index``, per key: per-(key, bucket)
     counts give each bucket's offset; ``row_number`` runs per (key, bucket),
-    so a hot key is spread over as many tasks as it has buckets.
+    so a hot key is spread over as many tasks as it has buckets.  Rows with a null key or
+    time have no place in this order and are left out.
     """
     keys = list(keys)
     b = df.withColumn("_b", _bucket(ts, bucket_us))

@@ -61,15 +61,16 @@ def temporal_split(df: DataFrame, order_cols, train_fraction: float = 0.8, ts: s
     ``order_cols`` order are TRAIN, the rest TEST (F4).
 
     Exact and distributed: rows are counted per hour, whole hours lie before or
-    after the cut, and only the rows of the hour that holds it are ranked.
+    after the cut, and only the rows of the hour that holds it are ranked.  Rows without a
+    time are kept too: they come after all others, as an hour of their own.
     """
     ts = ts or order_cols[0]
     x = df.withColumn("_part", F.date_trunc("hour", F.col(ts).cast("timestamp")))
     counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # one row per hour
     cut = F.floor(counts.agg(F.sum("_c")).scalar() * F.lit(train_fraction))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.select("_part", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), cut.alias("_cut"))
-    x = x.join(parts, "_part")
+    before = Window.orderBy(F.col("_part").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.select(F.col("_part").alias("_hour"), "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), cut.alias("_cut"))
+    x = x.join(parts, F.col("_part").eqNullSafe(F.col("_hour"))).drop("_hour")
     edge = (F.col("_off") < F.col("_cut")) & (F.col("_cut") < F.col("_off") + F.col("_c"))
     w = Window.partitionBy("_part").orderBy(*[F.col(c) for c in order_cols])
     ranked = x.where(edge).withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)

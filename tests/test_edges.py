@@ -99,6 +99,16 @@ def test_asof_across_chunk_border(spark):
     assert asof.asof_label(r, e, label="y").collect()[0].y == 1
 
 
+def test_temporal_split_keeps_rows_without_time(spark):
+    from moldwatch.operators.sampling import temporal_split
+    at = [dt.datetime(2024, 1, 1, h // 3, h) for h in range(12)]
+    for nulls, train in ((3, 12), (20, 25)):  # the cut among the times' last rows, and inside the rows without one
+        rows = [(i, t) for i, t in enumerate(at)] + [(100 + i, None) for i in range(nulls)]
+        got = temporal_split(spark.createDataFrame(rows, "id int, t timestamp"), ["t", "id"], 0.8).collect()
+        assert sorted(r["id"] for r in got) == [i for i, _ in rows]
+        assert sorted(r["id"] for r in got if r["split"] == "TRAIN") == [i for i, _ in rows][:train]
+
+
 def test_null_safe_join_keys(spark):
     a = _df(spark, [(1, None), (2, 1.0)], "k int, v double")
     b = _df(spark, [(None, "x"), (1.0, "y")], "v double, tag string")
