@@ -109,9 +109,19 @@ def _fold(machine_id: str, pdf: pd.DataFrame, state: dict) -> tuple[list, dict]:
 
 
 _EMPTY = {"keys": [], "vals": [], "prev_keys": [], "prev_vals": [], "has_prev": False}
+SLICE_ROWS = 20_000  # readings of a group that are folded, and given out, at a time
 _COLS = [f.name for f in OUTPUT_SCHEMA.fields]
 
 
+def _slices(pdf_iter):
+    """The readings of a group in order, SLICE_ROWS at a time.  A group may come in several Arrow chunks, in
+    any order: all of it is sorted first; the machine's name is not held."""
+    pdf = pd.concat([p[["variable_name", "value", "timestamp", "seq"]] for p in pdf_iter])
+    order = np.lexsort((pdf["seq"].to_numpy(), pdf["timestamp"].to_numpy()))
+    for i in range(0, len(order), SLICE_ROWS):
+        yield pdf.iloc[order[i:i + SLICE_ROWS]]
+
+
 def _stateful(key, pdf_iter, state):
     from pyspark.sql.streaming.state import GroupState  # noqa: F401
     (machine_id,) = key
@@ -120,11 +130,10 @@ def _stateful(key, pdf_iter, state):
         k, v, pk, pv, hp = state.get
         st = {"keys": list(k or []), "vals": list(v or []), "prev_keys": list(pk or []),
               "prev_vals": list(pv or []), "has_prev": bool(hp)}
-    # A group may come in several Arrow chunks, in any order: sort all of it, then fold.
-    rows, st = _fold(machine_id, pd.concat(list(pdf_iter)), st)
-    state.update((st["keys"], st["vals"], st["prev_keys"], st["prev_vals"], st["has_prev"]))
-    if rows:
+    for part in _slices(pdf_iter):
+        rows, st = _fold(machine_id, part, st)
         yield pd.DataFrame(rows, columns=_COLS)
+    state.update((st["keys"], st["vals"], st["prev_keys"], st["prev_vals"], st["has_prev"]))
 
 
 def live_status_stream(readings: DataFrame) -> DataFrame:
@@ -285,7 +294,7 @@ def _roll_fold(machine_id, pdf, st, window_us: int, cap: int, min_rows: int):
     the buffer: stats over its values with ts >= now - window (closed); an
     empty window falls back to the sensor's last buffered value with std 0;
     fewer than ``min_rows`` buffered readings -> no features.  All readings of
-    a micro-batch at once (see ``operators.frames``)."""
+    a slice at once (see ``operators.frames``)."""
     pdf = pdf.sort_values(["timestamp", "seq"], kind="stable")
     old = len(st["ts"])
     ts = np.concatenate([np.array(st["ts"], np.int64), pdf["timestamp"].to_numpy("datetime64[us]").astype(np.int64)])
@@ -324,10 +333,11 @@ def live_rolling_stream(readings: DataFrame, window_s: int, cap: int, min_rows:
         if state.exists:
             a, b, c = state.get
             st = {"ts": list(a or []), "var": list(b or []), "val": list(c or [])}
-        rows, st = _roll_fold(machine_id, pd.concat(list(pdf_iter)), st, window_us, cap, min_rows)
+        for part in _slices(pdf_iter):
+            rows, st = _roll_fold(machine_id, part, st, window_us, cap, min_rows)
+            if len(rows):
+                yield rows[_RCOLS]
         state.update((st["ts"], st["var"], st["val"]))
-        if len(rows):
-            yield rows[_RCOLS]
 
     _ship_by_value()
     return readings.groupBy("machine_id").applyInPandasWithState(

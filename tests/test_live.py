@@ -3,6 +3,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -121,3 +122,51 @@ def test_buffer_read_from_the_checkpointed_state(spark):
         assert state == {m: (len(v), v) for m, v in expected.items()}
         own = {r["machine_id"]: r["buffer_size"] for r in L.buffer_status(spark.read.parquet(f"{base}/out")).collect()}
         assert own == {m: len(v) for m, v in expected.items()}
+
+
+class _Held:
+    """A group's state as the stream hands it to a fold."""
+    exists = False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def _group(n):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"machine_id": "M1", "variable_name": rng.choice(["Cushion", "Cycle_time", "Tmp"], n), "value": rng.integers(0, 4, n) * 1.0,
+                        "timestamp": pd.Timestamp(T0) + pd.to_timedelta(rng.integers(0, n, n), unit="s"), "seq": np.arange(n)})
+    return [pdf.iloc[n // 2:], pdf.iloc[:n // 2]]
+
+
+def test_a_large_group_leaves_the_fold_in_slices(monkeypatch):
+    """What a machine's readings become is given out in bounded frames, equal to one frame of all."""
+    monkeypatch.setattr(L, "SLICE_ROWS", 500, raising=False)
+    state = _Held()
+    frames = list(L._stateful(("M1",), iter(_group(2300)), state))
+    want, end = L._fold("M1", pd.concat(_group(2300)), dict(L._EMPTY))
+    assert max(map(len, frames)) <= 500
+    assert [tuple(r) for r in pd.concat(frames).itertuples(index=False)] == [tuple(r) for r in pd.DataFrame(want, columns=L._COLS).itertuples(index=False)]
+    assert state.get == (end["keys"], end["vals"], end["prev_keys"], end["prev_vals"], end["has_prev"])
+
+
+def test_a_large_group_leaves_the_rolling_fold_in_slices(monkeypatch):
+    monkeypatch.setattr(L, "SLICE_ROWS", 500, raising=False)
+    made = []
+
+    class Grouped:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, fn, *_):
+            made.append(fn)
+
+    L.live_rolling_stream(Grouped(), 60, cap=40)
+    state = _Held()
+    frames = list(made[0](("M1",), iter(_group(2300)), state))
+    want, end = L._roll_fold("M1", pd.concat(_group(2300)), {"ts": [], "var": [], "val": []}, 60_000_000, 40, 3)
+    assert max(map(len, frames)) <= 500 * 3  # a row a sensor
+    order = ["seq", "sensor"]
+    got = pd.concat(frames).sort_values(order).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want[L._RCOLS].sort_values(order).reset_index(drop=True), rtol=1e-12)
+    assert state.get == (end["ts"], end["var"], end["val"])
