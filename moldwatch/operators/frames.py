@@ -9,11 +9,14 @@ put together from the runs in the binary form of its length.  Aggregates
 are merged pairwise by the parallel variance formula, so nothing cancels and
 a constant frame has a variance of exactly 0.
 
-Chunks bound every group; the work per row grows with the logarithm of the frame.
+Chunks bound every group; the work per row grows with the logarithm of the frame.  A group's
+results, many columns wide, are made and given out a slice of rows at a time, so only its input is
+held whole; the runs of a slice are those of the rows that its frames reach, one value at a time.
 """
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SLICE_ROWS = 20_000  # rows of a group that are given out at a time, at least; half of the longest frame, if that is more
 STAT_COLUMNS = ("n", "mean", "std", "min", "max", "last")
 
 
@@ -41,13 +45,13 @@ class Frame:
     to_own: bool = False
 
 
-def bounds(t: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray]:
-    """First row and end (exclusive) of every row's frame; ``t`` ascending."""
-    at = np.arange(len(t))
+def bounds(t: np.ndarray, frame: Frame, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First row and end (exclusive) of every row's frame, or those of the rows ``at``; ``t`` ascending."""
+    at = np.arange(len(t)) if at is None else at
     if frame.us is None:
         return np.maximum(at - frame.rows + 1, 0), at + 1
-    lo = np.searchsorted(t, t - frame.us, "left" if frame.closed else "right")
-    hi = at + 1 if frame.to_own else np.searchsorted(t, t, "right")
+    lo = np.searchsorted(t, t[at] - frame.us, "left" if frame.closed else "right")
+    hi = at + 1 if frame.to_own else np.searchsorted(t, t[at], "right")
     if frame.rows is not None:
         over = hi - lo > frame.rows
         lo, hi = np.where(over, at - frame.rows + 1, lo), np.where(over, at + 1, hi)
@@ -123,32 +127,46 @@ def framed(x: DataFrame, part, order: str, values, frames: list[Frame], keep, sl
     def nullable(a, ok):
         return pa.array(np.where(ok, a, 0.0), pa.float64(), mask=~ok)
 
-    def fn(table: pa.Table) -> pa.Table:
-        t = table[order].to_numpy()
-        by = np.argsort(t, kind="stable") if tie is None else np.lexsort((table[tie].to_numpy(), t))
-        t = t[by]
-        own = np.flatnonzero(table["_own"].to_numpy(zero_copy_only=False)[by])
-        v = np.column_stack([table[c].to_numpy().astype(np.float64)[by] for c in values])
-        newest = np.maximum.accumulate(np.where(np.isnan(v), -1, np.arange(len(v))[:, None]), axis=0)
-        rows = table.take(pa.array(by[own]))
-        out = [rows[c].combine_chunks() for c in keep]
+    def stats_of(t, v, own):
+        """Columns of the rows ``own``: rows in each frame, then the statistics of each frame and value."""
         stats, counts = [], []
         for f in frames:
-            lo, hi = bounds(t, f)
-            lo, hi = lo[own], hi[own]
+            lo, hi = bounds(t, f, own)
             counts.append(pa.array(hi - lo))
-            n, mean, spread, least, most = frame_stats(v, lo, hi)
-            at = newest[hi - 1]
+            first, end = lo.min(), hi.max()
             for c in range(len(values)):
-                some = n[:, c] > 0
-                std = np.sqrt(spread[:, c] / np.maximum(n[:, c] - 1, 1))
-                last = v[np.maximum(at[:, c], 0), c]
-                stats += [pa.array(n[:, c].astype(np.int64)), nullable(mean[:, c], some), nullable(std, n[:, c] > 1),
-                          nullable(least[:, c], some), nullable(most[:, c], some), nullable(last, some & (at[:, c] >= lo))]
-        out += counts + stats
-        if slope_rows:
-            s = slopes(v, slope_rows)[own]
-            out += [nullable(s[:, c], ~np.isnan(s[:, c])) for c in range(len(values))]
-        return pa.Table.from_arrays(out, names=[f.name for f in fields])
-
+                x = v[c][first:end]
+                newest = first + np.maximum.accumulate(np.where(np.isnan(x), -1 - first, np.arange(len(x))))  # -1: none
+                n, mean, spread, least, most = (a[:, 0] for a in frame_stats(x[:, None], lo - first, hi - first))
+                at, some = newest[hi - 1 - first], n > 0
+                std = np.sqrt(spread / np.maximum(n - 1, 1))
+                stats += [pa.array(n.astype(np.int64)), nullable(mean, some), nullable(std, n > 1), nullable(least, some),
+                          nullable(most, some), nullable(v[c][np.maximum(at, 0)], some & (at >= lo))]
+        return counts + stats
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        t = table[order].to_numpy()
+        by = np.argsort(t, kind="stable") if tie is None else np.lexsort((table[tie].to_numpy(), t))
+        t = t[by]
+        own = np.flatnonzero(table["_own"].to_numpy(zero_copy_only=False)[by])
+        v = [table[c].to_numpy().astype(np.float64)[by] for c in values]
+        kept = table.select(list(dict.fromkeys(keep)))
+        del table
+        reach = max((int((hi - lo).max()) for f in frames for lo, hi in [bounds(t, f, own)]), default=0) if len(own) else 0
+        size = max(SLICE_ROWS, reach // 2)
+        for i in range(0, len(own), size):
+            at = own[i:i + size]
+            rows = kept.take(pa.array(by[at]))
+            out = [rows[c].combine_chunks() for c in keep] + stats_of(t, v, at)
+            if slope_rows:
+                first = max(at[0] - slope_rows + 1, 0)
+                s = slopes(np.column_stack([x[first:at[-1] + 1] for x in v]), slope_rows)[at - first]
+                out += [nullable(s[:, c], ~np.isnan(s[:, c])) for c in range(len(values))]
+            made = pa.Table.from_arrays(out, names=[f.name for f in fields]).combine_chunks()
+            del out
+            yield from made.to_batches(max_chunksize=SLICE_ROWS)
+
+    used = dict.fromkeys([*part, order, *([tie] if tie else []), "_own", *keep, *values])
+    x = x.select(*used)
     return x.groupBy(*part).applyInArrow(fn, T.StructType(fields))

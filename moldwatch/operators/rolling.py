@@ -136,7 +136,8 @@ def rolling_serving(wide: DataFrame, sensors, windows, keys=("machine_id",),
     keys = list(keys)
     filled = fill_forward_backward(wide, sensors, keys, ts)
     wmax = max(s for _, s in windows) * 1_000_000
-    x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(4 * wmax, 3_600_000_000))
+    # a group has all sensors of its chunk: two windows and the halo, where one sensor's chunk has four
+    x = time_chunked(filled, ts, behind_us=wmax, chunk_us=chunk_us or max(2 * wmax, 3_600_000_000))
     frames = [Frame(name, us=secs * 1_000_000) for name, secs in windows]
     x = framed(x, [*keys, "_chunk"], "_t", sensors, frames, [*keys, ts, *sensors])
     cols = []

@@ -1,8 +1,10 @@
 """Sliding-frame statistics against pandas, chunked and whole, far from zero too."""
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moldwatch.operators import frames
 from moldwatch.operators.pattern import pattern_features
@@ -115,3 +117,33 @@ def test_constant_frames_have_no_spread():
     assert (spread == 0).all() and (mean == x).all() and (n[:, 0] == np.arange(300) + 1 - lo).all()
     n, *_ = frames.frame_stats(np.full((4, 1), np.nan), np.zeros(4, int), np.arange(4) + 1)
     assert (n == 0).all()
+
+
+def test_a_group_is_given_out_in_slices(monkeypatch, wide):
+    """Frames that begin before a slice are whole, and no frame of results is longer than a slice."""
+    held = []
+
+    class Grouped:
+        schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("x", T.DoubleType())])
+
+        def select(self, *_):
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, fn, schema):
+            held.append(fn)
+
+    n = len(wide)
+    group = pa.table({"k": ["M1"] * n, "x": wide.x.to_numpy(), "_t": wide.s.to_numpy(), "_own": np.arange(n) >= 50})
+    shuffled = group.take(np.random.default_rng(1).permutation(n))
+    given = [frames.Frame("rows", rows=25), frames.Frame("time", us=900)]
+    made = []
+    for size in (10_000, 30):
+        monkeypatch.setattr(frames, "SLICE_ROWS", size, raising=False)
+        frames.framed(Grouped(), ["k"], "_t", ["x"], given, ["k", "x"], slope_rows=9)
+        made.append(list(held[-1](iter(shuffled.to_batches(max_chunksize=64)))))
+    whole, sliced = made
+    assert len(whole) == 1 and len(sliced) > 5 and max(b.num_rows for b in sliced) <= 30
+    compare(pa.Table.from_batches(sliced).to_pandas().drop(columns="k"), pa.Table.from_batches(whole).to_pandas().drop(columns="k"))
