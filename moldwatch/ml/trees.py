@@ -141,8 +141,10 @@ def truncated(spark: SparkSession, model: GBTClassificationModel, rounds: int) -
 
 def boost_with_patience(fit, train: DataFrame, validation: DataFrame, features, label: str, rounds: int, patience: int):
     """A classifier cut to its best round by validation AUC.  ``fit(train, n)`` boosts n rounds; the
-    first trees of a longer run are those of a shorter one, so runs of growing length
-    (each twice the one before) end as one of all rounds would, without most of its work.
+    first trees of a longer run are those of a shorter one, so runs of growing length end as one of all
+    rounds would.  A run that was still gaining in the last half of the rounds to wait is followed by one
+    of all rounds, else by one of twice its length: each run starts anew, and where the AUC rises to the
+    end, doubling would fit more than twice the rounds that there are.
     Returns (model, AUC of every round that was tried); without both labels in the
     validation rows all rounds are kept."""
     tried = min(rounds, patience + patience // 2)
@@ -154,4 +156,4 @@ def boost_with_patience(fit, train: DataFrame, validation: DataFrame, features,
         keep, stopped = best_prefix(scores, patience)
         if stopped or tried == rounds:
             return truncated(train.sparkSession, model, keep), scores
-        tried = min(rounds, 2 * tried)
+        tried = rounds if tried - keep < patience // 2 else min(rounds, 2 * tried)

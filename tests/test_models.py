@@ -100,6 +100,28 @@ def test_boosting_keeps_the_best_round(spark, monkeypatch):
     assert [p[i] for i in range(len(x))] == pytest.approx(want.tolist(), abs=1e-12)
 
 
+@pytest.mark.parametrize("best, keep, most", [(490, 490, 575), (40, 40, 225), (185, 185, 575), (10, 10, 75)])
+def test_boosting_anew_costs_little_more_than_all_rounds(monkeypatch, best, keep, most):
+    """Where the AUC rises to the end, the runs together have few more rounds than there are."""
+    fitted = []
+
+    class Model:
+        sparkSession = None
+
+        def __init__(self, n):
+            self.getNumTrees = n
+
+    def fit(_, n):
+        fitted.append(n)
+        return Model(n)
+
+    monkeypatch.setattr(trees, "forest_of", lambda _, model: model)
+    monkeypatch.setattr(trees, "staged_auc", lambda _, model, *__: [0.9 - abs(best - 1 - i) / 1000 for i in range(model.getNumTrees)])
+    monkeypatch.setattr(trees, "truncated", lambda _, model, rounds: rounds)
+    kept, scores = trees.boost_with_patience(fit, Model(0), None, [], "label", 500, 50)
+    assert kept == keep and sum(fitted) <= most and len(scores) == fitted[-1]
+
+
 def test_boosting_without_both_labels_keeps_all_rounds(spark, monkeypatch):
     d = noisy(spark, 200).withColumn("held", F.col("label") == 0).withColumn("held", F.col("held") & (F.col("id") % 2 == 0))
     monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (5, 0.3, 7, 5, 40, 2))
