@@ -9,6 +9,7 @@ size is bounded by the number of features.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from multiprocessing.pool import ThreadPool
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moldwatch import config
+from moldwatch.ml.forest import CELLS, CellForest, bin_edges, fit_cells
 from moldwatch.ml.trees import boost_with_patience
 from moldwatch.session import checkpoint_dir
 
@@ -91,19 +93,28 @@ def train_gbt(train: DataFrame, features, label: str = "label", weight_col: str
 
 
 def train_random_forest(train: DataFrame, features, label: str = "label", num_trees: int = 200,
-                        max_depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Random forest (ML2)."""
+                        max_depth: int = 10, seed: int = 42) -> PipelineModel | CellForest:
+    """Random forest (ML2): grown from counted cells where the features' bins make at most ``CELLS`` of
+    them (see ``forest``), else by Spark ML from the rows."""
+    if len(features) <= CELLS.bit_length():
+        rows = filled(train, features)
+        edges = bin_edges(rows, features)
+        if math.prod(len(e) + 1 for e in edges) <= CELLS:
+            return fit_cells(rows, features, label, edges, num_trees, max_depth, seed)
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     return Pipeline(stages=[asm, rf]).fit(filled(train, features).withColumn(label, F.col(label).cast("double")))
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
+def score(model: PipelineModel | CellForest, df: DataFrame, threshold: float = 0.5,
           prob_col: str = "scrap_probability", pred_col: str = "predicted_scrap") -> DataFrame:
     """Batch scoring (ML3): class-1 probability and the thresholded label."""
-    features = model.stages[0].getInputCols()
+    features = model.features if isinstance(model, CellForest) else model.stages[0].getInputCols()
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *features)
+    if isinstance(model, CellForest):
+        return model.transform(filled(rows, features), prob_col).select(
+            "_row.*", prob_col, (F.col(prob_col) >= threshold).cast("int").alias(pred_col))
     p = vector_to_array(F.col("probability"))[1]
     return model.transform(filled(rows, features)).select("_row.*", p.alias(prob_col), (p >= threshold).cast("int").alias(pred_col))
 
