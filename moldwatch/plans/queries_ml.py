@@ -100,8 +100,7 @@ def q_importance(spark, sf):
 def q_explain(spark, sf):
     """ML5: score of each machine's latest row + the top global importances."""
     model, _, feats, _ = T.trained(spark, sf)
-    table = T.training_table(spark, sf)
-    last = latest_row(table)
+    last = latest_row(T.kept_table(spark, sf))
     s = ML.score(model, last)
     imp = ML.importances(spark, model, feats).where(F.col("rank") <= 10)
     top = imp.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))),
@@ -127,8 +126,7 @@ def q_future_risk(spark, sf):
     from moldwatch.plans.queries_forecast import q_recursive
     model, _, feats, _ = T.trained(spark, sf)
     fc = q_recursive(spark, sf)
-    table = T.training_table(spark, sf)
-    carried = latest_row(table).drop("timestamp", T.LABEL)
+    carried = latest_row(T.kept_table(spark, sf)).drop("timestamp", T.LABEL)
     carried = carried.drop(*[f"{s}__last_6h" for s in config.FIXTURE_SENSORS])
     x = fc.join(carried, "machine_id")
     for s in config.FIXTURE_SENSORS:

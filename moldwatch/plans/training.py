@@ -17,7 +17,7 @@ from moldwatch.operators.rolling import long_to_wide_features, rolling_time_long
 from moldwatch.operators.sampling import conform, stratified_split, temporal_split
 from moldwatch.plans import fixtures as fx
 from moldwatch.functions import normalize_machine_id
-from moldwatch.session import materialize
+from moldwatch.session import ensure_wide_rows, materialize, stored
 from moldwatch.sources.tables import telemetry_raw
 
 SENSORS = config.FIXTURE_SENSORS
@@ -33,6 +33,7 @@ def feature_columns(sensors=SENSORS, windows=WINDOWS, pattern_source="mean_1d"):
 
 
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
+    ensure_wide_rows(spark)
     clean = fx.clean(spark, sf)
     long = rolling_time_long(clean, WINDOWS, min_periods=3)
     wide = long_to_wide_features(long, SENSORS, WINDOWS)
@@ -41,6 +42,7 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
     labels = max_label(lab, label=LABEL)
     wide = wide.join(labels, ["machine_id", "timestamp"], "left").withColumn(
         LABEL, F.coalesce(F.col(LABEL), F.lit(0)).cast("int"))
+    wide = stored(wide, "wide")  # numbering its rows and the features both read it
     wide = pattern_features(wide, SENSORS, source="mean_1d")
     raw = telemetry_raw(spark, sf).withColumn("machine_id", normalize_machine_id("machine_id"))
     ctx = machine_context(raw)
@@ -55,13 +57,25 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
 
 
+_TABLE_CACHE: dict = {}
+
+
+def kept_table(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`training_table`, computed once per input: the split reads it three times, queries on its latest rows
+    twice more."""
+    key = (sf, id(spark))
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = stored(training_table(spark, sf), "training")
+    return _TABLE_CACHE[key]
+
+
 _MODEL_CACHE: dict = {}
 
 
 def clear_caches() -> None:
     """Forget the models (and what other modules keep of them): the next query trains anew."""
     from moldwatch.plans import queries_live, queries_room
-    for c in (_MODEL_CACHE, _RAW_MODEL_CACHE, queries_live._STATUS_CACHE, queries_room._CACHE):
+    for c in (_TABLE_CACHE, _MODEL_CACHE, _RAW_MODEL_CACHE, queries_live._STATUS_CACHE, queries_room._CACHE):
         c.clear()
 
 
@@ -71,8 +85,7 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     key = (sf, preset, id(spark))
     if key in _MODEL_CACHE:
         return _MODEL_CACHE[key]
-    table = temporal_split(training_table(spark, sf), ["timestamp", "machine_id"])
-    table = materialize(table)
+    table = stored(temporal_split(kept_table(spark, sf), ["timestamp", "machine_id"]), "split")
     feats = feature_columns()
     train = table.where(F.col("split") == "TRAIN")
     test = table.where(F.col("split") == "TEST")
@@ -83,7 +96,7 @@ def trained(spark: SparkSession, sf: str, preset: str = "retrain_v2"):
     tr = ML.with_class_weight(tr, LABEL, cw)
     model = ML.fitted_once(spark, "training", tr, (feats, preset, ML.gbt_params(preset), config.BOOSTING_PRESETS[preset]),
                            lambda: ML.train_gbt(tr, feats, LABEL, weight_col="weight", validation_col="_is_val", preset=preset))
-    scored = ML.score(model, test, threshold=config.ML_THRESHOLDS["MEDIUM"])
+    scored = stored(ML.score(model, test, threshold=config.ML_THRESHOLDS["MEDIUM"]), "scored")  # every metric reads it
     _MODEL_CACHE[key] = (model, scored, feats, cw)
     return _MODEL_CACHE[key]
 

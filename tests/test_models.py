@@ -134,3 +134,17 @@ def test_planted_signal_with_the_presets_own_rounds(spark):
     assert 1 < model.stages[-1].getNumTrees < 500
     pairs = [(r["scrap_probability"], r["label"]) for r in ML.score(model, d.where("held")).collect()]
     assert auc(pairs) > 0.85
+
+
+def test_training_table_is_computed_once(spark, monkeypatch):
+    """The model, its scores and the latest rows all read one stored table."""
+    from moldwatch.plans import queries_ml, training
+    monkeypatch.setitem(config.BOOSTING_PRESETS, "retrain_v2", (2, *config.BOOSTING_PRESETS["retrain_v2"][1:]))
+    training.clear_caches()
+    made, own = [], training.training_table
+    monkeypatch.setattr(training, "training_table", lambda *a: made.append(a) or own(*a))
+    sf = "/root/testdata/sf0.001"
+    assert queries_ml.q_explain(spark, sf).count() > 0
+    assert queries_ml.q_model_scores(spark, sf).count() > 0
+    assert len(made) == 1
+    training.clear_caches()
