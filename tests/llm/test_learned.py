@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -296,6 +297,42 @@ def test_gradient():
         assert abs((loss(up) - loss(down)) / 2e-5 - g[i]) < 1e-6 + 1e-4 * abs(g[i])
 
 
+@pytest.mark.parametrize("size", [1, 300])  # 300: only with maxima taken off before exp
+def test_gradient_with_and_without_maxima(size):
+    rng = np.random.default_rng(6)
+    flat = attention.initial(np.ones(attention.VOCAB)).astype(np.float64) * size
+    ids, targets = rng.integers(0, attention.VOCAB, (2, 40, attention.WINDOW))
+    targets[::3, 5:] = -1
+    quick, careful = np.zeros(attention.SIZE), np.zeros(attention.SIZE)
+    a = attention.gradient(attention.views(flat), ids, targets, attention.views(quick))
+    b = attention._gradient(attention.views(flat), ids, targets, attention.views(careful), 1)
+    assert np.isfinite(a) and abs(a - b) < 1e-9 * abs(b) and np.allclose(quick, careful, rtol=1e-9, atol=1e-12)
+
+
+def test_scoring_makes_no_large_arrays_anew():
+    rng = np.random.default_rng(7)
+    model = attention.Scoring(attention.initial(np.ones(attention.VOCAB)))
+    ids, targets = rng.integers(0, attention.VOCAB, (2, 96, attention.WINDOW))
+    first = model.log_probs(ids, targets, 4)
+    tracemalloc.start()
+    again = model.log_probs(ids, targets, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(first, again) and peak < 300_000  # one array of attention weights has 344,064 bytes
+
+
+def test_word_counts_survive_forgetting(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CACHE", 5)
+    monkeypatch.setattr(lm, "CHUNK", 40)
+    texts = [PROSE, "", "the THE the", PROSE, "one"]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").coalesce(1)
+    rows = lm.gather(docs, (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).filter("n is not null").collect()
+    got, want = Counter(), Counter(w for t in texts for w in t.encode().lower().split())
+    for r in rows:
+        got[None if r["word"] is None else bytes(r["word"])] += r["n"]
+    assert got == want + Counter({None: len(texts)})
+
+
 def test_subwords_do_not_depend_on_neighbours():
     encode = lm.subword_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for words in (["the", "end.", "it's", "a1b2", "日本", "...", "é"], ["a\u00a0", "\u00a0b", "\u2003"], ["x"]):
