@@ -1,15 +1,16 @@
 """Time-range joins between readings and events.
 
 Spark has no as-of join and plans a pure range condition as a nested loop.
-Here both sides are put into *time chunks* of one key: a left row lives in
-the chunk of its own timestamp; a right row is copied into every chunk that
-contains a left timestamp it can match (at most two when the chunk is at
+Whether an event lies near a reading (``asof_label``, ``context_rows``) is told by the first and last event per key
+and time bucket.  Which one is nearest (``asof_nearest``): both sides are put into *time chunks* of one key: a left row lives in
+the chunk of its own timestamp; a right row is copied into every chunk
+that contains a left timestamp it can match (at most two when the chunk is at
 least as wide as the match interval).  The union is windowed per
 (key, chunk) in time order, forwards and backwards: the running last event seen is
 the nearest one on that side, and its gap is compared with the tolerance.  Such
 frames grow by one row at a time, so the work is linear however many
 readings lie in the interval.
-So the shuffle key is (key, chunk): a machine holding a third of all rows is
+So the shuffle key is (key, bucket) or (key, chunk): a machine holding a third of all rows is
 spread over all of its chunks, and the only duplication is the thin halo of
 right rows near chunk borders.
 """
@@ -62,25 +63,47 @@ def _chunked_union(left: DataFrame, right: DataFrame, by, left_ts: str, right_ts
 
 def asof_label(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts="timestamp",
                right_ts="event_ts", tolerance_us: int = 5 * MINUTE_US, direction: str = "nearest",
-               label: str = "label", chunk_us: int | None = None) -> DataFrame:
+               label: str = "label") -> DataFrame:
     """1 if a right row of the same key lies in the match interval, else 0.
 
     nearest  (J1): right in [t - tol, t + tol] (inclusive both sides)
     forward  (J2): right in (t, t + tol]
     backward     : right in [t - tol, t]
+
+    Left rows pass by a table of one row per key and time bucket: in buckets as wide as the tolerance, the
+    first and last right row of t's bucket, the last of the one before and the first of the one after
+    decide.  So left rows are neither sorted nor held.
     """
-    lo, hi = {"nearest": (-tolerance_us, tolerance_us), "forward": (1, tolerance_us),
-              "backward": (-tolerance_us, 0)}[direction]
-    u = _chunked_union(left, right, by, left_ts, right_ts, lo, hi, chunk_us)
-    event = F.when(F.col("_is_left") == 0, F.col("_t"))
-    near = F.lit(False)
-    if lo <= 0:
-        near = near | (F.col("_t") - F.last(event, ignorenulls=True).over(_before(by)) <= -lo)
-    if hi > 0:
-        near = near | (F.last(event, ignorenulls=True).over(_after(by, strictly=lo > 0)) - F.col("_t") <= hi)
-    return (u.withColumn(label, F.when(near, 1).otherwise(0))
-            .where(F.col("_is_left") == 1)
-            .drop("_t", "_is_left", "_chunk", "_payload"))
+    if direction not in ("nearest", "forward", "backward"):
+        raise ValueError(f"unknown direction {direction}")
+    by, tol, width = list(by), F.lit(tolerance_us), max(tolerance_us, 1)
+    keys = [f"_k{i}" for i in range(len(by))]
+    events = right.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], _us(right_ts).alias("_e")).where(F.col("_e").isNotNull())
+    seen = events.groupBy(*keys, _bucket(F.col("_e"), width).alias("_b")).agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
+    none = F.lit(None).cast("long")
+
+    def told(shift, first=none, last=none, before=none, after=none):
+        return F.struct((F.col("_b") + shift * width).alias("_at"), first.alias("_first"), last.alias("_last"),
+                        before.alias("_before"), after.alias("_after"))
+
+    places = F.array(told(0, first=F.col("_lo"), last=F.col("_hi")), told(1, before=F.col("_hi")), told(-1, after=F.col("_lo")))
+    around = seen.select(*keys, F.inline(places)).groupBy(*keys, "_at").agg(
+        *[F.max(c).alias(c) for c in ("_first", "_last", "_before", "_after")])  # at most one value each
+    x = left.withColumn("_t", _us(left_ts)).withColumn("_b", _bucket(F.col("_t"), width))
+    same = F.col("_b") == F.col("_at")
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    t = F.col("_t")
+    near = {"nearest": F.col("_first").isNotNull() | (F.col("_before") >= t - tol) | (F.col("_after") <= t + tol),
+            "forward": (F.col("_last") > t) | (F.col("_after") <= t + tol),
+            "backward": (F.col("_first") <= t) | (F.col("_before") >= t - tol)}[direction]
+    x = x.join(around.hint("shuffle_hash"), same, "left").withColumn(label, F.when(near, 1).otherwise(0))
+    return x.drop("_t", "_b", "_at", "_first", "_last", "_before", "_after", *keys)
+
+
+def _bucket(us: Column, width: int) -> Column:
+    """Begin of the time bucket, in whole numbers."""
+    return us - F.pmod(us, F.lit(width))
 
 
 def _before(by, *ties) -> Window:
@@ -88,11 +111,9 @@ def _before(by, *ties) -> Window:
     return Window.partitionBy(*by, "_chunk").orderBy("_t", "_is_left", *ties).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _after(by, *ties, strictly: bool = False) -> Window:
-    """From the last row back to this one: the last event in it is the first at or after it
-    (``strictly``: after it)."""
-    same_time = F.desc("_is_left") if strictly else F.asc("_is_left")
-    return Window.partitionBy(*by, "_chunk").orderBy(F.desc("_t"), same_time, *ties).rowsBetween(
+def _after(by, *ties) -> Window:
+    """From the last row back to this one: the last event in it is the first at or after it."""
+    return Window.partitionBy(*by, "_chunk").orderBy(F.desc("_t"), "_is_left", *ties).rowsBetween(
         Window.unboundedPreceding, 0)
 
 
@@ -131,14 +152,13 @@ def asof_nearest(left: DataFrame, right: DataFrame, by=("machine_id",), left_ts=
 
 
 def context_rows(df: DataFrame, flag: str, by=("machine_id", "variable_name"), ts="timestamp",
-                 radius_us: int = 30 * MINUTE_US, chunk_us: int | None = None,
-                 out: str = "in_context") -> DataFrame:
+                 radius_us: int = 30 * MINUTE_US, out: str = "in_context") -> DataFrame:
     """Rows within +-radius of a flagged row of the same key, inclusive.
 
-    Self range join as a windowed union: flagged rows are the right side.
+    Flagged rows are the right side, their first and last per key and time bucket (see :func:`asof_label`).
     Returns all rows of ``df`` with boolean ``out``.
     """
     right = df.where(F.col(flag) == 1).select(*by, F.col(ts).alias("_ets"))
     return asof_label(df, right, by=by, left_ts=ts, right_ts="_ets", tolerance_us=radius_us,
-                      direction="nearest", label="_ctx", chunk_us=chunk_us) \
+                      direction="nearest", label="_ctx") \
         .withColumn(out, F.col("_ctx") == 1).drop("_ctx")

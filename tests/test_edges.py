@@ -99,6 +99,31 @@ def test_asof_across_chunk_border(spark):
     assert asof.asof_label(r, e, label="y").collect()[0].y == 1
 
 
+@pytest.mark.parametrize("tol", [0, 1, 7, 300])
+def test_asof_label_against_all_pairs(spark, tol):
+    """Readings and events on and beside bucket borders, before 1970 too, with null keys and times and repeated rows."""
+    rng = np.random.default_rng(tol)
+    keys, epoch = ["M1", "M2", None], dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda: None if rng.random() < 0.05 else int(rng.integers(-40, 40)) * max(tol, 1) // 2 + int(rng.integers(-1, 2))
+    left = [(i, keys[rng.integers(3)], at()) for i in range(150)]
+    right = [(keys[rng.integers(3)], at()) for _ in range(25)] * 2
+    time = F.timestamp_micros("t")
+    l = spark.createDataFrame(left, "rid int, machine_id string, t long").withColumn("timestamp", time).drop("t")
+    r = spark.createDataFrame(right, "machine_id string, t long").withColumn("event_ts", time).drop("t")
+    for direction, lo, hi in (("nearest", -tol, tol), ("forward", 1, tol), ("backward", -tol, 0)):
+        got = asof.asof_label(l, r, tolerance_us=tol, direction=direction, label="y")
+        assert got.columns == [*l.columns, "y"]
+        want = {i: int(any(k == m and None not in (t, e) and lo <= e - t <= hi for m, e in right)) for i, k, t in left}
+        assert sorted((x.rid, x.y) for x in got.collect()) == sorted(want.items()), direction
+
+
+def test_asof_label_neither_sorts_nor_windows_readings(spark):
+    l, r = _readings(spark, [T0 + i * MIN for i in range(50)]), _events(spark, [T0])
+    for df in (asof.asof_label(l, r, label="y"), asof.context_rows(l.withColumn("flag", F.lit(1)), "flag", by=["machine_id"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort " not in plan and "ShuffledHashJoin" in plan
+
+
 def test_temporal_split_keeps_rows_without_time(spark):
     from moldwatch.operators.sampling import temporal_split
     at = [dt.datetime(2024, 1, 1, h // 3, h) for h in range(12)]
