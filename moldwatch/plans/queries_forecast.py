@@ -1,6 +1,9 @@
 """Registered queries: forecasts (step 8: M1, M2, M4, M6, A29, W11 -> ML6 -> M3)."""
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from moldwatch import config
@@ -134,14 +137,22 @@ def tree_forecaster(spark, sf, preset: str):
     return {s: forest_of(spark, m.stages[-1]) for s, m in models.items()}, ML.forecaster_features(SENSORS, preset), lags
 
 
+def tree_forecasters(spark, sf) -> dict:
+    """:func:`tree_forecaster` of every preset.  Boosting is thousands of short jobs in sequence, which leave cores
+    idle, so the presets are fitted side by side."""
+    presets = sorted(config.FORECASTER_PRESETS)
+    with ThreadPool(len(presets)) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(lambda preset: tree_forecaster(spark, sf, preset)), presets)
+    return dict(zip(presets, fitted))
+
+
 @register("recursive_forecast_trees")
 def q_recursive_trees(spark, sf):
     f = filled_window(fx.history(spark, sf), SENSORS, PAST_WINDOW_MIN)
     last = latest_row(f.select("machine_id", "timestamp", *SENSORS)).select(
         "machine_id", *[F.col(s).alias(f"_la_{s}") for s in SENSORS])
     out = None
-    for preset in sorted(config.FORECASTER_PRESETS):
-        forests, feats, lags = tree_forecaster(spark, sf, preset)
+    for preset, (forests, feats, lags) in tree_forecasters(spark, sf).items():
         fc = recursive_tree_forecast(f, SENSORS, forests, feats, lags, steps=max(6, FUTURE_STEPS)).join(last, "machine_id", "left")
         fc = fc.select(F.lit(preset).alias("preset"), "machine_id", "step", _ntz(),
                        *[_r9(clamp_garbage(F.col(s), F.col(f"_la_{s}")), s) for s in SENSORS])

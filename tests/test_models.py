@@ -148,3 +148,16 @@ def test_training_table_is_computed_once(spark, monkeypatch):
     assert queries_ml.q_model_scores(spark, sf).count() > 0
     assert len(made) == 1
     training.clear_caches()
+
+
+def test_forecaster_presets_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+    from moldwatch.plans import queries_forecast
+    both = threading.Barrier(len(config.FORECASTER_PRESETS), timeout=30)
+
+    def fit(session, sf, preset):
+        both.wait()  # breaks unless all presets are here at once
+        return preset, sf
+
+    monkeypatch.setattr(queries_forecast, "tree_forecaster", fit)
+    assert queries_forecast.tree_forecasters(spark, "x") == {p: (p, "x") for p in config.FORECASTER_PRESETS}
