@@ -321,6 +321,47 @@ def test_scoring_makes_no_large_arrays_anew():
     assert np.array_equal(first, again) and peak < 300_000  # one array of attention weights has 344,064 bytes
 
 
+def test_training_makes_no_large_arrays_anew():
+    rng = np.random.default_rng(8)
+    flat = attention.initial(np.ones(attention.VOCAB))
+    w, step, grads = attention.views(flat), attention.Training(flat.dtype), np.zeros((2, attention.SIZE), flat.dtype)
+    (x, plan), = attention.plans(*rng.integers(0, attention.VOCAB, (2, 32, attention.WINDOW)), 32, flat.dtype)
+    step.gradient(w, x, plan, attention.views(grads[0]))
+    tracemalloc.start()
+    step.gradient(w, x, plan, attention.views(grads[1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(*grads) and peak < 131_072  # one array of attention weights
+
+
+def test_training_is_plain_adam_and_leaves_unused_classes():
+    rng = np.random.default_rng(9)
+    flat = attention.initial(rng.integers(1, 100, attention.VOCAB)).astype(np.float64)
+    ids, targets = rng.integers(0, 300, (2, 75, attention.WINDOW))  # two whole batches and a part of one
+    targets[::4, 9:] = -1
+    got, want, first, second = attention.train(flat, ids, targets, 0.01), flat.copy(), np.zeros(len(flat)), np.zeros(len(flat))
+    for s in range(3):
+        g, own = np.zeros(len(flat)), slice(32 * s, 32 * s + 32)
+        attention.gradient(attention.views(want), ids[own], targets[own], attention.views(g))
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        now = 0.01 * (1 - 0.9 * s / 3) * (1 - 0.99 ** (s + 1)) ** 0.5 / (1 - 0.9 ** (s + 1))
+        want -= now * first / (np.sqrt(second) + 1e-8)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-11) and not np.array_equal(got, flat)
+    assert np.array_equal(attention.views(got)["emb"][320:], attention.views(flat)["emb"][320:])
+    assert np.array_equal(attention.train(flat, ids[:0], targets[:0], 0.01), flat)
+
+
+def test_words_are_split_as_bytes():
+    rng = random.Random(10)
+    pool = [bytes([i]) for i in range(256)] + [b" ", b"\n", b"\x0b", b"\x1c", b"\x85", b"A", b"\x00"] * 30
+    for _ in range(300):
+        texts = [b"".join(rng.choices(pool, k=rng.choice([0, 1, 2, 40]))) for _ in range(rng.choice([0, 1, 5]))]
+        distinct, which, own = lm.split(texts)
+        words = [t.lower().split() for t in texts]
+        assert [distinct[i] for i in which] == [w for ws in words for w in ws] and own.tolist() == [len(ws) for ws in words]
+        assert len(set(distinct)) == len(distinct)
+
+
 def test_word_counts_survive_forgetting(spark, monkeypatch):
     monkeypatch.setattr(lm, "CACHE", 5)
     monkeypatch.setattr(lm, "CHUNK", 40)
