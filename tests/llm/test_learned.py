@@ -351,6 +351,19 @@ def test_training_is_plain_adam_and_leaves_unused_classes():
     assert np.array_equal(attention.train(flat, ids[:0], targets[:0], 0.01), flat)
 
 
+def test_scoring_is_the_model_that_was_trained():
+    rng = np.random.default_rng(11)
+    flat = attention.initial(rng.integers(1, 100, attention.VOCAB)).astype(np.float64)
+    flat += rng.normal(0, 0.3, len(flat))
+    ids, targets = rng.integers(0, attention.VOCAB, (2, 20, attention.WINDOW))
+    targets[::3, 7:] = -1
+    loss = attention.gradient(attention.views(flat), ids, targets, attention.views(np.zeros(len(flat))))
+    found = [attention.log_probs(flat, ids, np.maximum(targets, 0), skip) for skip in (0, 4)]
+    assert abs(loss + found[0][targets >= 0].mean()) < 1e-9 and np.allclose(found[0][:, 4:], found[1], rtol=1e-9)
+    assert np.allclose(attention.Scoring(flat).ids[:, 2 * attention.DIM:-1],  # the output's projection is in the values
+                       attention.views(flat)["emb"] @ attention.views(flat)["qkv"][:, 2 * attention.DIM:] @ attention.views(flat)["out"])
+
+
 def test_words_are_split_as_bytes():
     rng = random.Random(10)
     pool = [bytes([i]) for i in range(256)] + [b" ", b"\n", b"\x0b", b"\x1c", b"\x85", b"A", b"\x00"] * 30
