@@ -15,7 +15,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moldwatch import config
+from moldwatch.ml import boost
 from moldwatch.ml.forest import CELLS, CellForest, bin_edges, fit_cells
 from moldwatch.ml.trees import boost_with_patience
 from moldwatch.session import checkpoint_dir
@@ -71,15 +72,29 @@ def train_gbt(train: DataFrame, features, label: str = "label", weight_col: str
     """Class-weighted boosted trees (ML1); missing features count as 0.  With a validation
     column its rows are held out: boosting ends once the preset's number of rounds to wait has
     brought no better AUC on them, and the model keeps the trees up to the best round
-    (all rounds if the held-out rows lack a label)."""
+    (all rounds if the held-out rows lack a label).  Trees are grown by ``boost``; by Spark ML where its tasks
+    can't work together, for other settings than the presets' and for very wide tables."""
     params = gbt_params(preset) | overrides
     rounds, patience = params["maxIter"], config.BOOSTING_PRESETS[preset][5]
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     train = filled(train, features).withColumn(label, F.col(label).cast("double"))
 
-    def fit(df, n):
+    def learner(n):
         gbt = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **(params | {"maxIter": n}))
-        return (gbt.setWeightCol(weight_col) if weight_col else gbt).fit(df)
+        return gbt.setWeightCol(weight_col) if weight_col else gbt
+
+    def fit(df, n):
+        return learner(n).fit(df)
+
+    if set(params) == set(gbt_params(preset)) and len(features) <= boost.WIDEST:
+        settings = boost.Settings(rounds, params["stepSize"], params["maxDepth"], params["minInstancesPerNode"], params["subsamplingRate"],
+                                  math.ceil(float(params["featureSubsetStrategy"]) * len(features)), True, patience if validation_col else 0, seed)
+        try:
+            edges, (trees,), _ = boost.fit_trees(train.sparkSession, train, features, [label], settings, weight_col, validation_col)
+            return PipelineModel([asm, boost.spark_model(train.sparkSession, learner(rounds), GBTClassificationModel, trees, edges,
+                                                         settings.rate)])
+        except boost.NoCommonFolder:
+            pass
 
     if not validation_col:
         return PipelineModel([asm, fit(asm.transform(train), rounds)])
