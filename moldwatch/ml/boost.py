@@ -195,9 +195,14 @@ class Rows:
         at = np.flatnonzero(times)
         return at, None if self.n is None else times[at]
 
-    def bin_at(self, feature: np.ndarray, at: np.ndarray) -> np.ndarray:
-        code = self.pairs[feature >> 1, at]
-        return np.where(feature & 1, code & (BINS - 1), code >> BITS)
+    def above(self, feature: np.ndarray, cut: np.ndarray, slot: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether row ``at[i]`` lies above the cut of its slot, in the slot's feature."""
+        place = np.take((feature >> 1) * len(self), slot, mode="clip")
+        place += at
+        code = np.take(self.pairs.ravel(), place, mode="clip")
+        code >>= np.take(np.where(feature & 1, 0, BITS).astype(np.uint16), slot, mode="clip")
+        code &= BINS - 1
+        return code > np.take(cut.astype(np.uint16), slot, mode="clip")
 
     def histograms(self, at: np.ndarray, slot: np.ndarray, times, y: np.ndarray, w, slots: int) -> np.ndarray:
         """(slots, features, BINS, 3): rows, weight and weighted sum of ``y`` per slot, feature and bin."""
@@ -226,7 +231,7 @@ class Rows:
         live = np.arange(len(at)) if left[0] >= 0 else np.zeros(0, np.int64)
         while len(live):
             own = node[live]
-            node[live] = left[own] + (self.bin_at(feature[own], at[live]) > cut[own])
+            node[live] = left[own] + self.above(feature, cut, own, at[live])
             live = live[left[node[live]] >= 0]
         return node
 
@@ -291,15 +296,16 @@ def grow(rows: Rows, at, slot, times, y, w, models: int, s: Settings, rng, every
             t.add(high[i])
         place = np.full(len(h), -1)
         place[split] = np.arange(len(split))
-        own = np.flatnonzero(place[slot] >= 0)
-        live, slot = live[own], slot[own]
-        goes_right = rows.bin_at(feature[slot], at[live]) > cut[slot]
-        slot = place[slot]
-        leaf[live] = first[slot] + goes_right
+        if len(split) < len(h):
+            own = np.flatnonzero(np.take(place, slot, mode="clip") >= 0)
+            live, slot = live[own], slot[own]
+        goes_right = rows.above(feature, cut, slot, at[live])
+        slot = np.take(place.astype(np.int32), slot, mode="clip")
+        leaf[live] = np.take(first.astype(np.int32), slot, mode="clip") + goes_right
         if depth + 1 == s.depth:
             break
         right_small = high[:, 0] < low[split, 0]
-        built = np.flatnonzero(goes_right == right_small[slot])
+        built = np.flatnonzero(goes_right == np.take(right_small, slot, mode="clip"))
         pick = live[built]
         small = everyone(rows.histograms(at[pick], slot[built], None if times is None else times[pick], y[pick], None if w is None else w[pick],
                                          len(split)))

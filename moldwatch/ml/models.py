@@ -12,13 +12,14 @@ import hashlib
 import math
 import uuid
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,15 +204,35 @@ def fit_tree_forecaster(lagged: DataFrame, sensors, preset: str, extra=(), seed:
     """One-step multi-output forecaster of boosted trees (ML6): per target sensor a model on
     [extra] + current + lags 1..k of every sensor (columns ``{s}_lag{i}``, target
     ``{s}_next``; see ``lag_features``), trees, rate, depth and k from the preset.  The sensors' models
-    don't depend on each other and are fitted side by side."""
+    don't depend on each other and grow side by side, by ``boost`` or, where its tasks can't work together, by Spark ML."""
     trees, rate, depth, _ = config.FORECASTER_PRESETS[preset]
-    asm = VectorAssembler(inputCols=forecaster_features(sensors, preset, extra), outputCol="_f", handleInvalid="skip")
+    feats = forecaster_features(sensors, preset, extra)
+    asm = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="skip")
+
+    def learner(s):
+        return GBTRegressor(featuresCol="_f", labelCol=f"{s}_next", predictionCol=f"{s}_forecast", maxIter=trees, stepSize=rate,
+                            maxDepth=depth, seed=seed)
+
+    if len(feats) <= boost.WIDEST:
+        whole = F.lit(True)  # rows that the assembler doesn't skip
+        for c in feats:
+            whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        spark = lagged.sparkSession
+        try:
+            edges, grown, _ = boost.fit_trees(spark, lagged.where(whole), feats, [f"{s}_next" for s in sensors],
+                                              boost.Settings(trees, rate, depth, seed=seed))
+
+            def built(s, own):
+                return s, PipelineModel([asm, boost.spark_model(spark, learner(s), GBTRegressionModel, own, edges, rate)])
+
+            with ThreadPool(max(1, len(sensors))) as pool:
+                return dict(pool.starmap(inheritable_thread_target(spark)(built), list(zip(sensors, grown))))
+        except boost.NoCommonFolder:
+            pass
     data = asm.transform(lagged).persist()
 
     def fit(s):
-        own = GBTRegressor(featuresCol="_f", labelCol=f"{s}_next", predictionCol=f"{s}_forecast", maxIter=trees, stepSize=rate,
-                           maxDepth=depth, seed=seed)
-        return s, PipelineModel([asm, own.fit(data.where(F.col(f"{s}_next").isNotNull()))])
+        return s, PipelineModel([asm, learner(s).fit(data.where(F.col(f"{s}_next").isNotNull()))])
 
     try:
         with ThreadPool(max(1, len(sensors))) as pool:
@@ -242,11 +263,16 @@ def metrics_record(spark: SparkSession, version: str, metrics: DataFrame, extra:
         "created_at", F.current_timestamp())
 
 
-def fitted_once(spark: SparkSession, name: str, data: DataFrame, settings, fit) -> PipelineModel:
+def rows_digest(data: DataFrame) -> tuple:
+    """(rows, sum of their hashes)."""
+    return tuple(data.select(F.xxhash64(*data.columns).alias("h")).agg(F.count("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first())
+
+
+def fitted_once(spark: SparkSession, name: str, data: DataFrame, settings, fit, rows: tuple | None = None) -> PipelineModel:
     """``fit()``, or what an earlier run fitted to the same rows with the same settings: models are kept below
-    the shared folder under a digest of both."""
-    rows = data.select(F.xxhash64(*data.columns).alias("h")).agg(F.count("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
-    digest = hashlib.md5(f"{tuple(rows)} {data.dtypes} {settings}".encode()).hexdigest()
+    the shared folder under a digest of both.  ``rows``: the data's digest, where many models share it."""
+    rows = rows or rows_digest(data)
+    digest = hashlib.md5(f"{rows} {data.dtypes} {settings}".encode()).hexdigest()
     path = f"{checkpoint_dir(spark).rstrip('/')}/models/{name}-{digest}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -271,11 +297,16 @@ def class_weight_value(train: DataFrame, label: str, cap: float | None = None) -
 def fitted_forecaster(spark: SparkSession, lagged: DataFrame, sensors, preset: str) -> dict[str, PipelineModel]:
     """:func:`fit_tree_forecaster`, kept as in :func:`fitted_once`."""
     fitted: dict[str, PipelineModel] = {}
+    rows, own = rows_digest(lagged), Lock()
 
     def fit(s):
-        if not fitted:
-            fitted.update(fit_tree_forecaster(lagged, sensors, preset))
+        with own:
+            if not fitted:
+                fitted.update(fit_tree_forecaster(lagged, sensors, preset))
         return fitted[s]
 
-    return {s: fitted_once(spark, f"forecast-{s}", lagged, (list(sensors), preset, config.FORECASTER_PRESETS[preset]), lambda s=s: fit(s))
-            for s in sensors}
+    def kept(s):
+        return s, fitted_once(spark, f"forecast-{s}", lagged, (list(sensors), preset, config.FORECASTER_PRESETS[preset]), lambda: fit(s), rows)
+
+    with ThreadPool(max(1, len(sensors))) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(kept), list(sensors)))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from moldwatch.plans import oracle as O
 from moldwatch.plans.catalog import register
 from moldwatch.plans.monitor import filled_window, unpivot
 from moldwatch.plans.oracle import fixture_sql
-from moldwatch.session import materialize
+from moldwatch.session import stored
 
 SENSORS = config.FIXTURE_SENSORS
 TREND_WINDOW_MIN, FIT_MIN, FUTURE_MIN = 4320, 1440, 1440  # fixture scale of 30 / 15 / 60 min
@@ -131,15 +132,29 @@ def tree_forecaster(spark, sf, preset: str):
     from moldwatch.ml import models as ML
     from moldwatch.ml.trees import forest_of
     lags = config.FORECASTER_PRESETS[preset][3]
-    filled = fill_forward_backward(fx.history(spark, sf).select("machine_id", "timestamp", *SENSORS), SENSORS)
-    lagged = materialize(lag_features(filled, SENSORS, lags))
+    lagged = stored(lag_features(_filled(spark, sf), SENSORS, lags), "lagged")
     models = ML.fitted_forecaster(spark, lagged, SENSORS, preset)
-    return {s: forest_of(spark, m.stages[-1]) for s, m in models.items()}, ML.forecaster_features(SENSORS, preset), lags
+    with ThreadPool(len(SENSORS)) as pool:
+        forests = pool.map(inheritable_thread_target(spark)(lambda s: forest_of(spark, models[s].stages[-1])), list(SENSORS))
+    return dict(zip(SENSORS, forests)), ML.forecaster_features(SENSORS, preset), lags
+
+
+_FILLED_CACHE: dict = {}
+_FILLING = Lock()
+
+
+def _filled(spark, sf):
+    """The filled history, computed once per input: every preset's lags and their row numbers read it."""
+    key = (sf, id(spark))
+    with _FILLING:
+        if key not in _FILLED_CACHE:
+            _FILLED_CACHE[key] = stored(fill_forward_backward(fx.history(spark, sf).select("machine_id", "timestamp", *SENSORS), SENSORS), "filled")
+    return _FILLED_CACHE[key]
 
 
 def tree_forecasters(spark, sf) -> dict:
-    """:func:`tree_forecaster` of every preset.  Boosting is thousands of short jobs in sequence, which leave cores
-    idle, so the presets are fitted side by side."""
+    """:func:`tree_forecaster` of every preset, side by side: what one does alone, like reading and writing models, leaves
+    cores idle."""
     presets = sorted(config.FORECASTER_PRESETS)
     with ThreadPool(len(presets)) as pool:
         fitted = pool.map(inheritable_thread_target(spark)(lambda preset: tree_forecaster(spark, sf, preset)), presets)

@@ -74,8 +74,8 @@ _MODEL_CACHE: dict = {}
 
 def clear_caches() -> None:
     """Forget the models (and what other modules keep of them): the next query trains anew."""
-    from moldwatch.plans import queries_live, queries_room
-    for c in (_TABLE_CACHE, _MODEL_CACHE, _RAW_MODEL_CACHE, queries_live._STATUS_CACHE, queries_room._CACHE):
+    from moldwatch.plans import queries_forecast, queries_live, queries_room
+    for c in (_TABLE_CACHE, _MODEL_CACHE, _RAW_MODEL_CACHE, queries_forecast._FILLED_CACHE, queries_live._STATUS_CACHE, queries_room._CACHE):
         c.clear()
 
 

@@ -138,3 +138,15 @@ def test_constant_and_missing_rows(spark):
     assert [t["left"] for t in own] == [[-1]] * 8 and own[0]["prediction"] == [1.0]
     with pytest.raises(Exception, match="no label"):
         fitted(spark, d.withColumn("label", F.when(F.col("id") > 3, 1)))
+
+
+def test_presets_share_the_filled_history(spark, monkeypatch):
+    from moldwatch.plans import fixtures, queries_forecast, training
+    for preset, (_, *rest) in list(config.FORECASTER_PRESETS.items()):
+        monkeypatch.setitem(config.FORECASTER_PRESETS, preset, (2, *rest))
+    training.clear_caches()
+    made, own = [], fixtures.history
+    monkeypatch.setattr(fixtures, "history", lambda *a: made.append(a) or own(*a))
+    found = queries_forecast.tree_forecasters(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and {len(f.weight) for forests, *_ in found.values() for f in forests.values()} == {2}
+    training.clear_caches()
