@@ -101,6 +101,11 @@ def edges_of(least: np.ndarray, most: np.ndarray, count: np.ndarray) -> list[flo
     return edges
 
 
+def columns_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The rows' array ``_x``, a row per element."""
+    return np.ascontiguousarray(batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).T)
+
+
 def bin_edges(rows: DataFrame, features) -> list[list[float]]:
     """Per feature the edges of its bins, from all rows: tasks send summaries, which one group a feature puts together."""
     names = list(features)
@@ -116,7 +121,7 @@ def bin_edges(rows: DataFrame, features) -> list[list[float]]:
                 pa.array(np.concatenate([p[k] for p in parts])) for k in range(3)], ["i", "least", "most", "count"])
 
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+            held.append(columns_of(b, len(names)))
             n += b.num_rows
             if n >= limit:
                 yield out()
@@ -128,7 +133,7 @@ def bin_edges(rows: DataFrame, features) -> list[list[float]]:
         own = edges_of(*(t[c].to_numpy() for c in ("least", "most", "count")))
         return pa.table({"i": t["i"].slice(0, 1).combine_chunks(), "edges": pa.array([own], pa.list_(pa.float64()))})
 
-    parts = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(summed, "i int, least double, most double, count bigint")
+    parts = rows.select(F.array(*[F.col(c).cast("double") for c in names]).alias("_x")).mapInArrow(summed, "i int, least double, most double, count bigint")
     found = {r["i"]: r["edges"] for r in parts.groupBy("i").applyInArrow(merged, "i int, edges array<double>").collect()}  # a row per feature
     return [found.get(j, []) for j in range(len(names))]
 
@@ -144,14 +149,13 @@ def binned(rows: DataFrame, features, edges, targets, weight: str | None, held:
     def coded(batches):
         for b in batches:
             x = np.empty((b.num_rows, len(names)), np.uint8)
-            for j, c in enumerate(names):
-                x[:, j] = np.searchsorted(cuts[j], b.column(c).to_numpy(zero_copy_only=False))
+            for j, own in enumerate(columns_of(b, len(names))):
+                x[:, j] = np.searchsorted(cuts[j], own)
             ends = pa.array(np.arange(0, x.size + 1, len(names)), pa.int32())
             bins = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends.buffers()[1], pa.py_buffer(x.tobytes())])
             yield pa.RecordBatch.from_arrays([b.column("_held"), b.column("_y"), b.column("_w"), bins], ["_held", "_y", "_w", "_bins"])
 
-    x = rows.select(*[F.col(c).cast("double").alias(c) for c in names],
-                    (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("_held"),
+    x = rows.select(F.array(*[F.col(c).cast("double") for c in names]).alias("_x"), (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("_held"),
                     F.array(*[F.col(t).cast("double") for t in targets]).alias("_y"),
                     (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
     x = x.mapInArrow(coded, "_held boolean, _y array<double>, _w double, _bins binary")

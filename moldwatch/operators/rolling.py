@@ -56,17 +56,16 @@ def rolling_time_long(long_df: DataFrame, windows, keys=("machine_id", "variable
 
 def long_to_wide_features(long_feats: DataFrame, sensors, windows, keys=("machine_id",),
                           ts: str = "timestamp", stats=STATS) -> DataFrame:
-    """Long rolling table -> wide ``{sensor}__{stat}_{window}`` (one pivot)."""
+    """Long rolling table -> wide ``{sensor}__{stat}_{window}`` (one pivot).
+
+    One hash aggregate of conditional maxima: Spark's pivot aggregates twice, and its second pass, one cell at a
+    time, took most of the table's time.  Equal readings at one time have equal frames, the largest ``last`` counts.
+    """
     names = [f"{s}|{w}" for s in sensors for w, _ in windows]
-    tagged = long_feats.withColumn("_k", F.concat_ws("|", "variable_name", "window"))
-    aggs = [F.first(st, ignorenulls=True).alias(st) for st in stats]
-    wide = tagged.groupBy(*keys, ts).pivot("_k", names).agg(*aggs)
-    out = [F.col(c) for c in [*keys, ts]]
-    for s in sensors:
-        for w, _ in windows:
-            for st in stats:
-                out.append(F.col(f"`{s}|{w}_{st}`").alias(f"{s}__{st}_{w}"))
-    return wide.select(*out)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.concat_ws("|", "variable_name", "window"))
+    tagged = long_feats.select(*keys, ts, place.alias("_k"), *stats)
+    cells = [(f"{s}__{st}_{w}", len(windows) * i + j + 1, st) for i, s in enumerate(sensors) for j, (w, _) in enumerate(windows) for st in stats]
+    return tagged.groupBy(*keys, ts).agg(*[F.max(F.when(F.col("_k") == k, F.col(st))).alias(name) for name, k, st in cells])
 
 
 def rolling_rows_wide(wide: DataFrame, sensors, windows, keys=("machine_id",),

@@ -161,3 +161,36 @@ def test_forecaster_presets_are_fitted_side_by_side(spark, monkeypatch):
 
     monkeypatch.setattr(queries_forecast, "tree_forecaster", fit)
     assert queries_forecast.tree_forecasters(spark, "x") == {p: (p, "x") for p in config.FORECASTER_PRESETS}
+
+
+def test_training_features_are_stored_as_one_column(spark):
+    """Stored, split and joined as one array; the table that is read has the values of all columns."""
+    from moldwatch.plans import training
+    sf = "/root/testdata/sf0.001"
+    training.clear_caches()
+    narrow, feats = training.packed_table(spark, sf), training.feature_columns()
+    assert narrow.columns == ["machine_id", "timestamp", training.LABEL, "_cells"]
+    kept, made = (t.orderBy("machine_id", "timestamp").toPandas() for t in (training.kept_table(spark, sf), training.training_table(spark, sf)))
+    assert list(kept.columns) == list(made.columns) == [*narrow.columns[:3], *feats]
+    assert kept.equals(made) and kept[feats].to_numpy().any(axis=0).sum() > 60
+    training.clear_caches()
+
+
+def test_packed_columns_come_back_with_their_nulls(spark):
+    from moldwatch.plans import training
+    d = spark.createDataFrame([(1, 1.5, None), (2, None, float("nan"))], "id int, a double, b double")
+    p = training.packed(d, ["a", "b"], keep=["a"])
+    assert p.columns == ["id", "a", "_cells"]
+    rows = training.unpacked(p, ["a", "b"]).orderBy("id").collect()
+    assert (rows[0]["a"], rows[0]["b"], rows[1]["a"]) == (1.5, None, None) and math.isnan(rows[1]["b"])
+
+
+def test_wide_features_take_the_largest_last_of_equal_times(spark):
+    from moldwatch.operators.rolling import long_to_wide_features
+    rows = [("M1", "a", "6h", 1, 2.0, 1.0), ("M1", "a", "6h", 1, 2.0, 9.0), ("M1", "b", "1d", 1, None, 3.0), ("M1", "x", "6h", 2, 5.0, 5.0)]
+    d = spark.createDataFrame(rows, "machine_id string, variable_name string, `window` string, timestamp int, mean double, last double").coalesce(1)
+    wide = long_to_wide_features(d, ["a", "b"], [("6h", 1), ("1d", 2)], stats=("mean", "last"))
+    assert wide.columns == ["machine_id", "timestamp"] + [f"{s}__{st}_{w}" for s in "ab" for w in ("6h", "1d") for st in ("mean", "last")]
+    got = {r["timestamp"]: r.asDict() for r in wide.collect()}
+    assert got[1]["a__mean_6h"] == 2.0 and got[1]["a__last_6h"] == 9.0 and got[1]["b__last_1d"] == 3.0 and got[1]["b__mean_1d"] is None
+    assert set(list(got[2].values())[2:]) == {None}  # the reading of another sensor
