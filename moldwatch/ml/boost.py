@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import shutil
 import sys
 import tempfile
 import time
@@ -43,6 +42,7 @@ BINS, BITS = 32, 5     # Spark ML's maxBins; two features share a 16-bit code
 GROUPS = 512           # a task's summary of one feature
 CELLS = 1 << 20        # combinations of bins up to which equal rows are counted
 SHARDS = 64
+BLOCK = 1 << 18        # positions that are summed at once
 ONE_TASK = 1 << 24     # rows x features x models that one task boosts alone
 WIDEST = 4096          # features; wider tables are left to Spark ML
 SILENCE_S = 900        # a task waits so long for the sums of another
@@ -210,22 +210,34 @@ class Rows:
 
     def histograms(self, at: np.ndarray, slot: np.ndarray, times, y: np.ndarray, w, slots: int) -> np.ndarray:
         """(slots, features, BINS, 3): rows, weight and weighted sum of ``y`` per slot, feature and bin."""
-        wide = 1 << (2 * BITS)
+        wide = slots << (2 * BITS)
         out = np.zeros((slots, 2 * len(self.pairs), BINS, 3))
-        if len(at):
-            base, code = slot.astype(np.int64) * wide, np.empty(len(at), np.uint16)
-            where = np.empty(len(at), np.int64)
-            odd = None if w is None else np.flatnonzero(w != 1)
-            extra = None if w is None else (w[odd] - 1) * (1 if times is None else times[odd])
-            wy = y if w is None and times is None else y * (1 if w is None else w) * (1 if times is None else times)
-            for q, own in enumerate(self.pairs):
-                np.take(own, at, out=code)
-                np.add(base, code, out=where)
-                n = np.bincount(where, times, slots * wide).astype(float, copy=False)
-                weight = n if odd is None else n + np.bincount(where[odd], extra, slots * wide)
-                for k, a in enumerate((n, weight, np.bincount(where, wy, slots * wide))):
-                    a = a.reshape(slots, BINS, BINS)
-                    out[:, 2 * q, :, k], out[:, 2 * q + 1, :, k] = a.sum(2), a.sum(1)
+        size = max(BLOCK, 4 * wide)
+        blocks = []
+        for i in range(0, len(at), size):
+            own = slice(i, i + size)
+            v, often = y[own], None if times is None else times[own]
+            odd = extra = None
+            if w is not None:
+                odd = np.flatnonzero(w[own] != 1)
+                extra = (w[own][odd] - 1) * (1 if often is None else often[odd])
+                v = v * w[own]
+            blocks.append((at[own], slot[own].astype(np.int32) << (2 * BITS), often, v if often is None else v * often, odd, extra))
+        code, where = np.empty(min(size, len(at)), np.uint16), np.empty(min(size, len(at)), np.int64)
+        for q, own in enumerate(self.pairs):
+            n = more = total = 0
+            for rows, base, often, v, odd, extra in blocks:
+                c, p = code[:len(rows)], where[:len(rows)]
+                np.take(own, rows, out=c, mode="clip")
+                np.add(base, c, out=p)
+                n = np.bincount(p, often, wide) + n
+                total = np.bincount(p, v, wide) + total
+                if odd is not None:
+                    more = np.bincount(p[odd], extra, wide) + more
+            for k, x in enumerate((n, n + more, total)):
+                if np.ndim(x):
+                    x = x.reshape(slots, BINS, BINS)
+                    out[:, 2 * q, :, k], out[:, 2 * q + 1, :, k] = x.sum(2), x.sum(1)
         return out[:, :self.features]
 
     def leaves(self, tree: "Tree", at: np.ndarray) -> np.ndarray:
@@ -431,20 +443,31 @@ def common_folder(context, candidates, name: str) -> str | None:
     """The first folder in which every task sees the files of all."""
     rank, tasks = context.partitionId(), len(context.getTaskInfos())
     for c in candidates:
+        folder = os.path.join(c, name)
         try:
-            os.makedirs(os.path.join(c, name), exist_ok=True)
-            open(os.path.join(c, name, f"here-{rank}"), "w").close()
+            os.makedirs(folder, exist_ok=True)
+            open(os.path.join(folder, f"here-{rank}"), "w").close()
         except OSError:
             pass
-    context.allGather("")
-    seen = [all(os.path.exists(os.path.join(c, name, f"here-{r}")) for r in range(tasks)) for c in candidates]
-    everyone = [json.loads(x) for x in context.allGather(json.dumps(seen))]
-    for i, c in enumerate(candidates):
-        if all(x[i] for x in everyone):
-            return os.path.join(c, name)
+        context.allGather("")
+        seen = all(os.path.exists(os.path.join(folder, f"here-{r}")) for r in range(tasks))
+        if all(json.loads(x) for x in context.allGather(json.dumps(seen))):
+            return folder
+        left_behind(folder, rank)
     return None
 
 
+def left_behind(folder: str, rank: int) -> None:
+    """Removes a task's files and, if it is the last, the folder."""
+    try:
+        for x in os.listdir(folder):
+            if x.endswith(f"-{rank}"):
+                os.remove(os.path.join(folder, x))
+        os.rmdir(folder)
+    except OSError:
+        pass
+
+
 def fit_trees(spark: SparkSession, rows: DataFrame, features, targets, s: Settings, weight: str | None = None, held: str | None = None):
     """(edges, per model its trees as rows of NODES, scores); raises NoCommonFolder if the tasks can't exchange sums."""
     names = list(features)
@@ -496,8 +519,7 @@ def fit_trees(spark: SparkSession, rows: DataFrame, features, targets, s: Settin
         models, scores = boost(own, others, s, everyone)
         if context:
             context.barrier()
-            if first:
-                shutil.rmtree(folder, ignore_errors=True)
+            left_behind(folder, context.partitionId())
         if not first:
             return
         for m, trees in enumerate(models):
